@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from ._common import partitions
 LENGTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of a hashed string
 BLOCK = 512  # documents of a block, about
-CHUNK = 1 << 20  # bytes sorted at once
+CHUNK = 1 << 18  # bytes sorted at once
 HOT = 64  # blocks beyond which a minimizer is dealt further
 SIDE = 15  # bytes beside a hot minimizer that deal it further
 
@@ -156,7 +157,12 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     while 2 * size <= wide:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
-    return np.minimum(low[: len(low) - (wide - size)], low[wide - size :]) if wide > size else low
+    return _spread(np.minimum(low[: len(low) - (wide - size)], low[wide - size :]) if wide > size else low)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Least hashes are small numbers; as other numbers, one for one, they fall evenly into parts."""
+    return _mix(h * _C1)
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -172,23 +178,22 @@ def _stretches(data: np.ndarray, found: np.ndarray, hot: np.ndarray) -> Iterator
     if len(data) < LENGTH:
         return
     low = minimizers(data)
-    at = np.searchsorted(found, low)
-    at[at == len(found)] = 0
-    known = found[at] == low if len(found) else np.zeros(len(low), bool)
-    if not known.any():
-        return
     edges = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]), [True]]))
     starts, ends = edges[:-1], edges[1:]
-    pick = known[starts]
+    keys = low[starts]
+    at = np.searchsorted(found, keys)
+    at[at == len(found)] = 0
+    pick = found[at] == keys if len(found) else np.zeros(len(keys), bool)
+    starts, ends = starts[pick], ends[pick]
     hashes = None
-    for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True):
-        h = low[a]
-        if not hot[at[a]]:
-            yield int(h), a, b
+    for a, b, key, is_hot in zip(starts.tolist(), ends.tolist(), keys[pick].tolist(), hot[at[pick]].tolist(), strict=True):
+        if not is_hot:
+            yield key, a, b
             continue
+        h = low[a]
         # where the minimizer itself lies, for each place: the first of its occurrences in the string
         if hashes is None:
-            hashes = gram_hashes(data)
+            hashes = _spread(gram_hashes(data))
         seen = np.flatnonzero(hashes[a : b + LENGTH - GRAM] == h) + a
         own = seen[np.searchsorted(seen, np.arange(a, b))]
         left = own - np.arange(a, b) >= SIDE
@@ -271,8 +276,9 @@ def _found_stretches(docs: pd.DataFrame, known: pd.DataFrame) -> tuple[list, dic
     docs = docs.sort_values("doc_id", kind="stable")
     for row, (doc_id, text) in enumerate(zip(docs["doc_id"], docs["text"], strict=True)):
         data = _bytes(text)
+        raw = data.tobytes()
         for key, a, b in _stretches(data, found, hot):
-            where.setdefault((key, data[a : b + LENGTH - 1].tobytes()), []).append((row, int(doc_id), a))
+            where.setdefault((key, raw[a : b + LENGTH - 1]), []).append((row, int(doc_id), a))
     return sorted(where), where
 
 
@@ -295,7 +301,7 @@ def _send_stretches(parts: int):
                 (
                     p, docs["block"].iloc[0], keys[a:b].tobytes(), np.array([len(s) for _, s in names[a:b]], np.int32).tobytes(),
                     np.array(list(map(min, ids)), np.int64).tobytes(), np.array(list(map(max, ids)), np.int64).tobytes(),
-                    b"".join(s for _, s in names[a:b]),
+                    zstandard.compress(b"".join(s for _, s in names[a:b]), 1),
                 )
             )
         return pd.DataFrame(out, columns=columns)
@@ -303,21 +309,20 @@ def _send_stretches(parts: int):
     return run
 
 
-def _least_owner(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each stretch and each of its places: the smallest owner of any stretch with the string at that place."""
+def _least_owner(texts: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of each stretch: the stretch, and the smallest owner of any stretch with the string at that place."""
     lengths = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     counts = lengths - LENGTH + 1
-    cuts = np.concatenate([[0], np.cumsum(counts)])
     of = np.repeat(np.arange(len(texts)), counts)
-    places = np.arange(cuts[-1]) - np.repeat(cuts[:-1], counts) + starts[of]
+    places = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[of]
     order, group = repeated_strings(data, places)
     least = np.zeros(len(data), np.int64)
     text_at = np.repeat(np.arange(len(texts)), lengths)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least[order] = np.minimum.reduceat(owners[text_at[order]], first)[group]
-    return [least[s : s + c] for s, c in zip(starts.tolist(), counts.tolist(), strict=True)]
+    return of, least[places]
 
 
 def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
@@ -328,9 +333,9 @@ def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
     back: list[np.ndarray] = []
     for r in rows.itertuples(index=False):
         keys, lengths, least = np.frombuffer(r.keys, np.uint64).tolist(), np.frombuffer(r.lengths, np.int32).tolist(), np.frombuffer(r.least, np.int64).tolist()
-        own, at = np.empty(len(keys), np.int64), 0
+        own, at, data = np.empty(len(keys), np.int64), 0, zstandard.decompress(r.data)
         for i, (k, n, d) in enumerate(zip(keys, lengths, least, strict=True)):
-            j = seen.setdefault((k, r.data[at : at + n]), len(owner))
+            j = seen.setdefault((k, data[at : at + n]), len(owner))
             at += n
             if j == len(owner):
                 owner.append(d)
@@ -341,33 +346,43 @@ def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
     names = sorted(seen)  # strings of one key together
     place = np.array([seen[n] for n in names], np.int64)
     owners = np.array(owner, np.int64)
-    result: list = [None] * len(owners)
+    # runs of places of one stretch whose strings have one owner: (stretch, start, end, owner)
+    key = np.array([k for k, _ in names], np.uint64)
+    size = np.array([len(t) for _, t in names], np.int64)
+    alone = np.ones(len(names), bool)
+    same = key[1:] == key[:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    # all copies of such a minimizer stand in the same stretch: its strings have its owner
+    j = place[alone]
+    runs = [(j, np.zeros(len(j), np.int64), size[alone] - LENGTH + 1, owners[j])]
+    left = np.flatnonzero(~alone)
+    texts = [names[i][1] for i in left.tolist()]
+    key, place, size = key[left], place[left], np.cumsum(size[left])
     at = 0
-    while at < len(names):
-        end, size = at, 0
-        while end < len(names) and (size < CHUNK or names[end][0] == names[end - 1][0]):
-            size += len(names[end][1])
-            end += 1
-        chunk = place[at:end]
-        for j, least in zip(chunk.tolist(), _least_owner([t for _, t in names[at:end]], owners[chunk]), strict=True):
-            cuts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]]))
-            result[j] = (cuts[:-1], cuts[1:], least[cuts[:-1]])
+    while at < len(texts):
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK)) + 1
+        end = int(np.searchsorted(key, key[min(end, len(texts)) - 1], side="right"))
+        of, least = _least_owner(texts[at:end], owners[place[at:end]])
+        cuts = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])]))
+        ends = np.concatenate([cuts[1:], [len(of)]])
+        base = np.searchsorted(of, of[cuts])
+        runs.append((place[at:end][of[cuts]], cuts - base, ends - base, least[cuts]))
         at = end
+    stretch, start, stop, least = (np.concatenate(x) for x in zip(*runs, strict=True))
+    by = np.argsort(stretch, kind="stable")
+    start, stop, least = start[by], stop[by], least[by]
+    pointer = np.searchsorted(stretch[by], np.arange(len(owners) + 1))
     out = []
     for r, own in zip(rows.itertuples(index=False), back, strict=True):
-        most = np.frombuffer(r.most, np.int64)
-        nth, starts, ends, least = [], [], [], []
-        for i, j in enumerate(own.tolist()):
-            a, b, low = result[j]
-            pick = low < most[i]
-            if pick.any():
-                nth.append(np.full(int(pick.sum()), i, np.int32))
-                starts.append(a[pick])
-                ends.append(b[pick])
-                least.append(low[pick])
-        if nth:
-            pack = [np.concatenate(nth), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32), np.concatenate(least)]
-            out.append((r.block, r.part, *[x.tobytes() for x in pack]))
+        count = pointer[own + 1] - pointer[own]
+        nth = np.repeat(np.arange(len(own)), count)
+        i = np.arange(len(nth)) - np.repeat(np.cumsum(count) - count, count) + pointer[own][nth]
+        pick = least[i] < np.frombuffer(r.most, np.int64)[nth]
+        if pick.any():
+            nth, i = nth[pick], i[pick]
+            pack = [nth.astype(np.int32), start[i].astype(np.int32), stop[i].astype(np.int32), least[i]]
+            out.append((r.block, r.part, *[zstandard.compress(x.tobytes(), 1) for x in pack]))
     return pd.DataFrame(out, columns=["block", "part", "nth", "starts", "ends", "least"])
 
 
@@ -381,7 +396,7 @@ def _cut_block(parts: int, with_text: bool):
             part = _part(np.array([k for k, _ in names], np.uint64), parts).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             for r in found.itertuples(index=False):
-                pack = [np.frombuffer(r.nth, np.int32), np.frombuffer(r.starts, np.int32), np.frombuffer(r.ends, np.int32), np.frombuffer(r.least, np.int64)]
+                pack = [np.frombuffer(zstandard.decompress(x), t) for x, t in ((r.nth, np.int32), (r.starts, np.int32), (r.ends, np.int32), (r.least, np.int64))]
                 for i, a, b, low in zip(*[x.tolist() for x in pack], strict=True):
                     for row, doc_id, at in where[names[int(cuts[int(r.part)]) + i]]:
                         if low < doc_id:
