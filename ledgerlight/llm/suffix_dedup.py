@@ -24,7 +24,6 @@ Memory: a block's documents (about BLOCK of them), or a part's stretches, worked
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +37,7 @@ LENGTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of a hashed string
 BLOCK = 512  # documents of a block, about
 CHUNK = 1 << 18  # bytes sorted at once
+PIECE = 1 << 21  # bytes hashed at once
 HOT = 64  # blocks beyond which a minimizer is dealt further
 SIDE = 15  # bytes beside a hot minimizer that deal it further
 
@@ -165,44 +165,115 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return _mix(h * _C1)
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-
-
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _stretches(data: np.ndarray, found: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(key, start, end): places start to end (not itself) whose strings have one repeated minimizer, by their key."""
-    if len(data) < LENGTH:
-        return
-    low = minimizers(data)
-    edges = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]), [True]]))
-    starts, ends = edges[:-1], edges[1:]
-    keys = low[starts]
-    at = np.searchsorted(found, keys)
-    at[at == len(found)] = 0
-    pick = found[at] == keys if len(found) else np.zeros(len(keys), bool)
-    starts, ends = starts[pick], ends[pick]
-    hashes = None
-    for a, b, key, is_hot in zip(starts.tolist(), ends.tolist(), keys[pick].tolist(), hot[at[pick]].tolist(), strict=True):
-        if not is_hot:
-            yield key, a, b
-            continue
-        h = low[a]
+class Texts:
+    """The texts of a block in ascending doc_id order as one array of bytes."""
+
+    def __init__(self, docs: pd.DataFrame):
+        self.docs = docs.sort_values("doc_id", kind="stable")
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in self.docs["text"]]
+        self.raw = b"".join(raw)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        self.ids = self.docs["doc_id"].to_numpy(np.int64)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts, ends, keys: places start to end (not itself) whose 50-byte strings have one minimizer, in order."""
+        parts = []
+        for at in range(0, max(0, len(self.data) - LENGTH + 1), PIECE):
+            low = minimizers(self.data[at : at + PIECE + LENGTH - 1])
+            inside = np.zeros(len(low) + 1, np.int64)  # places whose string runs into the next text
+            near = self.ends[(self.ends > at) & (self.ends < at + len(low) + LENGTH)]
+            np.add.at(inside, np.clip(near - LENGTH + 1 - at, 0, len(low)), 1)
+            np.add.at(inside, np.clip(near - at, 0, len(low)), -1)
+            valid = np.cumsum(inside)[:-1] == 0
+            new = valid.copy()
+            new[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
+            last = valid.copy()
+            last[:-1] &= (low[1:] != low[:-1]) | ~valid[1:]
+            starts = np.flatnonzero(new)
+            parts.append((starts + at, np.flatnonzero(last) + 1 + at, low[starts]))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
+
+
+def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place from starts to ends, and the run it is of."""
+    count = ends - starts
+    run = np.repeat(np.arange(len(starts)), count)
+    return np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + starts[run], run
+
+
+def _sides(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hot minimizers cut further, with keys from the bytes before or after the minimizer."""
+    out = []
+    piece = starts // PIECE  # a run's places lie in one
+    for at in np.unique(piece).tolist():
+        here = piece == at
+        a, b, h = starts[here] - at * PIECE, ends[here] - at * PIECE, keys[here]
+        part = data[at * PIECE : (at + 1) * PIECE + LENGTH - 1]
+        hashes = _spread(gram_hashes(part))
+        place, run = _expand(a, b + LENGTH - GRAM)
+        hit = hashes[place] == h[run]
+        seen, seen_run = place[hit], run[hit]
         # where the minimizer itself lies, for each place: the first of its occurrences in the string
-        if hashes is None:
-            hashes = _spread(gram_hashes(data))
-        seen = np.flatnonzero(hashes[a : b + LENGTH - GRAM] == h) + a
-        own = seen[np.searchsorted(seen, np.arange(a, b))]
-        left = own - np.arange(a, b) >= SIDE
+        place, run = _expand(a, b)
+        wide = np.int64(len(part) + 1)
+        own = seen[np.searchsorted(seen_run * wide + seen, run * wide + place)]
+        left = own - place >= SIDE
         side = np.where(left, own - SIDE, own + GRAM)
-        cuts = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1], [True]]))
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            s = int(side[x])
-            tag = hashlib.blake2b(data[s : s + SIDE].tobytes() + (b"l" if left[x] else b"r"), digest_size=8, key=int(h).to_bytes(8, "little"))
-            yield int.from_bytes(tag.digest(), "little"), a + x, a + y
+        new = np.ones(len(place), bool)
+        new[1:] = (side[1:] != side[:-1]) | (run[1:] != run[:-1])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(place)]]) - 1
+        tag = _content(part, side[first], side[first] + SIDE) ^ _mix(h[run[first]] * _C1 + left[first].astype(np.uint64))
+        out.append((place[first] + at * PIECE, place[last] + 1 + at * PIECE, _mix(tag * _C1)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+
+
+def _content(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data from each start to each end, from running sums of bytes weighted by powers."""
+    step = np.uint64(0xD1342543DE82EF95)
+    back = np.uint64(pow(int(step), -1, 1 << 64))
+    powers = np.full(len(data) + 1, step)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    down = np.full(len(data), back)
+    down[:1] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(data.astype(np.uint64) * _C1 + _C2) * np.cumprod(down))])
+    return _mix((sums[ends] - sums[starts]) * powers[starts])
+
+
+class Stretches:
+    """A block's stretches around repeated minimizers, each once, ordered by part and key, and where each lies."""
+
+    def __init__(self, texts: Texts, known: pd.DataFrame, parts: int):
+        found, hot = _known(known)
+        starts, ends, keys = texts.runs()
+        at = np.searchsorted(found, keys)
+        at[at == len(found)] = 0
+        pick = found[at] == keys if len(found) else np.zeros(len(keys), bool)
+        starts, ends, keys = starts[pick], ends[pick], keys[pick]
+        if (h := hot[at[pick]] if len(found) else np.zeros(0, bool)).any():
+            more = _sides(texts.data, starts[h], ends[h], keys[h])
+            starts, ends, keys = (np.concatenate([x[~h], y]) for x, y in zip((starts, ends, keys), more, strict=True))
+        size = ends - starts
+        content = _content(texts.data, starts, ends + LENGTH - 1) if len(starts) else np.zeros(0, np.uint64)
+        part = _part(keys, parts).astype(np.int64)
+        order = np.lexsort((starts, content, size, keys, part))
+        self.starts, self.size, self.keys = starts[order], size[order], keys[order]
+        content, part = content[order], part[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.keys[1:] != self.keys[:-1]) | (self.size[1:] != self.size[:-1]) | (content[1:] != content[:-1])
+        self.first = np.flatnonzero(new)  # of the occurrences of each stretch
+        self.cuts = np.searchsorted(part[self.first], np.arange(parts + 1))
 
 
 # ---- the stages -------------------------------------------------------------------------------------------------
@@ -216,18 +287,19 @@ def _hash_arrays(parts: int):
     """Blocks of documents to (part, block, hashes): the minimizers of a block, those of several documents marked."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        owned = [np.unique(minimizers(d)) if len(d := _bytes(t)) >= LENGTH else np.zeros(0, np.uint64) for t in block["text"]]
-        ids = np.repeat(block["doc_id"].to_numpy(), list(map(len, owned)))
-        hashes = np.concatenate(owned) if owned else np.zeros(0, np.uint64)
+        texts = Texts(block)
+        starts, _, hashes = texts.runs()
+        ids = texts.ids[texts.of(starts)]
+        part = _part(hashes, parts).astype(np.int64)
         order = np.lexsort((ids, hashes))
-        hashes, ids = hashes[order], ids[order]
-        first = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+        hashes, ids, part = hashes[order], ids[order], part[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
         several = np.zeros(len(hashes), bool)
-        several[1:] = ~first[1:] & (ids[1:] != ids[:-1])
-        starts = np.flatnonzero(first)
-        hashes = hashes[starts]
-        several = np.logical_or.reduceat(several, starts) if len(starts) else several
-        part = _part(hashes, parts).astype(np.int64)
+        several[1:] = ~new[1:] & (ids[1:] != ids[:-1])
+        first = np.flatnonzero(new)
+        hashes, part = hashes[first], part[first]
+        several = np.logical_or.reduceat(several, first) if len(first) else several
         cuts = np.searchsorted(part, np.arange(parts + 1))
         here = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
         return pd.DataFrame(
@@ -269,42 +341,22 @@ def _known(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], hot[order]
 
 
-def _found_stretches(docs: pd.DataFrame, known: pd.DataFrame) -> tuple[list, dict]:
-    """A block's stretches, each once: (key, bytes) with the smallest doc_id and where they lie; in a fixed order."""
-    found, hot = _known(known)
-    where: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-    docs = docs.sort_values("doc_id", kind="stable")
-    for row, (doc_id, text) in enumerate(zip(docs["doc_id"], docs["text"], strict=True)):
-        data = _bytes(text)
-        raw = data.tobytes()
-        for key, a, b in _stretches(data, found, hot):
-            where.setdefault((key, raw[a : b + LENGTH - 1]), []).append((row, int(doc_id), a))
-    return sorted(where), where
-
-
 def _send_stretches(parts: int):
     def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = ["part", "block", "keys", "lengths", "least", "most", "data"]
-        if not len(docs) or not len(known):
-            return pd.DataFrame([], columns=columns)
-        names, where = _found_stretches(docs, known)
-        keys = np.array([k for k, _ in names], np.uint64)
-        part = _part(keys, parts).astype(np.int64)
-        cuts = np.searchsorted(part, np.arange(parts + 1))
         out = []
-        for p in range(parts):
-            a, b = int(cuts[p]), int(cuts[p + 1])
-            if a == b:
-                continue
-            ids = [[d for _, d, _ in where[n]] for n in names[a:b]]
-            out.append(
-                (
-                    p, docs["block"].iloc[0], keys[a:b].tobytes(), np.array([len(s) for _, s in names[a:b]], np.int32).tobytes(),
-                    np.array(list(map(min, ids)), np.int64).tobytes(), np.array(list(map(max, ids)), np.int64).tobytes(),
-                    zstandard.compress(b"".join(s for _, s in names[a:b]), 1),
-                )
-            )
-        return pd.DataFrame(out, columns=columns)
+        if len(docs) and len(known):
+            texts = Texts(docs)
+            found = Stretches(texts, known, parts)
+            ids = texts.ids[texts.of(found.starts)]
+            least, most = (f.reduceat(ids, found.first) if len(ids) else ids for f in (np.minimum, np.maximum))
+            starts, size = found.starts[found.first], found.size[found.first] + LENGTH - 1
+            for p in range(parts):
+                here = slice(int(found.cuts[p]), int(found.cuts[p + 1]))
+                if here.start < here.stop:
+                    data = b"".join([texts.raw[a : a + n] for a, n in zip(starts[here].tolist(), size[here].tolist(), strict=True)])
+                    packed = [found.keys[found.first][here], size[here].astype(np.int32), least[here], most[here]]
+                    out.append((p, docs["block"].iloc[0], *[x.tobytes() for x in packed], zstandard.compress(data, 1)))
+        return pd.DataFrame(out, columns=["part", "block", "keys", "lengths", "least", "most", "data"])
 
     return run
 
@@ -388,34 +440,31 @@ def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _cut_block(parts: int, with_text: bool):
     def run(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values("doc_id", kind="stable")
-        marks: list[list[tuple[int, int]]] = [[] for _ in range(len(docs))]
-        known, found = back[back["hashes"].notna()], back[back["nth"].notna()]
-        if len(docs) and len(found):
-            names, where = _found_stretches(docs, known)
-            part = _part(np.array([k for k, _ in names], np.uint64), parts).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for r in found.itertuples(index=False):
-                pack = [np.frombuffer(zstandard.decompress(x), t) for x, t in ((r.nth, np.int32), (r.starts, np.int32), (r.ends, np.int32), (r.least, np.int64))]
-                for i, a, b, low in zip(*[x.tolist() for x in pack], strict=True):
-                    for row, doc_id, at in where[names[int(cuts[int(r.part)]) + i]]:
-                        if low < doc_id:
-                            marks[row].append((at + a, at + b + LENGTH - 1))
-        out = []
-        for (doc_id, text), spans in zip(zip(docs["doc_id"], docs["text"], strict=True), marks, strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            kept, end, removed, runs = [], 0, 0, 0
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                kept.append(data[end:a])
-                removed, runs, end = removed + b - a, runs + 1, b
-            kept.append(data[end:])
-            rest = b"".join(kept)
+        texts = Texts(docs)
+        depth = np.zeros(len(texts.data) + 1, np.int64)  # starts less ends of removed strings
+        answers = back[back["nth"].notna()]
+        if len(docs) and len(answers):
+            found = Stretches(texts, back[back["hashes"].notna()], parts)
+            ids = texts.ids[texts.of(found.starts)]
+            first = np.concatenate([found.first, [len(found.starts)]])
+            for r in answers.itertuples(index=False):
+                nth, a, b, low = (np.frombuffer(zstandard.decompress(x), t) for x, t in ((r.nth, np.int32), (r.starts, np.int32), (r.ends, np.int32), (r.least, np.int64)))
+                u = nth + int(found.cuts[int(r.part)])
+                count = first[u + 1] - first[u]
+                of = np.repeat(np.arange(len(u)), count)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[u][of]
+                pick = low[of] < ids[at]
+                of, at = of[pick], found.starts[at[pick]]
+                np.add.at(depth, at + a[of], 1)
+                np.add.at(depth, at + b[of] + LENGTH - 1, -1)
+        gone = np.cumsum(depth)[:-1] > 0
+        out, at = [], 0
+        for doc_id, end in zip(texts.ids.tolist(), texts.ends.tolist(), strict=True):
+            cut, data = gone[at:end], texts.data[at:end]
+            at = end
+            removed = int(cut.sum())
+            runs = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()) if removed else 0
+            rest = (data[~cut] if removed else data).tobytes()
             row = (doc_id, len(data), removed, runs, hashlib.sha256(rest).hexdigest())
             out.append((*row, rest.decode("utf-8", "ignore")) if with_text else row)
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -79,21 +80,29 @@ def test_suffix_dedup(docs, rows, hot, monkeypatch):
     assert sum(x[1] for x in want.values()) > 5000
 
 
-def test_hot_minimizers_dealt_by_side_keep_equal_strings_together():
+@pytest.mark.parametrize("piece", [1 << 21, 70])
+def test_hot_minimizers_dealt_by_side_keep_equal_strings_together(piece, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     r = random.Random(1)
-    line = prose(r, 30).encode()
-    texts = [np.frombuffer(prose(r, 6).encode() + line + prose(r, 6).encode(), np.uint8) for _ in range(30)]
-    low = np.unique(np.concatenate([suffix_dedup.minimizers(t) for t in texts]))
+    line = prose(r, 30)
+    docs = pd.DataFrame({"doc_id": range(32), "text": [prose(r, 6) + line + prose(r, 6) for _ in range(30)] + ["", line[:49]]})
+    texts = suffix_dedup.Texts(docs)
+    low = np.unique(texts.runs()[2])
+    starts = np.concatenate([[0], texts.ends[:-1]])
+    want = [p for a, b in zip(starts.tolist(), texts.ends.tolist()) for p in range(a, b - 49)]
     for hot in (False, True):
-        keys = collections.defaultdict(set)
-        for t in texts:
-            seen = []
-            for key, a, b in suffix_dedup._stretches(t, low, np.full(len(low), hot)):
-                seen += range(a, b)
-                for i in range(a, b):
-                    keys[t[i : i + 50].tobytes()].add(key)
-            assert seen == list(range(len(t) - 49))
+        known = pd.DataFrame({"hashes": [low.tobytes()], "hot": [np.packbits(np.full(len(low), hot)).tobytes()]})
+        found = suffix_dedup.Stretches(texts, known, 5)
+        keys, seen = collections.defaultdict(set), []
+        for a, n, key in zip(found.starts.tolist(), found.size.tolist(), found.keys.tolist()):
+            seen += range(a, a + n)
+            for i in range(a, a + n):
+                keys[texts.raw[i : i + 50]].add(key)
+        assert sorted(seen) == want
         assert all(len(k) == 1 for k in keys.values())
+        ends = [*found.first[1:].tolist(), len(found.starts)]
+        for a, b in zip(found.first.tolist(), ends):
+            assert len({texts.raw[s : s + n + 49] for s, n in zip(found.starts[a:b].tolist(), found.size[a:b].tolist())}) == 1
 
 
 def test_suffix_order_is_the_suffix_array():
