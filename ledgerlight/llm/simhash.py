@@ -81,14 +81,13 @@ def _group_mask(groups: tuple[int, ...]) -> int:
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """a, b: pairs of different fingerprints (a < b) that differ in at most bits bits, each once."""
     cells = list(combinations(range(GROUPS), GROUPS - bits))
-    coded = nodes.select("fp", embedding(F.col("fp")).alias("code"))
     masks = F.array(*[F.lit(_group_mask(c)) for c in cells])
-    spread = coded.select("fp", "code", F.posexplode(masks).alias("cell", "mask")).select(
-        "fp", "code", "cell", "mask", F.col("code").bitwiseAND(F.col("mask")).alias("at")
+    spread = nodes.select("fp", F.posexplode(masks).alias("cell", "mask")).select(
+        "cell", embedding(F.col("fp")).bitwiseAND(F.col("mask")).alias("at"), "fp"
     )
-    a = spread.select("cell", "at", "mask", F.col("fp").alias("a"), F.col("code").alias("code_a"))
-    b = spread.select(F.col("cell").alias("cell_b"), F.col("at").alias("at_b"), F.col("fp").alias("b"), F.col("code").alias("code_b"))
-    apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
+    # both sides have the same columns, so that one exchange serves both
+    a, b = spread.toDF("cell", "at", "a"), spread.toDF("cell_b", "at_b", "b")
+    apart = embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))
     # of the groups without a difference, the lowest make the first cell: none outside the cell may lie below its last
     same = [F.when(apart.bitwiseAND(F.lit(_group_mask((g,)))) == 0, F.lit(1 << g)).otherwise(F.lit(0)) for g in range(GROUPS)]
     agreeing = same[0]
