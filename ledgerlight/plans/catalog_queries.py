@@ -1,6 +1,644 @@
-def queries():
-    return {}
+"""Queries over a folder of tables, each with the SQL that says the same.
 
+Products are parts: name words as color and category, brand, type as style, size, retail price; ratings from line items.
+Texts are documents, sessions are the events of a user, phrases are benchmark passages.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import catalog, conversation, corpus, evaluation, questions, ranking, search
+from ..operators.search import Constraint
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- views ----
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    rated = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    words = F.split("p_name", " ")
+    rows = part.join(rated, F.col("p_partkey") == F.col("l_partkey"), "left")
+    average = F.when(F.col("n") > 0, F.col("q") / F.col("n") / 10)
+    return rows.select(
+        F.col("p_partkey").alias("id"), words[0].alias("color"), words[1].alias("category"), F.col("p_brand").alias("brand"), F.col("p_type").alias("style"),
+        F.col("p_size").cast("string").alias("size"), F.col("p_retailprice").alias("price"), F.coalesce("n", F.lit(0)).alias("n"),
+        catalog.wilson_prior(average, F.coalesce("n", F.lit(0))).alias("quality_prior"),
+    )
+
+
+PARTS = """
+SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS color, split_part(p_name, ' ', 2) AS category, p_brand AS brand, p_type AS style,
+  CAST(p_size AS VARCHAR) AS size, p_retailprice AS price, coalesce(n, 0) AS n,
+  CASE WHEN coalesce(n, 0) = 0 THEN 0.0::DOUBLE ELSE
+    (p + 3.8416::DOUBLE / (2 * n) - 1.96::DOUBLE * sqrt((p * (1 - p) + 3.8416::DOUBLE / (4 * n)) / n)) / (1 + 3.8416::DOUBLE / n) END AS quality_prior
+FROM part LEFT JOIN (
+  SELECT l_partkey, CAST(count(*) AS BIGINT) AS n, greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(l_quantity) / count(*) / 10::DOUBLE / 5)) AS p FROM lineitem GROUP BY 1
+) ON p_partkey = l_partkey
+"""
+SCALARS = {"color": "color", "category": "category", "brand": "brand", "style": "style", "size": "size"}
+
+
+def part_attributes(items: DataFrame) -> DataFrame:
+    return catalog.attributes(items, scalars=SCALARS)
+
+
+HARD = [
+    Constraint("brand", "Brand#11", id="c1", confidence=0.92),
+    Constraint("style", "PROMO", excluded=True, id="c2"),
+    Constraint("budget", "990", "less_than_or_equal", id="c3", confidence=0.92),
+]
+HARD_SQL = "brand = 'Brand#11' AND style <> 'PROMO' AND price <= 990"
+
+
+@query(f"""WITH p AS ({PARTS}) SELECT id, round(quality_prior, 9) AS score, CAST(row_number() OVER (ORDER BY quality_prior DESC, id) AS INTEGER) AS rank
+FROM p WHERE {HARD_SQL} ORDER BY quality_prior DESC, id LIMIT 10""")
+def hard_filter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = products(spark, sf_dir)
+    hits = search.quality_topk(search.hard_filter(items, part_attributes(items), HARD), 10)
+    return hits.select("id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(f"WITH p AS ({PARTS}) SELECT id, round(quality_prior, 9) AS prior FROM p")
+def wilson_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products(spark, sf_dir).select("id", F.round("quality_prior", 9).alias("prior"))
+
+
+EAV = f"""SELECT id, unnest(['color', 'category', 'brand', 'style', 'size']) AS attribute, unnest([color, category, brand, style, size]) AS value FROM ({PARTS})"""
+
+
+@query(EAV)
+def eav_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_attributes(products(spark, sf_dir))
+
+
+@query(f"SELECT attribute, value, CAST(count(*) AS BIGINT) AS n FROM ({EAV}) e JOIN (SELECT id FROM ({PARTS}) WHERE {HARD_SQL}) USING (id) GROUP BY 1, 2")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = products(spark, sf_dir)
+    rows = part_attributes(items)
+    return search.facets(search.hard_filter(items, rows, HARD), rows, list(SCALARS))
+
+
+@query(f"SELECT attribute, value, CAST(count(*) AS BIGINT) AS n FROM ({EAV}) GROUP BY 1, 2")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.value_counts(part_attributes(products(spark, sf_dir)))
+
+
+@query(f"SELECT attribute, value, CAST(count(*) AS BIGINT) AS n FROM ({EAV}) GROUP BY 1, 2 HAVING count(*) >= 10")
+def gist_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.gist_vocabulary(part_attributes(products(spark, sf_dir)))
+
+
+SOFT = [("color", "red"), ("color", "blue"), ("style", "LARGE"), ("style", "SMALL")]
+
+
+@query(f"""WITH p AS ({PARTS}), t(attribute, value) AS (VALUES ('color', 'red'), ('color', 'blue'), ('style', 'LARGE'), ('style', 'SMALL')),
+h AS (SELECT DISTINCT e.attribute AS route, id FROM ({EAV}) e JOIN t ON e.attribute = t.attribute AND e.value = t.value)
+SELECT route, id, rank FROM (SELECT route, id, CAST(row_number() OVER (PARTITION BY route ORDER BY quality_prior DESC, id) AS INTEGER) AS rank
+FROM h JOIN p USING (id) WHERE price <= 990) WHERE rank <= 50""")
+def soft_target_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = products(spark, sf_dir)
+    rows = part_attributes(items)
+    strict = search.hard_filter(items, rows, [HARD[2]])
+    wanted = F.concat_ws("=", "attribute", "value").isin([f"{a}={v}" for a, v in SOFT])
+    routes = rows.where(wanted).select(F.col("attribute").alias("route"), "id").distinct()
+    hits = routes.join(strict.select("id", F.col("quality_prior").alias("score")), "id")
+    return search.ranked(hits, 50, route=["route"]).select("route", "id", "rank")
+
+
+DOC_FIELDS = {"text": 1.0, "source": 1.5, "lang": 4.0}
+POSTINGS = """SELECT id, term, CAST(sum(w) AS DOUBLE) AS weighted_frequency FROM (
+  SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, 1.0 AS w FROM documents
+  UNION ALL SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')), 1.5 FROM documents
+  UNION ALL SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(lang), '[a-z0-9]+')), 4.0 FROM documents) GROUP BY 1, 2"""
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.weighted_postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), DOC_FIELDS)
+
+
+@query(POSTINGS)
+def weighted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(spark, sf_dir)
+
+
+@query(f"SELECT term, CAST(floor(sum(weighted_frequency)) AS BIGINT) AS weighted_df, CAST(count(*) AS BIGINT) AS df FROM ({POSTINGS}) GROUP BY 1")
+def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = postings(spark, sf_dir)
+    return rows.groupBy("term").agg(F.floor(F.sum("weighted_frequency")).cast("bigint").alias("weighted_df"), F.count("*").alias("df"))
+
+
+TERMS = ["the", "thing", "ation", "src3"]
+
+
+@query(f"""WITH p AS (SELECT * FROM ({POSTINGS}) WHERE term IN ('the', 'thing', 'ation', 'src3')),
+d AS (SELECT term, floor(sum(weighted_frequency)) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
+SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
+SELECT id, round(sum(weighted_frequency * (ln((n + 1) / (df + 1)) + 1)), 9) AS score FROM p JOIN d USING (term), n GROUP BY 1) ORDER BY rank LIMIT 20""")
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = postings(spark, sf_dir).where(F.col("term").isin(TERMS))
+    total = table(spark, sf_dir, "documents").count()
+    hits = search.tfidf(rows, catalog.document_frequency(rows), total, TERMS).withColumn("score", F.round("score", 9))
+    return search.ranked(hits, 20).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+BM25 = """WITH f AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a, regexp_extract_all(lower(source), '[a-z0-9]+') AS b,
+  regexp_extract_all(lower(lang), '[a-z0-9]+') AS c FROM documents),
+l AS (SELECT id, len(a) + len(b) + len(c) AS length, a, b, c FROM f),
+q(term) AS (VALUES ('the'), ('thing'), ('ation'), ('src3')),
+t AS (SELECT id, term, length, len(list_filter(a, x -> x = term)) * 1.0::DOUBLE + len(list_filter(b, x -> x = term)) * 1.5::DOUBLE + len(list_filter(c, x -> x = term)) * 4.0::DOUBLE AS tf FROM l, q),
+m AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM l), d AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM t GROUP BY 1),
+s AS (SELECT id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score
+  FROM t JOIN d USING (term), m WHERE tf > 0 GROUP BY 1)"""
+
+
+@query(BM25 + """ SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM s ORDER BY rank LIMIT 20""")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    hits = search.bm25(docs, DOC_FIELDS, TERMS).withColumn("score", F.round("score", 9))
+    return search.ranked(hits, 20).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+# ---- fusion, gate, posterior ----
+
+ROUTES = """r AS (SELECT id, route, rank FROM (
+  SELECT id, 'metadata' AS route, row_number() OVER (ORDER BY quality_prior DESC, id) AS rank FROM p WHERE style = 'LARGE'
+  UNION ALL SELECT id, 'metadata', row_number() OVER (ORDER BY quality_prior DESC, id) FROM p WHERE color = 'red'
+  UNION ALL SELECT id, 'exact_fts', row_number() OVER (ORDER BY price DESC, id) FROM p WHERE style = 'LARGE' OR color = 'red'
+  UNION ALL SELECT id, 'category_fallback', row_number() OVER (ORDER BY quality_prior DESC, id) FROM p) WHERE rank <= 1000),
+fused AS (SELECT id, sum(CASE route WHEN 'metadata' THEN 1.4::DOUBLE WHEN 'exact_fts' THEN 1.2::DOUBLE ELSE 0.25::DOUBLE END / (60 + rank)) AS rrf FROM r GROUP BY 1)"""
+INTENT = [
+    Constraint("style", "LARGE", strength="soft", confidence=0.80, id="s1", evidence="provisional_preference"),
+    Constraint("color", "red", strength="soft", confidence=0.80, id="s2", evidence="provisional_preference"),
+    Constraint("brand", "Brand#1", id="h1", confidence=0.92),
+    Constraint("size", "7", excluded=True, id="h2"),
+    Constraint("budget", "980", "less_than_or_equal", id="h3", confidence=0.92),
+]
+
+
+def evidence(items: DataFrame) -> DataFrame:
+    """The routes of a plan over the same products, ranked and cut to ROUTE_LIMIT each, as one union."""
+    def route(name: str, rows: DataFrame, order: str) -> DataFrame:
+        return search.ranked(rows.select("id", F.col(order).alias("score")), search.ROUTE_LIMIT).select("id", F.lit(name).alias("route"), "rank")
+
+    large, red = F.col("style") == "LARGE", F.col("color") == "red"
+    out = route("metadata", items.where(large), "quality_prior").unionByName(route("metadata", items.where(red), "quality_prior"))
+    out = out.unionByName(route("exact_fts", items.where(large | red), "price")).unionByName(route("category_fallback", items, "quality_prior"))
+    return ranking.with_weights(out)
+
+
+def gate_columns() -> dict:
+    return {a: F.array(F.col(a)) for a in SCALARS}
+
+
+@query(f"WITH p AS ({PARTS}), {ROUTES} SELECT id, round(rrf, 9) AS rrf FROM fused ORDER BY round(rrf, 12) DESC, id LIMIT 5000")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = ranking.fuse(evidence(products(spark, sf_dir)), cap=1 << 30).withColumn("rrf", F.round("rrf", 12))
+    return fused.orderBy(F.col("rrf").desc(), "id").limit(ranking.POPULATION).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+GATE_SQL = """list_aggregate(list_filter([CASE WHEN NOT (contains(brand, 'Brand#1') OR contains('Brand#1', brand)) THEN 'h1' END,
+  CASE WHEN contains(size, '7') OR contains('7', size) THEN 'h2' END, CASE WHEN price IS NULL OR price > 980 THEN 'h3' END], x -> x IS NOT NULL), 'string_agg', ',')"""
+
+
+@query(f"WITH p AS ({PARTS}) SELECT id, coalesce({GATE_SQL}, '') AS reasons FROM p")
+def eligibility_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = products(spark, sf_dir)
+    return items.select("id", F.array_join(ranking.eligibility_reasons(INTENT, gate_columns(), F.col("price")), ",").alias("reasons"))
+
+
+def scored_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = products(spark, sf_dir)
+    pool = ranking.fuse(evidence(items)).join(items, "id")
+    columns, price = gate_columns(), F.col("price")
+    pool = pool.withColumn("exploratory", F.size(ranking.eligibility_reasons(INTENT, columns, price)) > 0)
+    pool = pool.withColumn("score", F.col("rrf") + ranking.soft_score(INTENT, columns, price))
+    return pool.withColumn("log_belief", ranking.log_belief(ranking.belief_contributions(INTENT, columns, price, F.col("rrf"))))
+
+
+POOL_SQL = f"""g AS (SELECT p.*, rrf, coalesce({GATE_SQL}, '') <> '' AS exploratory,
+  contains(style, 'LARGE') OR contains('LARGE', style) AS m1, contains(color, 'red') OR contains('red', color) AS m2 FROM fused JOIN p USING (id)),
+b AS (SELECT *, 0.6::DOUBLE * rrf + 0.8::DOUBLE * ln(CASE WHEN m1 THEN 0.8 ELSE 0.12 END::DOUBLE) + 0.8::DOUBLE * ln(CASE WHEN m2 THEN 0.8 ELSE 0.12 END::DOUBLE) AS belief,
+  rrf + CASE WHEN m1 THEN 0.008::DOUBLE ELSE 0 END + CASE WHEN m2 THEN 0.008::DOUBLE ELSE 0 END AS score FROM g),
+pool AS (SELECT * FROM b WHERE NOT exploratory),
+post AS (SELECT id, exp(belief - (SELECT max(belief) FROM pool)) / (SELECT sum(exp(belief - (SELECT max(belief) FROM pool))) FROM pool) AS posterior FROM pool)"""
+
+
+@query(f"WITH p AS ({PARTS}), {ROUTES}, {POOL_SQL} SELECT id, round(posterior, 9) AS posterior FROM post")
+def softmax_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = scored_pool(spark, sf_dir).where(~F.col("exploratory"))
+    return ranking.posterior(strict).select("id", F.round("posterior", 9).alias("posterior"))
+
+
+@query(f"""WITH p AS ({PARTS}), {ROUTES}, {POOL_SQL} SELECT CAST(row_number() OVER (ORDER BY exploratory, shown, round(coalesce(posterior, 0), 12) DESC, round(score, 12) DESC, id) AS INTEGER) AS position,
+id, exploratory FROM (SELECT b.id, exploratory, b.id % 7 = 0 AS shown, posterior, score FROM b LEFT JOIN post USING (id)) ORDER BY position LIMIT 20""")
+def final_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored_pool(spark, sf_dir).withColumn("shown", F.col("id") % 7 == 0)
+    strict = ranking.posterior(rows.where(~F.col("exploratory")))
+    rows = strict.unionByName(rows.where(F.col("exploratory")).withColumn("posterior", F.lit(0.0)))
+    rows = rows.withColumn("posterior", F.round("posterior", 12)).withColumn("score", F.round("score", 12))
+    return ranking.slate(rows, 20).select("position", "id", "exploratory")
+
+
+@query(f"""WITH p AS ({PARTS}), {ROUTES}, {POOL_SQL}, n64 AS (SELECT p.*, posterior FROM post JOIN p USING (id) ORDER BY round(posterior, 12) DESC, id LIMIT 64),
+w AS (SELECT *, posterior / (SELECT sum(posterior) FROM n64) AS m FROM n64),
+x AS (SELECT id, m, unnest(['color', 'size', 'style', 'brand']) AS attribute, unnest([color, size, style, brand]) AS value FROM w),
+h AS (SELECT -sum(m * log2(m)) AS h FROM w), a AS (SELECT attribute, value AS answer, sum(m) AS mass FROM x GROUP BY 1, 2),
+c AS (SELECT a.attribute, answer, mass, m * CASE WHEN contains(value, answer) OR contains(answer, value) THEN 0.95::DOUBLE ELSE 0.05::DOUBLE END AS w FROM a JOIN x USING (attribute)),
+e AS (SELECT attribute, answer, mass, log2(sum(w)) - sum(w * log2(w)) / sum(w) AS hc FROM c GROUP BY 1, 2, 3),
+s AS (SELECT attribute, greatest(0, (SELECT h FROM h) - (0.15::DOUBLE * (SELECT h FROM h) + 0.85::DOUBLE * sum(mass * hc))) AS gain FROM e GROUP BY 1)
+SELECT attribute, round(gain, 6) AS gain, round(gain * CASE attribute WHEN 'color' THEN 0.95::DOUBLE WHEN 'size' THEN 0.85::DOUBLE WHEN 'style' THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END - 0.05::DOUBLE, 6) AS score FROM s""")
+def facet_entropy_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = ranking.posterior(scored_pool(spark, sf_dir).where(~F.col("exploratory")))
+    scores = questions.question_scores(strict.withColumn("posterior", F.round("posterior", 12)), ["color", "size", "style", "brand"])
+    return scores.select("attribute", F.round("information_gain", 6).alias("gain"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH p AS ({PARTS}), f AS (SELECT id, list_filter([CASE WHEN brand <> 'Brand#11' THEN 'c1' END, CASE WHEN style = 'PROMO' THEN 'c2' END,
+CASE WHEN price > 990 THEN 'c3' END], x -> x IS NOT NULL) AS f FROM p) SELECT id, f[1] AS relaxed FROM f WHERE len(f) = 1""")
+def leave_one_out_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = products(spark, sf_dir)
+    return search.leave_one_out(items, part_attributes(items), HARD)
+
+
+# ---- vocabulary ----
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, [concat('Color: ', split_part(p_name, ' ', 1), '; new'), concat('size: ', p_size), concat('note ', p_brand)] AS features FROM part),
+k AS (SELECT DISTINCT id, CASE WHEN i = 1 THEN 'color' ELSE 'size' END AS attribute, lower(CASE WHEN i = 1 THEN substr(split_part(x, ';', 1), 8) ELSE substr(x, 7) END) AS value
+FROM (SELECT id, unnest(features) AS x, generate_subscripts(features, 1) AS i FROM f) WHERE i <= 2)
+SELECT id, attribute, value FROM k WHERE length(value) BETWEEN 2 AND 25 AND regexp_matches(value, '[a-z]')
+AND (attribute, value) IN (SELECT (attribute, value) FROM k GROUP BY attribute, value HAVING count(*) >= 2)""")
+def keyed_value_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    features = F.array(F.concat(F.lit("Color: "), F.split("p_name", " ")[0], F.lit("; new")), F.concat(F.lit("size: "), "p_size"), F.concat(F.lit("note "), "p_brand"))
+    return catalog.recovered_keyed_values(part.select(F.col("p_partkey").alias("id"), features.alias("features")))
+
+
+@query("""SELECT p_partkey AS id, 'material' AS attribute, lower(split_part(p_name, ' ', 2)) AS value FROM part
+WHERE lower(split_part(p_name, ' ', 2)) IN (SELECT lower(split_part(p_name, ' ', 2)) FROM part GROUP BY 1 HAVING count(*) >= 2)""")
+def material_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    details = part.select("id", F.lit("material").alias("attribute"), F.split("p_name", " ")[1].alias("value"))
+    feature = F.array(F.concat(F.lit("100% "), "p_name"))
+    return catalog.recovered_materials(part.withColumn("features", feature), catalog.material_vocabulary(details))
+
+
+@query(f"""WITH c AS (SELECT attribute, value, count(*) AS n, lower(replace(value, '#', ' ')) AS phrase FROM ({EAV}) GROUP BY 1, 2),
+k AS (SELECT *, CASE attribute WHEN 'category' THEN 1 WHEN 'color' THEN 3 WHEN 'size' THEN 4 WHEN 'style' THEN 5 ELSE 6 END AS r FROM c WHERE length(phrase) > 1)
+SELECT phrase, value, attribute FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY n DESC, r, value DESC) AS x FROM k WHERE attribute = 'size' OR n >= 2 OR contains(phrase, ' ')) WHERE x = 1""")
+def phrase_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["category", "material", "color", "size", "style", "brand", "feature", "use_case"]
+    return catalog.resolve_phrases(part_attributes(products(spark, sf_dir)), order)
+
+
+GAZETTEER_SQL = """g AS (SELECT term FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) WHERE length(term) > 1 GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.search_terms(F.col("text"))).alias("term"))
+    return terms.where(F.length("term") > 1).groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").select("term")
+
+
+@query(f"""WITH {GAZETTEER_SQL}, w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations WHERE role = 'user'),
+t AS (SELECT conv_id, turn, unnest(w) AS term FROM w) SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT term) AS BIGINT) AS terms FROM t SEMI JOIN g USING (term) GROUP BY 1, 2""")
+def ngram_gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").where("role = 'user'")
+    grams = said.select("conv_id", "turn", F.explode(T.ngrams(T.ordered_tokens(F.col("text")), 1)).alias("term"))
+    found = grams.join(gazetteer(spark, sf_dir), "term", "left_semi")
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("mentions"), F.countDistinct("term").alias("terms"))
+
+
+@query()
+def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's ledger after each user message; the gazetteer is the catalog's bounded vocabulary."""
+    resolved = phrase_resolution(spark, sf_dir).collect()
+    known = {r["phrase"]: (r["value"], r["attribute"]) for r in resolved}
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", "text", F.lit(None).cast("string").alias("asked"))
+    return conversation.replay(said, known)
+
+
+@query("""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(lower(text), '\\$\\s*[0-9]|under\\s*[0-9]|budget') THEN 'budget'
+WHEN regexp_matches(lower(text), 'cotton|polyester|nylon|leather|wool|spandex|silk|rayon|fabric') THEN 'material' WHEN regexp_matches(lower(text), 'color|black|white|blue|red|pink|green') THEN 'color'
+WHEN regexp_matches(lower(text), 'size|sizing|width|wide|narrow') THEN 'size' WHEN regexp_matches(lower(text), 'department|style|fit|sleeve|neck') THEN 'style'
+WHEN regexp_matches(lower(text), 'hiking|running|gym|winter|outdoor|work') THEN 'use_case' ELSE 'feature' END AS class FROM conversations WHERE NOT contains(text, '<=')""")
+def constraint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").where(~F.col("text").contains("<="))
+    return said.select("conv_id", "turn", F.when(F.trim("text") == "", "empty").otherwise(T.classify_constraint(F.col("text"))).alias("class"))
+
+
+@query("""SELECT p_partkey AS id, concat('t', p_partkey % 10, ':brand:equals:', p_brand, ':include:', p_size) AS constraint_id, p_brand AS value, CAST(p_size AS INTEGER) AS ordinal FROM part""")
+def constraint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    name = T.constraint_id(F.col("p_partkey") % 10, F.lit("brand"), F.lit("equals"), F.col("p_brand"), F.lit(False), F.col("p_size"))
+    rows = part.select(F.col("p_partkey").alias("id"), name.alias("constraint_id"))
+    parsed = T.parse_constraint_id(F.col("constraint_id"))
+    return rows.select("id", "constraint_id", parsed["value"].alias("value"), parsed["ordinal"].alias("ordinal"))
+
+
+@query("""SELECT p_partkey AS id, concat('less_than_or_equal=', p_size, ',greater_than_or_equal=', CASE WHEN p_size % 2 = 0 THEN concat(p_size, '') ELSE concat(p_size, '.5') END) AS bounds FROM part""")
+def price_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    low = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("at least $"), "p_size", F.lit(".0"))).otherwise(F.concat(F.lit("over "), "p_size", F.lit(".5")))
+    message = F.concat(F.lit("something under $"), "p_size", F.lit(" please, "), low)
+    bounds = F.array_join(F.transform(T.price_bounds(message), lambda b: F.concat_ws("=", b["operator"], b["value"])), ",")
+    return part.select(F.col("p_partkey").alias("id"), bounds.alias("bounds"))
+
+
+@query("""SELECT p_partkey AS id, concat(split_part(p_name, ' ', 2), ' ', p_type) AS category FROM part""")
+def coarse_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    parts = F.array(F.lit("Clothing, Shoes"), F.concat_ws(", ", F.split("p_name", " ")[1], "p_type"))
+    return part.select(F.col("p_partkey").alias("id"), T.coarse_category(parts).alias("category"))
+
+
+# ---- sessions and inference ----
+
+OUTCOMES = """o AS (SELECT user_id AS sample_id, CASE WHEN user_id % 20 = 0 THEN 'boundary' WHEN user_id % 20 <= 8 THEN 'browsing' WHEN user_id % 20 <= 16 THEN 'buying' ELSE 'intent_override' END AS scenario,
+  min(CASE WHEN event_type = 'purchase' AND turn <= 10 THEN turn END) AS first_hit_turn, arg_min(CAST(event_id % 10 + 1 AS INTEGER), turn) FILTER (event_type = 'purchase' AND turn <= 10) AS best_rank
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS turn FROM events) GROUP BY 1, 2),
+s AS (SELECT *, first_hit_turn IS NOT NULL AS hit, CASE WHEN best_rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / best_rank END AS rr FROM o)"""
+
+
+def scenario_of(key: str):
+    k = F.col(key) % 20
+    return F.when(k == 0, "boundary").when(k <= 8, "browsing").when(k <= 16, "buying").otherwise("intent_override")
+
+
+def outcomes(spark: SparkSession, sf_dir: str, kind: str = "purchase") -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    turns = table(spark, sf_dir, "events").withColumn("turn", F.row_number().over(w))
+    shown = (F.col("event_type") == kind) & (F.col("turn") <= 10)
+    rank = (F.col("event_id") % 10 + 1).cast("int")
+    out = turns.groupBy(F.col("user_id").alias("sample_id")).agg(F.min(F.when(shown, F.col("turn"))).alias("first_hit_turn"), F.min_by(F.when(shown, rank), F.when(shown, F.col("turn"))).alias("best_rank"))
+    return out.withColumn("scenario", scenario_of("sample_id")).withColumn("hit", F.col("first_hit_turn").isNotNull()).withColumn("reciprocal_rank", F.when(F.col("best_rank").isNull(), 0.0).otherwise(1.0 / F.col("best_rank")))
+
+
+SUMMARY = "CAST(count(*) AS BIGINT) AS sample_count, round(avg(hit::INT), 6) AS hit_rate, round(avg(rr), 6) AS mrr, round(avg(coalesce(first_hit_turn, 11)), 6) AS mttc"
+SCORE = "round(0.5::DOUBLE * hit_rate + 0.3::DOUBLE * mrr + 0.2::DOUBLE * greatest(0, least(1, (11 - mttc) / 10)), 6)"
+
+
+@query(f"WITH {OUTCOMES}, m AS (SELECT {SUMMARY} FROM s) SELECT *, {SCORE} AS technical_score FROM m")
+def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.metric_summary(outcomes(spark, sf_dir)).drop("efficiency")
+
+
+@query(f"WITH {OUTCOMES}, m AS (SELECT scenario, {SUMMARY} FROM s GROUP BY 1) SELECT scenario, sample_count, hit_rate, mrr, mttc, round(sqrt(hit_rate * (1 - hit_rate) / sample_count), 9) AS standard_error, sample_count >= 40 AS decision_grade FROM m")
+def scenario_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluation.scenario_breakout(outcomes(spark, sf_dir))
+    return rows.select("scenario", "sample_count", "hit_rate", "mrr", "mttc", F.round("standard_error", 9).alias("standard_error"), "decision_grade")
+
+
+@query(f"WITH {OUTCOMES} SELECT CAST(depth AS INTEGER) AS depth, round(avg(coalesce((best_rank <= depth)::INT, 0)), 6) AS hit_rate FROM s, (SELECT unnest([1, 3, 5, 10]) AS depth) GROUP BY 1")
+def hit_rate_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.hit_rate_curve(outcomes(spark, sf_dir))
+
+
+@query(f"WITH {OUTCOMES}, x AS (SELECT sample_id, hit, CASE WHEN sample_id % 5 = 0 THEN NULL ELSE first_hit_turn END AS t, best_rank, rr FROM s) SELECT sample_id, 'hit_without_turn_or_rank' AS violation FROM x WHERE hit AND t IS NULL")
+def outcome_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = outcomes(spark, sf_dir).withColumn("first_hit_turn", F.when(F.col("sample_id") % 5 != 0, F.col("first_hit_turn")))
+    return evaluation.outcome_violations(rows).select("sample_id", "violation")
+
+
+PAIRS = OUTCOMES + ", " + OUTCOMES.replace("o AS (", "o2 AS (").replace("'purchase'", "'signup'").replace("s AS (SELECT", "s2 AS (SELECT").replace("FROM o)", "FROM o2)") + """,
+pairs AS (SELECT s.sample_id, row_number() OVER (ORDER BY CAST(s.sample_id AS VARCHAR)) - 1 AS pos, s.hit::INT::DOUBLE AS ah, s.rr AS ar, coalesce(s.first_hit_turn, 11)::DOUBLE AS at, s2.hit::INT::DOUBLE AS bh, s2.rr AS br, coalesce(s2.first_hit_turn, 11)::DOUBLE AS bt
+  FROM s JOIN s2 USING (sample_id)), n AS (SELECT count(*) AS n FROM pairs)"""
+REPS = 200
+
+
+def _score(h: str, r: str, t: str) -> str:
+    return f"round(0.5::DOUBLE * round(avg({h}), 6) + 0.3::DOUBLE * round(avg({r}), 6) + 0.2::DOUBLE * greatest(0, least(1, (11 - round(avg({t}), 6)) / 10)), 6)"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.paired(outcomes(spark, sf_dir), outcomes(spark, sf_dir, "signup"))
+
+
+@query(f"""WITH {PAIRS}, d AS (SELECT rep, CAST(('0x' || substr(md5(rep || '|' || i), 1, 8))::UBIGINT % n AS BIGINT) AS pos FROM range({REPS}) r(rep), n, range(100000) k(i) WHERE i < n),
+x AS (SELECT rep, {_score('bh', 'br', 'bt')} - {_score('ah', 'ar', 'at')} AS delta FROM d JOIN pairs USING (pos) GROUP BY 1)
+SELECT round(max(CASE WHEN k = 4 THEN delta END), 6) AS low, round(max(CASE WHEN k = 195 THEN delta END), 6) AS high, round(stddev_pop(delta), 6) AS standard_error
+FROM (SELECT delta, row_number() OVER (ORDER BY delta, rep) - 1 AS k FROM x)""")
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.bootstrap_interval(evaluation.bootstrap_replicates(pairs(spark, sf_dir), REPS), REPS)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "standard_error")])
+
+
+@query(f"""WITH {PAIRS}, z AS (SELECT rep, ('0x' || substr(md5('p|' || rep || '|' || pos), 1, 8))::UBIGINT % 2 = 1 AS swap, pairs.* FROM range({REPS}) r(rep), pairs),
+x AS (SELECT rep, {_score('CASE WHEN swap THEN ah ELSE bh END', 'CASE WHEN swap THEN ar ELSE br END', 'CASE WHEN swap THEN at ELSE bt END')}
+ - {_score('CASE WHEN swap THEN bh ELSE ah END', 'CASE WHEN swap THEN br ELSE ar END', 'CASE WHEN swap THEN bt ELSE at END')} AS delta FROM z GROUP BY 1),
+ob AS (SELECT {_score('bh', 'br', 'bt')} - {_score('ah', 'ar', 'at')} AS o FROM pairs)
+SELECT round((count(*) FILTER (abs(delta) >= abs(o) - 1e-9) + 1) / (count(*) + 1), 9) AS p_value FROM x, ob""")
+def paired_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pairs(spark, sf_dir)
+    observed = both.agg((evaluation.score_of("b") - evaluation.score_of("a")).alias("o")).first()["o"]
+    out = evaluation.permutation_p(evaluation.permutation_replicates(both, REPS), observed - (1e-9 if observed > 0 else -1e-9))
+    return out.select(F.round("p_value", 9).alias("p_value"))
+
+
+@query(f"""WITH {PAIRS}, d AS (SELECT row_number() OVER (ORDER BY sample_id) - 1 AS pos, round(br - ar, 6) AS d FROM pairs WHERE sample_id <= 12),
+m AS (SELECT mask, sum(CASE WHEN (mask >> pos) & 1 = 1 THEN -d ELSE d END) AS s FROM range(4096) r(mask), d WHERE mask < (1 << (SELECT count(*) FROM d)) GROUP BY 1)
+SELECT round(count(*) FILTER (abs(s) >= (SELECT abs(s) FROM m WHERE mask = 0) - 1e-9) / count(*), 9) AS p_value FROM m""")
+def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = pairs(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("bigint")).where("sample_id <= 12")
+    d = few.select((F.row_number().over(Window.orderBy("sample_id")) - 1).alias("pos"), F.round(F.col("b_rr") - F.col("a_rr"), 6).alias("d"))
+    return evaluation.sign_flip_p(d, d.count()).select(F.round("p_value", 9).alias("p_value"))
+
+
+@query("""WITH t AS (SELECT p_brand AS name, ('0x' || substr(md5(p_brand), 1, 8))::UBIGINT % 1000 / 10000.0::DOUBLE AS p FROM part GROUP BY 1),
+a AS (SELECT name, p, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p) AS s FROM t)
+SELECT name, round(p, 9) AS p_value, round(max(s) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS holm_p FROM a""")
+def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
+    tests = names.withColumn("p_value", evaluation.portable_draw(F.col("name"), 1000) / F.lit(10000.0))
+    return evaluation.holm_adjust(tests).select("name", F.round("p_value", 9).alias("p_value"), F.round("holm_p", 9).alias("holm_p"))
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT CASE WHEN sample_id % 20 = 0 THEN 'boundary' WHEN sample_id % 20 <= 8 THEN 'browsing' WHEN sample_id % 20 <= 16 THEN 'buying' ELSE 'intent_override' END AS scenario, ah, bh FROM pairs)
+SELECT scenario, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (ah = 1 AND bh = 0) AS BIGINT) AS b, CAST(count(*) FILTER (ah = 0 AND bh = 1) AS BIGINT) AS c FROM x GROUP BY 1""")
+def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pairs(spark, sf_dir).withColumn("scenario", scenario_of("sample_id"))
+    return evaluation.mcnemar_counts(both, "scenario").select("scenario", "n", "b", "c")
+
+
+@query(f"WITH {OUTCOMES}, m AS (SELECT scenario, {SUMMARY} FROM s GROUP BY 1), t AS (SELECT scenario AS fingerprint, {SCORE} AS technical_score FROM m) SELECT CAST(row_number() OVER (ORDER BY technical_score DESC, fingerprint) AS INTEGER) AS place, fingerprint, technical_score FROM t")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluation.metric_summary(outcomes(spark, sf_dir), "scenario").select(F.col("scenario").alias("fingerprint"), "technical_score")
+    return evaluation.leaderboard(rows).select("place", "fingerprint", "technical_score")
+
+
+@query("""WITH f AS (SELECT user_id, bool_or(event_type = 'error' AND value > 90) AS rejected, bool_or(event_type = 'error') AS incompatible, bool_or(event_type = 'view' AND value > 60) AS in_population,
+bool_or(event_type = 'purchase' AND value > 99) AS in_slate, bool_or(event_type = 'click' AND value < 1) AS route_failed, user_id % 3 > 0 AS has_metadata FROM events GROUP BY user_id),
+r AS (SELECT CASE WHEN rejected OR (NOT in_population AND incompatible) THEN 'target_rejected' WHEN in_population AND NOT in_slate THEN 'target_ranked_below_ten' WHEN route_failed THEN 'route_failure'
+WHEN NOT has_metadata THEN 'insufficient_target_metadata' WHEN NOT in_population AND NOT incompatible THEN 'target_not_retrieved' ELSE 'unknown' END AS reason FROM f) SELECT reason, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1""")
+def miss_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = F.col("event_type"), F.col("value")
+    some = lambda c: F.bool_or(c)
+    flags = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        some((e == "error") & (v > 90)).alias("rejected"), some(e == "error").alias("incompatible"), some((e == "view") & (v > 60)).alias("in_population"),
+        some((e == "purchase") & (v > 99)).alias("in_slate"), some((e == "click") & (v < 1)).alias("route_failed"),
+    ).withColumn("has_metadata", F.col("user_id") % 3 > 0)
+    return evaluation.attribute_misses(flags).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT user_id, row_number() OVER (ORDER BY min(event_id)) AS k FROM events GROUP BY 1), b AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS k FROM conversations GROUP BY 1)
+SELECT user_id, conv_id FROM a JOIN b USING (k)""")
+def trace_first_seen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a trace in order of first appearance, matched by place to the list of samples."""
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first"))
+    seen = seen.withColumn("k", F.row_number().over(Window.orderBy("first")))
+    samples = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("conv_id")))
+    return seen.join(samples, "k").select("user_id", "conv_id")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, max(event_id) FILTER (event_type = 'purchase') AS last_purchase FROM events GROUP BY 1")
+def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id")
+    return rows.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("last_purchase"))
+
+
+# ---- corpora ----
+
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+DIVERGENCE = f"""t AS (SELECT b.item_id, d.doc_id, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS p, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+c AS (SELECT *, list_filter(p, x -> x NOT IN ({STOP})) AS c, list_distinct(list_transform(range(1, len(p)), i -> p[i] || ' ' || p[i + 1])) AS pb, list_distinct(list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])) AS tb FROM t),
+o AS (SELECT item_id, doc_id, len(c) AS content, len(list_filter(c, x -> list_contains(t, x))) AS overlap,
+  len(list_filter(list_intersect(pb, tb), b -> split_part(b, ' ', 1) NOT IN ({STOP}) OR split_part(b, ' ', 2) NOT IN ({STOP}))) AS shared FROM c),
+r AS (SELECT *, CASE WHEN content = 0 THEN 0.0::DOUBLE ELSE overlap::DOUBLE / content END AS ratio FROM o)"""
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"), (F.col("item_id") % 40).alias("k"))
+    targets = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"), (F.col("doc_id") % 40).alias("k"))
+    return corpus.divergence(targets.join(F.broadcast(phrases), "k"))
+
+
+@query(f"WITH {DIVERGENCE} SELECT item_id, doc_id, CAST(content AS INTEGER) AS content_tokens, round(ratio, 9) AS overlap_ratio, CAST(shared AS INTEGER) AS shared_bigrams, ratio <= 0.5 AND shared = 0 AS passes FROM r")
+def lexical_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports(spark, sf_dir)
+    return rows.select("item_id", "doc_id", "content_tokens", F.round("overlap_ratio", 9).alias("overlap_ratio"), F.size("shared_bigrams").alias("shared_bigrams"), "passes")
+
+
+@query(f"""WITH {DIVERGENCE} SELECT CAST(item_id % 4 AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n, round(avg(ratio), 6) AS mean, round(median(ratio), 6) AS median, round(min(ratio), 6) AS least,
+CAST(count(*) FILTER (ratio <= 0.5 AND shared = 0) AS BIGINT) AS passed FROM r GROUP BY 1""")
+def bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = corpus.bucket_summary(reports(spark, sf_dir).withColumn("bucket", F.col("item_id") % 4))
+    return out.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "least")], "passed")
+
+
+QUOTAS = """z AS (SELECT c_mktsegment AS stratum, count(*) AS size FROM customer GROUP BY 1), n AS (SELECT sum(size) AS n FROM z),
+f AS (SELECT stratum, size, 100 * size // n AS fl, 100 * size % n AS rest FROM z, n),
+q AS (SELECT stratum, CAST(size AS BIGINT) AS size, CAST(fl + (row_number() OVER (ORDER BY rest DESC, stratum) <= 100 - (SELECT sum(fl) FROM f))::INT AS BIGINT) AS quota FROM f)"""
+
+
+@query(f"WITH {QUOTAS} SELECT stratum, size, quota FROM q")
+def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("stratum")).agg(F.count("*").alias("size"))
+    return corpus.proportional_quotas(sizes, 100)
+
+
+@query(f"WITH {QUOTAS} SELECT id, stratum FROM (SELECT c_custkey AS id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('seed|' || c_custkey), c_custkey) AS k FROM customer) JOIN q USING (stratum) WHERE k <= quota")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("stratum"))
+    return corpus.stratified_sample(rows, 100, "seed", "id").select("id", "stratum")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), f AS (SELECT scenario, n * share // 10000 AS fl, n * share % 10000 AS rest, n FROM n, (VALUES ('boundary', 500), ('browsing', 4000), ('buying', 4000), ('intent_override', 1500)) v(scenario, share)),
+q AS (SELECT scenario, fl + (row_number() OVER (ORDER BY rest DESC, scenario) <= n - (SELECT sum(fl) FROM f))::INT AS quota FROM f), e AS (SELECT scenario, quota, sum(quota) OVER (ORDER BY scenario) AS hi FROM q),
+p AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY md5('mix|' || s_suppkey), s_suppkey) - 1 AS at FROM supplier) SELECT id, scenario FROM p JOIN e ON at >= hi - quota AND at < hi""")
+def scenario_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return corpus.assign_by_quota(rows, corpus.SCENARIO_MIX, "mix", "id").select("id", "scenario")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_retailprice IS NULL THEN 'unknown' WHEN p_retailprice - 890 < 20 THEN 'under_20' WHEN p_retailprice - 890 < 50 THEN 'under_50' WHEN p_retailprice - 890 < 100 THEN 'under_100' ELSE 'over_100' END AS band FROM part")
+def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), corpus.price_band(F.col("p_retailprice") - 890).alias("band"))
+
+
+@query("""WITH g AS (SELECT l_orderkey AS pair, count(*) AS n, count(DISTINCT l_returnflag) AS arms, count(DISTINCT l_linestatus) AS targets, count(*) FILTER (l_returnflag = 'N') AS controls FROM lineitem GROUP BY 1)
+SELECT pair, 'no_control' AS violation FROM g WHERE controls = 0 UNION ALL SELECT pair, 'single_arm' FROM g WHERE arms < 2 UNION ALL SELECT pair, 'repeated_arm' FROM g WHERE n > arms UNION ALL SELECT pair, 'several_targets' FROM g WHERE targets > 1""")
+def pairing_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_returnflag").alias("arm"), F.col("l_linestatus").alias("target"))
+    return corpus.pairing_violations(rows, control="N")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, CAST(1 + o_orderkey % 7 AS BIGINT) AS n_left FROM orders), b AS (SELECT l_orderkey AS k, CAST(count(*) AS BIGINT) AS n_right FROM lineitem GROUP BY 1)
+SELECT k, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM a FULL JOIN b USING (k) WHERE coalesce(n_left, 0) <> coalesce(n_right, 0)""")
+def count_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.lit(1) + F.col("o_orderkey") % 7).alias("n_left"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n_right"))
+    return corpus.reconcile(ledger, rows, "k")
+
+
+@query("""WITH c AS (SELECT CASE WHEN o_orderkey % 20 = 0 THEN 'boundary' WHEN o_orderkey % 20 <= 8 THEN 'browsing' WHEN o_orderkey % 20 <= 12 THEN 'buying' ELSE 'intent_override' END AS scenario FROM orders), t AS (SELECT count(*) AS t FROM c),
+w AS (SELECT * FROM (VALUES ('boundary', 0.05::DOUBLE), ('browsing', 0.4::DOUBLE), ('buying', 0.4::DOUBLE), ('intent_override', 0.15::DOUBLE)) v(scenario, wanted)), n AS (SELECT scenario, count(*) AS n FROM c GROUP BY 1)
+SELECT scenario, round(coalesce(n, 0) / t, 9) AS share, wanted FROM w LEFT JOIN n USING (scenario), t WHERE abs(coalesce(n, 0) / t - wanted) > 0.02""")
+def scenario_mix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 20
+    named = F.when(k == 0, "boundary").when(k <= 8, "browsing").when(k <= 12, "buying").otherwise("intent_override")
+    out = corpus.scenario_mix_violations(table(spark, sf_dir, "orders").select(named.alias("scenario")))
+    return out.select("scenario", F.round("share", 9).alias("share"), "wanted")
+
+
+@query("SELECT coalesce(o_custkey, c_custkey) AS k, CASE WHEN c_custkey IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT o_custkey FROM orders) FULL JOIN customer ON o_custkey = c_custkey WHERE o_custkey IS NULL OR c_custkey IS NULL")
+def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return corpus.symmetric_difference(a, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS pair, l_returnflag AS arm, l_linenumber AS item FROM lineitem GROUP BY 1, 2, 3), a AS (SELECT pair, count(DISTINCT arm) AS arms FROM i GROUP BY 1)
+SELECT DISTINCT pair FROM (SELECT pair, item, count(*) AS held FROM i GROUP BY 1, 2) JOIN a USING (pair) WHERE held < arms""")
+def unmatched_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_returnflag").alias("arm"), F.col("l_linenumber").alias("item"))
+    return corpus.unmatched_sets(rows)
+
+
+@query("SELECT l_orderkey, l_suppkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.repeated_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS sessions, CAST(count(DISTINCT l_partkey) AS BIGINT) AS targets, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS pairs, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS arms FROM lineitem")
+def corpus_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_returnflag").alias("arm"), F.col("l_partkey").alias("target"))
+    return corpus.describe(rows)
+
+
+@query("""WITH k AS (SELECT l_orderkey AS pair, l_returnflag AS slot, l_linenumber AS position, l_orderkey * 10 + l_linenumber AS item FROM lineitem WHERE l_quantity > 5)
+SELECT pair, slot, item, CAST(row_number() OVER (PARTITION BY pair, slot ORDER BY position, item) - 1 AS INTEGER) AS new_position FROM (SELECT DISTINCT * FROM k) WHERE item NOT IN (SELECT l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_quantity <= 5)""")
+def surviving_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_returnflag").alias("slot"), F.struct("l_linenumber", item).alias("position"), item, "l_quantity")
+    kept = lines.where("l_quantity > 5").drop("l_quantity").distinct()
+    return corpus.surviving_positions(kept, lines.where("l_quantity <= 5").select("item").distinct()).select("pair", "slot", "item", "new_position")
