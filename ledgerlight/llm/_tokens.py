@@ -1,57 +1,86 @@
-"""Ids of whole texts by the tokenizers library, a run of text at a time, each different run encoded once."""
+"""Ids of whole texts by the tokenizers library, a run of text at a time, each different run encoded once.
+
+A run is what stands between white space, with what the pre-tokenizer joins to it; the library never looks across the
+ends of a run. New runs are encoded many at a time, with a separator between them that is always one id of its own.
+"""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
-CACHE = 300_000  # runs kept at most; then a new cache begins
+KEPT = 700_000  # runs remembered at most; then the memory begins anew
+TOGETHER = 1 << 20  # characters of text looked at together
+JOINED = 400  # runs encoded as one text
 
-# A run never ends within what the pre-tokenizer keeps together: byte-level vocabularies join one leading space to
-# what follows it, vocabularies with word ends drop white space.
+# Byte-level vocabularies join one leading space to what follows it; vocabularies with word ends drop white space.
 _RUNS = {"space": re.compile(r" ?\S+|\s+(?!\S)|\s+"), "word": re.compile(r"[^ \t\n\r\x0b\f]+")}
-# White space on which the libraries differ, and strings that may be special tokens: such texts are encoded whole.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+_BETWEEN = {"space": "\n", "word": " \x01 "}
+# White space on which the libraries differ, the separator, and strings that may be special tokens: encoded whole.
+_WHOLE = re.compile("[\x01\x1c-\x1f]|<\\|")
 
 
 class Encoder:
     """kind: "space" for byte-level vocabularies, "word" for those that drop white space."""
 
-    def __init__(self, path: str, kind: str, end_id: int | None = None, whole: bool = False):
-        self.tokenizer, self.runs, self.whole = _tokenizer(path), _RUNS[kind], whole
+    def __init__(self, path: str, kind: str, end_id: int | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.runs, self.between = _RUNS[kind], _BETWEEN[kind]
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Little-endian unsigned 32-bit ids, with the end id."""
-        if not text:
-            return np.frombuffer(self.end, "<u4")
-        if self.whole or _WHOLE.search(text):
-            return np.frombuffer(self._encode(text) + self.end, "<u4")
-        runs, cache = self.runs.findall(text), self.cache
-        try:
-            found = [cache[r] for r in runs]
-        except KeyError:
-            new = list({r for r in runs if r not in cache})
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(set(runs))
-            for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[r] = np.array(e.ids, "<u4").tobytes()
-            found = [cache[r] for r in runs]
-        found.append(self.end)
-        return np.frombuffer(b"".join(found), "<u4")
+        self.known: dict[str, bytes] = {}
+        mark = self._encode(self.between)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, runs: list[str]) -> None:
+        plain = [r for r in runs if not r.isspace()]
+        texts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for part, got in zip(texts, self.tokenizer.encode_batch_fast([self.between.join(p) for p in texts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                self.known.update((r, self._encode(r).tobytes()) for r in part)
+                continue
+            raw, starts = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(starts, [*(4 * cuts).tolist(), len(raw)], strict=True)], strict=True))
+        self.known.update((r, self._encode(r).tobytes()) for r in runs if r.isspace())
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Little-endian unsigned 32-bit ids of each text, with the end id."""
+        held: list[str | None] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= TOGETHER:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def _some(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        whole = [bool(t and (self.mark is None or _WHOLE.search(t))) for t in texts]
+        runs = [[] if w or not t else self.runs.findall(t) for t, w in zip(texts, whole, strict=True)]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        known, end = self.known, self.end
+        found = [list(map(known.get, own)) for own in runs]
+        if new := {r for own, got in zip(runs, found, strict=True) if None in got for r, g in zip(own, got, strict=True) if g is None}:
+            self._learn(list(new))
+            found = [list(map(known.__getitem__, own)) if None in got else got for own, got in zip(runs, found, strict=True)]
+        for t, w, got in zip(texts, whole, found, strict=True):
+            yield np.frombuffer((self._encode(t).tobytes() if w else b"".join(got)) + end, "<u4")
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, kind: str, end_id: int | None = None) -> Encoder:
+    """An encoder that a Python worker keeps from task to task."""
+    return Encoder(path, kind, end_id)

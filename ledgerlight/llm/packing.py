@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut
-from ._tokens import Encoder
+from ._tokens import encoder
 
 LENGTH = 4096
 SEGMENTS = 512
@@ -133,7 +133,7 @@ def pack_documents(
     ).where("doc_id is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task = Encoder(tokenizer_path, kind, end_id), TaskContext.get()
+        encode, task = encoder(tokenizer_path, kind, end_id), TaskContext.get()
         part, count = task.partitionId() if task else 0, 0
         held: list[tuple[int, np.ndarray, int]] = []
 
@@ -154,8 +154,7 @@ def pack_documents(
 
         size = 0
         for batch in batches:
-            for doc_id, text, bearing in zip(batch["doc_id"].tolist(), batch["text"], batch["loss"], strict=True):
-                ids = encoder.ids(text)
+            for doc_id, ids, bearing in zip(batch["doc_id"].tolist(), encode.many(batch["text"]), batch["loss"], strict=True):
                 first = 0 if bearing is None or bearing != bearing else max(0, len(ids) - int(bearing))
                 held.append((doc_id, ids, first))
                 size += len(ids)

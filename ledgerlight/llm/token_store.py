@@ -5,7 +5,7 @@ chunks. A chunk is named by its BLAKE2b digest and stored once. A recipe lists a
 ascending doc_id order, with the number of ids before the document. Each pack of chunks and each file of recipes has
 a line in the manifest with the root of the Merkle tree over its digests.
 
-    <store>/items    kind=chunk: digest, data (ids as little-endian 16- or 32-bit integers, zstd)
+    <store>/items    kind=chunk: digest, data (a byte for the width, then ids as little-endian 16- or 32-bit integers)
                      kind=recipe: doc_id, n_tokens, digests (joined)
     <store>/order    doc_id, start, n_tokens, digests in ascending doc_id order
     <store>/manifest kind, part, items, root
@@ -27,12 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import partitions, running_total, shared_path
-from ._tokens import Encoder
+from ._tokens import encoder
 
 WINDOW = 16
 MASK = (1 << 9) - 1  # a chunk ends after 512 ids on average
@@ -84,7 +83,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def _narrow(ids: np.ndarray) -> bytes:
     """A byte for the width, then the ids."""
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + ids.tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
@@ -92,32 +91,38 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _encode(path: str, kind: str, end_id: int):
+    columns = ["kind", "to", "digest", "doc_id", "n_tokens", "data"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "n_tokens": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, pack = Encoder(path, kind, end_id), zstandard.ZstdCompressor(level=1)
+        encode = encoder(path, kind, end_id)
         seen: set[bytes] = set()
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                ids, names, last = encoder.ids(text), [], 0
+            for doc_id, ids in zip(batch["doc_id"].tolist(), encode.many(batch["text"]), strict=True):
+                names, last = [], 0
+                raw = _narrow(ids)
+                width, raw = raw[0], raw[1:]
                 for end in cuts(ids):
-                    chunk = ids[last:end]
-                    name = digest(chunk.tobytes())
+                    chunk = bytes([width]) + raw[width * last : width * end]
+                    name = digest(chunk)
                     names.append(name)
                     last = end
                     if name not in seen:
                         seen.add(name)
-                        data = pack.compress(_narrow(chunk))
-                        size += len(data)
-                        rows.append(("chunk", int.from_bytes(name[:7], "little"), name, None, None, data))
+                        size += len(chunk)
+                        rows.append(("chunk", int.from_bytes(name[:7], "little"), name, None, None, chunk))
                 rows.append(("recipe", doc_id, None, doc_id, len(ids), b"".join(names)))
                 if size >= BYTES or len(rows) >= ROWS:
-                    yield pd.DataFrame(rows, columns=["kind", "to", "digest", "doc_id", "n_tokens", "data"]).astype({"doc_id": "Int64", "n_tokens": "Int64"})
+                    yield frame(rows)
                     rows, size = [], 0
             if len(seen) > 1 << 20:
                 seen = set()
         if rows:
-            yield pd.DataFrame(rows, columns=["kind", "to", "digest", "doc_id", "n_tokens", "data"]).astype({"doc_id": "Int64", "n_tokens": "Int64"})
+            yield frame(rows)
 
     return run
 
@@ -141,7 +146,7 @@ def write(documents: DataFrame, store: str, tokenizer_path: str, kind: str = "sp
     schema = "kind string, to long, digest binary, doc_id long, n_tokens long, data binary"
     rows = docs.mapInPandas(_encode(tokenizer_path, kind, end_id), schema)
     rows = rows.repartition(parts, "to").sortWithinPartitions("digest").mapInPandas(_once, schema).drop("to")
-    rows.write.partitionBy("kind").option("compression", "none").parquet(f"{store}/items")
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{store}/items")
 
     recipes = _items(spark, store).where("kind = 'recipe'").select("doc_id", "n_tokens", "data")
     placed = running_total(recipes.withColumnRenamed("data", "digests"), "n_tokens", "doc_id", "digests", name="start")
@@ -221,12 +226,11 @@ def crc_join(first: int, second: int, second_length: int) -> int:
 
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """digest, crc, n: from every chunk's bytes, which must bear its name."""
-    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
         for name, data in zip(batch["digest"], batch["data"], strict=True):
-            raw = _wide(unpack.decompress(bytes(data))).tobytes()
-            if digest(raw) != bytes(name):
+            raw = _wide(data).tobytes()
+            if digest(data) != bytes(name):
                 raise ValueError(f"chunk {bytes(name).hex()} is damaged")
             out.append((bytes(name), zlib.crc32(raw), len(raw) // 4))
         yield pd.DataFrame(out, columns=["digest", "crc", "n"])
@@ -267,9 +271,8 @@ def read_ids(spark: SparkSession, store: str, doc_ids: list[int]) -> dict[int, l
     listed = _order(spark, store).where(F.col("doc_id").isin(doc_ids)).collect()
     names = {r["digests"][i : i + DIGEST] for r in listed for i in range(0, len(r["digests"]), DIGEST)}
     got = {bytes(r["digest"]): bytes(r["data"]) for r in _chunks(spark, store).where(F.col("digest").isin([bytearray(n) for n in names])).collect()}
-    unpack = zstandard.ZstdDecompressor()
     return {
-        r["doc_id"]: [x for i in range(0, len(r["digests"]), DIGEST) for x in _wide(unpack.decompress(got[bytes(r["digests"][i : i + DIGEST])])).tolist()]
+        r["doc_id"]: [x for i in range(0, len(r["digests"]), DIGEST) for x in _wide(got[bytes(r["digests"][i : i + DIGEST])]).tolist()]
         for r in listed
     }
 
