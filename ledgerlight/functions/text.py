@@ -54,11 +54,20 @@ def search_terms(value: Column) -> Column:
     return F.array_distinct(ordered_tokens(value))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: inside a lambda, Spark would compute it for each element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """n-word phrases of a token array, in order, repeats kept."""
-    last = F.size(tokens) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        last = F.size(t) - n + 1
+        made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(t, i, n)))
+        return F.when(last >= 1, made).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def bigrams(tokens: Column) -> Column:
@@ -119,7 +128,7 @@ def canonical_number(value: Column) -> Column:
 
 def coarse_category(categories: Column) -> Column:
     """The last two parts, between commas, of a category list."""
-    parts = F.transform(F.flatten(F.transform(categories, lambda c: F.split(c, ","))), F.trim)
+    parts = F.transform(F.flatten(F.transform(categories, lambda c: F.split(c, ","))), lambda p: F.trim(p))
     kept = F.filter(parts, lambda p: (p != "") & ~F.lower(p).isin("clothing", "clothing shoes & jewelry", "clothing, shoes & jewelry"))
     last = F.slice(kept, F.greatest(F.size(kept) - 1, F.lit(1)), F.lit(2))
     return F.when(F.size(kept) == 0, "clothing item").otherwise(F.concat_ws(" ", last))

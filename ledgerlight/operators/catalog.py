@@ -37,7 +37,8 @@ def wilson_prior(average: Column, count: Column) -> Column:
 def attributes(products: DataFrame, lists: dict[str, str] | None = None, scalars: dict[str, str] | None = None, details: str | None = None, key: str = "id") -> DataFrame:
     """id, attribute, value: one row for each distinct value of an attribute, from list, scalar and key/value columns."""
     pair = lambda a, v: F.struct(F.lit(a).alias("attribute"), v.cast("string").alias("value"))
-    parts = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v, a=a: pair(a, v)) for a, c in (lists or {}).items()]
+    listed = lambda a, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: pair(a, v))
+    parts = [listed(a, c) for a, c in (lists or {}).items()]
     if scalars:
         parts.append(F.array(*[pair(a, F.col(c)) for a, c in scalars.items()]))
     if details:
@@ -48,7 +49,8 @@ def attributes(products: DataFrame, lists: dict[str, str] | None = None, scalars
 
 def weighted_postings(products: DataFrame, fields: dict[str, float], key: str = "id") -> DataFrame:
     """id, term, weighted_frequency: the sum of the weights of the fields that hold the term."""
-    parts = [F.transform(search_terms(F.coalesce(F.col(c), F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in fields.items()]
+    weighted = lambda c, w: F.transform(search_terms(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    parts = [weighted(c, w) for c, w in fields.items()]
     rows = products.select(key, F.explode(F.concat(*parts)).alias("p"))
     return rows.groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("weighted_frequency"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, bigrams, classify_constraint, ordered_tokens
+from ..functions.text import STOPWORDS, bigrams, classify_constraint, let, ordered_tokens
 
 SCENARIO_MIX = {"boundary": 0.05, "browsing": 0.40, "buying": 0.40, "intent_override": 0.15}
 TOLERANCE = 0.02
@@ -61,13 +61,15 @@ def divergence(pairs: DataFrame, phrase: str = "phrase", target: str = "target",
     """pairs with the phrase's content tokens, the share that the target has too, shared word pairs, and whether it passes."""
     p, t = ordered_tokens(F.col(phrase)), ordered_tokens(F.col(target))
     content = F.filter(p, lambda x: ~x.isin(STOPWORDS))
-    rows = pairs.withColumn("_c", content).withColumn("_t", F.array_distinct(t)).withColumn("_tb", bigrams(t)).withColumn("_pb", bigrams(p))
-    rows = rows.withColumn("overlapping", F.filter("_c", lambda x: F.array_contains("_t", x)))
-    shared = F.filter(F.array_intersect("_pb", "_tb"), lambda b: F.exists(F.split(b, " "), lambda x: ~x.isin(STOPWORDS)))
-    rows = rows.withColumn("shared_bigrams", shared).withColumn("content_tokens", F.size("_c"))
+    shared = F.filter(F.array_intersect(bigrams(p), bigrams(t)), lambda b: F.exists(F.split(b, " "), lambda x: ~x.isin(STOPWORDS)))
+    both = let(
+        F.struct(content.alias("c"), F.array_distinct(t).alias("t"), shared.alias("shared")),
+        lambda s: F.struct(F.filter(s["c"], lambda x: F.array_contains(s["t"], x)).alias("overlapping"), s["shared"].alias("shared_bigrams"), F.size(s["c"]).alias("content_tokens")),
+    )
+    rows = pairs.withColumn("_m", both).select("*", "_m.*").drop("_m")
     ratio = F.when(F.col("content_tokens") == 0, F.lit(0.0)).otherwise(F.size("overlapping") / F.col("content_tokens"))
     rows = rows.withColumn("overlap_ratio", ratio)
-    return rows.withColumn("passes", (F.col("overlap_ratio") <= limit) & (F.size("shared_bigrams") == 0)).drop("_c", "_t", "_tb", "_pb")
+    return rows.withColumn("passes", (F.col("overlap_ratio") <= limit) & (F.size("shared_bigrams") == 0))
 
 
 def bucket_summary(reports: DataFrame, bucket: str = "bucket") -> DataFrame:

@@ -110,7 +110,8 @@ def field_frequencies(products: DataFrame, fields: dict[str, float], terms: list
     tokens = {c: ordered_tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields}
     rows = products.select(key, *[t.alias(f"_{c}") for c, t in tokens.items()])
     length = sum((F.size(f"_{c}") for c in fields), F.lit(0))
-    tf = [sum((F.size(F.filter(f"_{c}", lambda x, t=t: x == t)) * w for c, w in fields.items()), F.lit(0.0)) for t in terms]
+    count = lambda c, t: F.size(F.filter(f"_{c}", lambda x: x == t))
+    tf = [sum((count(c, t) * w for c, w in fields.items()), F.lit(0.0)) for t in terms]
     return rows.select(key, length.alias("length"), F.array(*tf).alias("tf"))
 
 

@@ -177,7 +177,7 @@ BM25 = """WITH f AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0
   regexp_extract_all(lower(lang), '[a-z0-9]+') AS c FROM documents),
 l AS (SELECT id, len(a) + len(b) + len(c) AS length, a, b, c FROM f),
 q(term) AS (VALUES ('the'), ('thing'), ('ation'), ('src3')),
-t AS (SELECT id, term, length, len(list_filter(a, x -> x = term)) * 1.0::DOUBLE + len(list_filter(b, x -> x = term)) * 1.5::DOUBLE + len(list_filter(c, x -> x = term)) * 4.0::DOUBLE AS tf FROM l, q),
+t AS (SELECT id, term, length, len(list_filter(a, lambda x: x = term)) * 1.0::DOUBLE + len(list_filter(b, lambda x: x = term)) * 1.5::DOUBLE + len(list_filter(c, lambda x: x = term)) * 4.0::DOUBLE AS tf FROM l, q),
 m AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM l), d AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM t GROUP BY 1),
 s AS (SELECT id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score
   FROM t JOIN d USING (term), m WHERE tf > 0 GROUP BY 1)"""
@@ -229,7 +229,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GATE_SQL = """list_aggregate(list_filter([CASE WHEN NOT (contains(brand, 'Brand#1') OR contains('Brand#1', brand)) THEN 'h1' END,
-  CASE WHEN contains(size, '7') OR contains('7', size) THEN 'h2' END, CASE WHEN price IS NULL OR price > 980 THEN 'h3' END], x -> x IS NOT NULL), 'string_agg', ',')"""
+  CASE WHEN contains(size, '7') OR contains('7', size) THEN 'h2' END, CASE WHEN price IS NULL OR price > 980 THEN 'h3' END], lambda x: x IS NOT NULL), 'string_agg', ',')"""
 
 
 @query(f"WITH p AS ({PARTS}) SELECT id, coalesce({GATE_SQL}, '') AS reasons FROM p")
@@ -286,7 +286,7 @@ def facet_entropy_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS ({PARTS}), f AS (SELECT id, list_filter([CASE WHEN brand <> 'Brand#11' THEN 'c1' END, CASE WHEN style = 'PROMO' THEN 'c2' END,
-CASE WHEN price > 990 THEN 'c3' END], x -> x IS NOT NULL) AS f FROM p) SELECT id, f[1] AS relaxed FROM f WHERE len(f) = 1""")
+CASE WHEN price > 990 THEN 'c3' END], lambda x: x IS NOT NULL) AS f FROM p) SELECT id, f[1] AS relaxed FROM f WHERE len(f) = 1""")
 def leave_one_out_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = products(spark, sf_dir)
     return search.leave_one_out(items, part_attributes(items), HARD)
@@ -432,7 +432,7 @@ def outcome_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = OUTCOMES + ", " + OUTCOMES.replace("o AS (", "o2 AS (").replace("'purchase'", "'signup'").replace("s AS (SELECT", "s2 AS (SELECT").replace("FROM o)", "FROM o2)") + """,
-pairs AS (SELECT s.sample_id, row_number() OVER (ORDER BY CAST(s.sample_id AS VARCHAR)) - 1 AS pos, s.hit::INT::DOUBLE AS ah, s.rr AS ar, coalesce(s.first_hit_turn, 11)::DOUBLE AS at, s2.hit::INT::DOUBLE AS bh, s2.rr AS br, coalesce(s2.first_hit_turn, 11)::DOUBLE AS bt
+pairs AS (SELECT s.sample_id, row_number() OVER (ORDER BY CAST(s.sample_id AS VARCHAR)) - 1 AS pos, s.hit::INT::DOUBLE AS ah, s.rr AS ar, coalesce(s.first_hit_turn, 11)::DOUBLE AS av, s2.hit::INT::DOUBLE AS bh, s2.rr AS br, coalesce(s2.first_hit_turn, 11)::DOUBLE AS bv
   FROM s JOIN s2 USING (sample_id)), n AS (SELECT count(*) AS n FROM pairs)"""
 REPS = 200
 
@@ -446,7 +446,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, d AS (SELECT rep, CAST(('0x' || substr(md5(rep || '|' || i), 1, 8))::UBIGINT % n AS BIGINT) AS pos FROM range({REPS}) r(rep), n, range(100000) k(i) WHERE i < n),
-x AS (SELECT rep, {_score('bh', 'br', 'bt')} - {_score('ah', 'ar', 'at')} AS delta FROM d JOIN pairs USING (pos) GROUP BY 1)
+x AS (SELECT rep, {_score('bh', 'br', 'bv')} - {_score('ah', 'ar', 'av')} AS delta FROM d JOIN pairs USING (pos) GROUP BY 1)
 SELECT round(max(CASE WHEN k = 4 THEN delta END), 6) AS low, round(max(CASE WHEN k = 195 THEN delta END), 6) AS high, round(stddev_pop(delta), 6) AS standard_error
 FROM (SELECT delta, row_number() OVER (ORDER BY delta, rep) - 1 AS k FROM x)""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,9 +455,9 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, z AS (SELECT rep, ('0x' || substr(md5('p|' || rep || '|' || pos), 1, 8))::UBIGINT % 2 = 1 AS swap, pairs.* FROM range({REPS}) r(rep), pairs),
-x AS (SELECT rep, {_score('CASE WHEN swap THEN ah ELSE bh END', 'CASE WHEN swap THEN ar ELSE br END', 'CASE WHEN swap THEN at ELSE bt END')}
- - {_score('CASE WHEN swap THEN bh ELSE ah END', 'CASE WHEN swap THEN br ELSE ar END', 'CASE WHEN swap THEN bt ELSE at END')} AS delta FROM z GROUP BY 1),
-ob AS (SELECT {_score('bh', 'br', 'bt')} - {_score('ah', 'ar', 'at')} AS o FROM pairs)
+x AS (SELECT rep, {_score('CASE WHEN swap THEN ah ELSE bh END', 'CASE WHEN swap THEN ar ELSE br END', 'CASE WHEN swap THEN av ELSE bv END')}
+ - {_score('CASE WHEN swap THEN bh ELSE ah END', 'CASE WHEN swap THEN br ELSE ar END', 'CASE WHEN swap THEN bv ELSE av END')} AS delta FROM z GROUP BY 1),
+ob AS (SELECT {_score('bh', 'br', 'bv')} - {_score('ah', 'ar', 'av')} AS o FROM pairs)
 SELECT round((count(*) FILTER (abs(delta) >= abs(o) - 1e-9) + 1) / (count(*) + 1), 9) AS p_value FROM x, ob""")
 def paired_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = pairs(spark, sf_dir)
@@ -530,11 +530,17 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- corpora ----
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-DIVERGENCE = f"""t AS (SELECT b.item_id, d.doc_id, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS p, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
-c AS (SELECT *, list_filter(p, x -> x NOT IN ({STOP})) AS c, list_distinct(list_transform(range(1, len(p)), i -> p[i] || ' ' || p[i + 1])) AS pb, list_distinct(list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])) AS tb FROM t),
-o AS (SELECT item_id, doc_id, len(c) AS content, len(list_filter(c, x -> list_contains(t, x))) AS overlap,
-  len(list_filter(list_intersect(pb, tb), b -> split_part(b, ' ', 1) NOT IN ({STOP}) OR split_part(b, ' ', 2) NOT IN ({STOP}))) AS shared FROM c),
-r AS (SELECT *, CASE WHEN content = 0 THEN 0.0::DOUBLE ELSE overlap::DOUBLE / content END AS ratio FROM o)"""
+DIVERGENCE = f"""p AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)),
+d AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
+pb AS (SELECT DISTINCT a.item_id, a.w AS a, b.w AS b FROM p a JOIN p b ON a.item_id = b.item_id AND b.i = a.i + 1 WHERE a.w NOT IN ({STOP}) OR b.w NOT IN ({STOP})),
+db AS (SELECT DISTINCT a.doc_id, a.w AS a, b.w AS b FROM d a JOIN d b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+c AS (SELECT item_id, w FROM p WHERE w NOT IN ({STOP})), dw AS (SELECT DISTINCT doc_id, w FROM d),
+k AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
+n AS (SELECT item_id, count(*) AS content FROM c GROUP BY 1),
+o AS (SELECT k.item_id, k.doc_id, count(*) AS overlap FROM k JOIN c ON k.item_id = c.item_id JOIN dw ON dw.doc_id = k.doc_id AND dw.w = c.w GROUP BY 1, 2),
+h AS (SELECT k.item_id, k.doc_id, count(*) AS shared FROM k JOIN pb ON k.item_id = pb.item_id JOIN db ON db.doc_id = k.doc_id AND db.a = pb.a AND db.b = pb.b GROUP BY 1, 2),
+r AS (SELECT k.item_id, k.doc_id, coalesce(content, 0) AS content, coalesce(shared, 0) AS shared, CASE WHEN content IS NULL THEN 0.0::DOUBLE ELSE coalesce(overlap, 0)::DOUBLE / content END AS ratio
+  FROM k LEFT JOIN n ON k.item_id = n.item_id LEFT JOIN o ON k.item_id = o.item_id AND k.doc_id = o.doc_id LEFT JOIN h ON k.item_id = h.item_id AND k.doc_id = h.doc_id)"""
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,7 +581,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT count(*) AS n FROM supplier), f AS (SELECT scenario, n * share // 10000 AS fl, n * share % 10000 AS rest, n FROM n, (VALUES ('boundary', 500), ('browsing', 4000), ('buying', 4000), ('intent_override', 1500)) v(scenario, share)),
 q AS (SELECT scenario, fl + (row_number() OVER (ORDER BY rest DESC, scenario) <= n - (SELECT sum(fl) FROM f))::INT AS quota FROM f), e AS (SELECT scenario, quota, sum(quota) OVER (ORDER BY scenario) AS hi FROM q),
-p AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY md5('mix|' || s_suppkey), s_suppkey) - 1 AS at FROM supplier) SELECT id, scenario FROM p JOIN e ON at >= hi - quota AND at < hi""")
+p AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY md5('mix|' || s_suppkey), s_suppkey) - 1 AS k FROM supplier) SELECT id, scenario FROM p JOIN e ON k >= hi - quota AND k < hi""")
 def scenario_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     return corpus.assign_by_quota(rows, corpus.SCENARIO_MIX, "mix", "id").select("id", "scenario")

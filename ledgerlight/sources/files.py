@@ -32,7 +32,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     def normal(c):
         joined = normalize_text(F.array_join(F.transform(items(c), lambda x: F.translate(x, sep, " ")), f" {sep} "))
-        return F.filter(F.transform(F.split(joined, sep), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(joined, sep), lambda x: F.trim(x)), lambda x: x != "")
 
     rows = raw.select(
         F.when(F.coalesce("parent_asin", F.lit("")) == "", F.raise_error(F.lit("a product has no id")).cast("string")).otherwise(F.col("parent_asin")).alias("id"),
