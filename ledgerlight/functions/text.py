@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = "[a-z0-9]+"
 
@@ -30,12 +31,15 @@ CLASS_WORDS = (
 )
 
 
-@F.pandas_udf("string")
-def normalize_text(values: pd.Series) -> pd.Series:
-    """NFKC, case folded, white space collapsed and trimmed. Spark has neither NFKC nor case folding."""
+def _normalized(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
 
 
+def normalize_text(value: Column) -> Column:
+    """NFKC, case folded, white space collapsed and trimmed. Spark has neither NFKC nor case folding."""
+    return F.pandas_udf(_normalized, StringType())(value)
+
+
 def normalize_ascii(value: Column) -> Column:
     """The same for ASCII text, inside generated code."""
     return F.trim(F.regexp_replace(F.lower(value), r"(?U)\s+", " "))

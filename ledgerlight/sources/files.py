@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import normalize_text
 from ..operators.catalog import attributes, document_frequency, non_negative_int, optional_float, wilson_prior
@@ -15,7 +14,7 @@ from .schemas import CORPUS, OUTCOME, PRODUCT, SCHEMA_VERSION, TRACE
 FIELDS = ("title", "categories", "features", "details", "store", "description")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are passed over, malformed ones are an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -27,8 +26,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = read_jsonl(spark, path, PRODUCT)
     items = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    # one Python pass over joined text keeps the arrays: U+001F parts items, and normalization leaves it alone
-    sep = "\x1f"
+    # one Python pass over joined text keeps the arrays: U+E000 parts items, and normalization leaves it alone
+    sep = "\ue000"
 
     def normal(c):
         joined = normalize_text(F.array_join(F.transform(items(c), lambda x: F.translate(x, sep, " ")), f" {sep} "))
