@@ -18,7 +18,7 @@ TOGETHER = 1 << 20  # characters of text looked at together
 JOINED = 400  # runs encoded as one text
 
 # Byte-level vocabularies join one leading space to what follows it; vocabularies with word ends drop white space.
-_RUNS = {"space": re.compile(r" ?\S+|\s+(?!\S)|\s+"), "word": re.compile(r"[^ \t\n\r\x0b\f]+")}
+_RUNS = {"space": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, "word": str.split}
 _BETWEEN = {"space": "\n", "word": " \x01 "}
 # White space on which the libraries differ, the separator, and strings that may be special tokens: encoded whole.
 _WHOLE = re.compile("[\x01\x1c-\x1f]|<\\|")
@@ -68,7 +68,7 @@ class Encoder:
 
     def _some(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         whole = [bool(t and (self.mark is None or _WHOLE.search(t))) for t in texts]
-        runs = [[] if w or not t else self.runs.findall(t) for t, w in zip(texts, whole, strict=True)]
+        runs = [[] if w or not t else self.runs(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > KEPT:
             self.known.clear()
         known, end = self.known, self.end
