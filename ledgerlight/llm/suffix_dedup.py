@@ -459,21 +459,21 @@ def _cut_block(parts: int, with_text: bool):
                 np.add.at(depth, at + b[of] + LENGTH - 1, -1)
         gone = np.cumsum(depth)[:-1] > 0
         out, at = [], 0
-        for doc_id, end in zip(texts.ids.tolist(), texts.ends.tolist(), strict=True):
+        for doc_id, end, text in zip(texts.ids.tolist(), texts.ends.tolist(), texts.docs["text"], strict=True):
             cut, data = gone[at:end], texts.data[at:end]
             at = end
             removed = int(cut.sum())
             runs = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()) if removed else 0
             rest = (data[~cut] if removed else data).tobytes()
             row = (doc_id, len(data), removed, runs, hashlib.sha256(rest).hexdigest())
-            out.append((*row, rest.decode("utf-8", "ignore")) if with_text else row)
+            out.append((*row, rest.decode("utf-8", "ignore") if removed else text) if with_text else row)
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
     return run
 
 
 def dedup_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with_text: kept, too (broken characters gone)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with_text: kept, too (broken characters gone; null stays null)."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     spark = docs.sparkSession
     parts = max(1, partitions(spark))
@@ -498,9 +498,10 @@ def deduplicated(documents: DataFrame, **options) -> DataFrame:
     from ._common import first_of_id
 
     documents = first_of_id(documents, "doc_id", "text")
-    kept = dedup_passages(documents, with_text=True, **options).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), "n_removed")
-    rows = documents.join(kept, F.col("doc_id") == F.col("_id"))
-    text = F.when(F.col("n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+    kept = dedup_passages(documents, with_text=True, **options).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
+    # texts come back from the operator, so that the documents' own need not be moved again
+    rows = documents.drop("text").join(kept, F.col("doc_id") == F.col("_id"))
+    text = F.col("_kept")
     out = {c: F.col(f"`{c}`") for c in documents.columns} | {"text": text}
     if "n_chars" in documents.columns:
         out["n_chars"] = F.length(text).cast(documents.schema["n_chars"].dataType)
