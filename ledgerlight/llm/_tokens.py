@@ -1,11 +1,14 @@
-"""Ids of whole texts by the tokenizers library, a run of text at a time, each different run encoded once.
+"""Ids of whole texts by the tokenizers library, a piece of text at a time, each different piece encoded once.
 
-A run is what stands between white space, with what the pre-tokenizer joins to it; the library never looks across the
-ends of a run. New runs are encoded many at a time, with a separator between them that is always one id of its own.
+Where a text holds Latin-1 characters only, its pieces are those into which the vocabulary's own pre-tokenizer cuts it,
+written here with that range's letters and numbers named; the library then gets the pieces alone, without its own
+normalizer and pattern. Any other text is cut at white space, with what the pre-tokenizer joins to it, and the library
+does the rest; it never looks across the ends of such a run. New pieces are encoded many at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -13,46 +16,98 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT = 700_000  # runs remembered at most; then the memory begins anew
+KEPT = 400_000  # pieces remembered at most; then the memory begins anew
 TOGETHER = 1 << 20  # characters of text looked at together
-JOINED = 400  # runs encoded as one text
-
+JOINED = 400  # pieces encoded as one text
+
+# fixed values: the letters and numbers of Latin-1, and the patterns of the two kinds of vocabulary
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_PIECES = {
+    "space": re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+").findall,
+    "word": re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall,
+}
 # Byte-level vocabularies join one leading space to what follows it; vocabularies with word ends drop white space.
 _RUNS = {"space": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, "word": str.split}
 _BETWEEN = {"space": "\n", "word": " \x01 "}
-# White space on which the libraries differ, the separator, and strings that may be special tokens: encoded whole.
-_WHOLE = re.compile("[\x01\x1c-\x1f]|<\\|")
+# White space on which the libraries differ, the separators, and strings that may be special tokens: encoded whole.
+_ODD = bytes([0, 1, *range(28, 32)])
+_SPECIAL = "<|"
+_BEYOND = bytes(range(0xC4, 0x100))  # first bytes of what is not Latin-1, in UTF-8
+_END = "</w>"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter by which byte-level vocabularies write each byte: itself if it can be seen, else from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Memory(dict):
+    """Ids by piece, as bytes; what is asked for and not there is noted in new, in its order."""
+
+    new: list[str]
+
+    def __missing__(self, piece: str) -> None:
+        self.new.append(piece)
 
 
 class Encoder:
-    """kind: "space" for byte-level vocabularies, "word" for those that drop white space."""
+    """kind: "space" for byte-level vocabularies, "word" for those that lower case and drop white space."""
 
     def __init__(self, path: str, kind: str, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs, self.between = _RUNS[kind], _BETWEEN[kind]
+        self.kind, self.between = kind, _BETWEEN[kind]
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = _Memory()  # by piece of a Latin-1 text
+        self.runs = _Memory()  # by run of any other
         mark = self._encode(self.between)
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        # the vocabulary alone: pieces come in its own letters, one a line
+        vocabulary = made["model"]["vocab"]
+        self.plain = Tokenizer.from_str(
+            json.dumps({**made, "normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "post_processor": None, "decoder": None, "added_tokens": []})
+        )
+        self.letters = _byte_letters() | {0: 10}
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)  # letters of each id
+        for word, i in vocabulary.items():
+            self.length[i] = len(word.removesuffix(_END)) if kind == "word" else len(word)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, runs: list[str]) -> None:
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        parts = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        lines = ["\0".join(p).encode().decode("latin-1").translate(self.letters) for p in parts]
+        for part, line, got in zip(parts, lines, self.plain.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            breaks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 10)
+            ends = np.append(breaks, len(line)) - np.arange(len(part))  # without the breaks themselves
+            reached = np.cumsum(self.length[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if cuts[-1] != len(ids) or (reached[cuts - 1] != ends).any():
+                self.known.update((p, self._encode(p).tobytes()) for p in part)
+                continue
+            raw, stops = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)], strict=True))
+
+    def _learn_runs(self, runs: list[str]) -> None:
         plain = [r for r in runs if not r.isspace()]
         texts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for part, got in zip(texts, self.tokenizer.encode_batch_fast([self.between.join(p) for p in texts], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(part) - 1:
-                self.known.update((r, self._encode(r).tobytes()) for r in part)
+                self.runs.update((r, self._encode(r).tobytes()) for r in part)
                 continue
             raw, starts = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(starts, [*(4 * cuts).tolist(), len(raw)], strict=True)], strict=True))
-        self.known.update((r, self._encode(r).tobytes()) for r in runs if r.isspace())
+            self.runs.update(zip(part, [raw[a:b] for a, b in zip(starts, [*(4 * cuts).tolist(), len(raw)], strict=True)], strict=True))
+        self.runs.update((r, self._encode(r).tobytes()) for r in runs if r.isspace())
 
     def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
@@ -67,17 +122,39 @@ class Encoder:
         yield from self._some(held)
 
     def _some(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        whole = [bool(t and (self.mark is None or _WHOLE.search(t))) for t in texts]
-        runs = [[] if w or not t else self.runs(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known, end = self.known, self.end
-        found = [list(map(known.get, own)) for own in runs]
-        if new := {r for own, got in zip(runs, found, strict=True) if None in got for r, g in zip(own, got, strict=True) if g is None}:
-            self._learn(list(new))
-            found = [list(map(known.__getitem__, own)) if None in got else got for own, got in zip(runs, found, strict=True)]
-        for t, w, got in zip(texts, whole, found, strict=True):
-            yield np.frombuffer((self._encode(t).tobytes() if w else b"".join(got)) + end, "<u4")
+        for memory in (self.known, self.runs):
+            if len(memory) > KEPT:
+                memory.clear()
+        done: list[bytes] = [b""] * len(texts)
+        waiting: list[tuple[int, list[bytes | None], list[str], _Memory]] = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            raw = t.encode()
+            if self.mark is None or _SPECIAL in t or len(raw.translate(None, _ODD)) != len(raw):
+                done[i] = self._encode(t).tobytes()
+                continue
+            if len(raw.translate(None, _BEYOND)) == len(raw):
+                own, memory = _PIECES[self.kind](t.lower() if self.kind == "word" else t), self.known
+            else:
+                own, memory = _RUNS[self.kind](t), self.runs
+            memory.new = []
+            got = list(map(memory.__getitem__, own))
+            if memory.new:
+                waiting.append((i, got, memory.new, memory))
+            else:
+                done[i] = b"".join(got)
+        for memory, learn in ((self.known, self._learn_pieces), (self.runs, self._learn_runs)):
+            if new := {p for _, _, missing, m in waiting if m is memory for p in missing}:
+                learn(list(new))
+        for i, got, missing, memory in waiting:
+            at = -1
+            for p in missing:
+                at = got.index(None, at + 1)
+                got[at] = memory[p]
+            done[i] = b"".join(got)  # type: ignore[arg-type]
+        for raw in done:
+            yield np.frombuffer(raw + self.end, "<u4")
 
 
 @lru_cache(maxsize=4)
