@@ -364,6 +364,25 @@ def padding(used):
     return sum(0 if u & (u - 1) == 0 else 4096 - u for u in used)
 
 
+@pytest.mark.parametrize("vocabulary, kind", [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "word")])
+def test_encoder_equals_the_library_on_odd_characters(vocabulary, kind, monkeypatch):
+    """Latin-1 letters, numbers and white space, contractions, other scripts and control characters; the memory overflows."""
+    from tokenizers import Tokenizer
+
+    from ledgerlight.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "KEPT", 50)
+    monkeypatch.setattr(_tokens, "TOGETHER", 200)
+    r, path = random.Random(1), tokenizer_path(vocabulary)
+    latin = "abzAZéÈßµªº²¹½'\"!. \t\n\r\x0b\x0c\x85\xa0¡ÿ×÷0123stremvld\x7f\xad"
+    every = latin + "\x00\x01\x1c<|’—ΣςİǅǄ日本\u0301"
+    texts = ["".join(r.choice(a) for _ in range(r.randrange(80))) for a in (latin, every) for _ in range(1500)]
+    texts += [None, "", " ", "<|endoftext|>", "x" * 5000, "it's I'M we'LL don't'S"]
+    library, own = Tokenizer.from_file(path), _tokens.Encoder(path, kind, 2)
+    for text, ids in zip(texts, own.many(texts), strict=True):
+        assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
+
+
 def test_packing_documents(docs, rows):
     from tokenizers import Tokenizer
 
