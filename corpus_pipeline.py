@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import mixture, packing, simhash, suffix_dedup, toxicity
+from ledgerlight.llm import mixture, near_copies, packing, suffix_dedup, toxicity
 from ledgerlight.llm._common import shared_path
 from ledgerlight.llm.queries import tokenizer_path
 
@@ -14,7 +14,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
