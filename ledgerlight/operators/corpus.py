@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +77,48 @@ def divergence(pairs: DataFrame, phrase: str = "phrase", target: str = "target",
     return rows.withColumn("passes", (F.col("overlap_ratio") <= limit) & (F.size("shared_bigrams") == 0))
 
 
+def divergence_of_all(phrases: DataFrame, targets: DataFrame, limit: float = 0.5) -> DataFrame:
+    """Every phrase (item_id, phrase) measured against every target (doc_id, target), as divergence does; word pairs as a count.
+
+    The phrases are a bounded table: an index from each of their words and word pairs to the phrases goes to every task.
+    """
+    index = [(r["item_id"], r["p"]) for r in phrases.where("item_id is not null").select("item_id", F.coalesce(ordered_tokens(F.col("phrase")), F.array().cast("array<string>")).alias("p")).collect()]
+    stop, words, doubles = frozenset(STOPWORDS), {}, {}
+    for at, (_, tokens) in enumerate(index):
+        for w in tokens:
+            if w not in stop:
+                words.setdefault(w, []).append(at)
+        for a, b in set(zip(tokens, tokens[1:], strict=False)):
+            if a not in stop or b not in stop:
+                doubles.setdefault((a, b), []).append(at)
+    ids = np.array([i for i, _ in index], np.int64)
+    content = np.array([sum(w not in stop for w in tokens) for _, tokens in index], np.int32)
+    sent = phrases.sparkSession.sparkContext.broadcast(({w: np.array(v) for w, v in words.items()}, {b: np.array(v) for b, v in doubles.items()}))
+    n, per = len(ids), np.maximum(content, 1)
+
+    def counted(found: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate(found), minlength=n) if found else np.zeros(n, np.int64)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, doubles = sent.value
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                ratio, shared = [], []
+                for text in part["target"]:
+                    tokens = re.findall("[a-z0-9]+", text)
+                    ratio.append(counted([words[w] for w in words.keys() & set(tokens)]) / per)
+                    shared.append(counted([doubles[b] for b in doubles.keys() & set(zip(tokens, tokens[1:], strict=False))]))
+                ratio, shared = np.concatenate(ratio), np.concatenate(shared).astype(np.int32)
+                yield pd.DataFrame({
+                    "item_id": np.tile(ids, len(part)), "doc_id": np.repeat(part["doc_id"].to_numpy(), n), "content_tokens": np.tile(content, len(part)),
+                    "overlap_ratio": ratio, "shared_bigrams": shared, "passes": (ratio <= limit) & (shared == 0),
+                })
+
+    rows = targets.where("doc_id is not null").select("doc_id", F.coalesce(F.lower("target"), F.lit("")).alias("target"))
+    return rows.mapInPandas(each, "item_id long, doc_id long, content_tokens int, overlap_ratio double, shared_bigrams int, passes boolean")
+
+
 def bucket_summary(reports: DataFrame, bucket: str = "bucket") -> DataFrame:
     return reports.groupBy(bucket).agg(
         F.count("*").alias("n"), F.avg("overlap_ratio").alias("mean"), F.percentile("overlap_ratio", F.lit(0.5)).alias("median"), F.min("overlap_ratio").alias("least"),

@@ -544,15 +544,14 @@ r AS (SELECT k.item_id, k.doc_id, coalesce(content, 0) AS content, coalesce(shar
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"), (F.col("item_id") % 40).alias("k"))
-    targets = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"), (F.col("doc_id") % 40).alias("k"))
-    return corpus.divergence(targets.join(F.broadcast(phrases), "k"))
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return corpus.divergence_of_all(phrases, table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target")))
 
 
 @query(f"WITH {DIVERGENCE} SELECT item_id, doc_id, CAST(content AS INTEGER) AS content_tokens, round(ratio, 9) AS overlap_ratio, CAST(shared AS INTEGER) AS shared_bigrams, ratio <= 0.5 AND shared = 0 AS passes FROM r")
 def lexical_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports(spark, sf_dir)
-    return rows.select("item_id", "doc_id", "content_tokens", F.round("overlap_ratio", 9).alias("overlap_ratio"), F.size("shared_bigrams").alias("shared_bigrams"), "passes")
+    return rows.select("item_id", "doc_id", "content_tokens", F.round("overlap_ratio", 9).alias("overlap_ratio"), "shared_bigrams", "passes")
 
 
 @query(f"""WITH {DIVERGENCE} SELECT CAST(item_id % 4 AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n, round(avg(ratio), 6) AS mean, round(median(ratio), 6) AS median, round(min(ratio), 6) AS least,
