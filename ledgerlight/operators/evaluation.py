@@ -98,10 +98,10 @@ def bootstrap_replicates(pairs: DataFrame, resamples: int, key: str = "sample_id
 
 def permutation_replicates(pairs: DataFrame, resamples: int, key: str = "sample_id") -> DataFrame:
     """rep, delta: the arms of each pair swapped by a coin."""
-    spark = pairs.sparkSession
     numbered = pairs.withColumn("pos", F.row_number().over(Window.orderBy(key)) - 1)
-    reps = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition("rep") if resamples > 1 else numbered.withColumn("rep", F.lit(0))
-    del spark
+    n = pairs.count()
+    coins = pairs.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("pos"))
+    reps = coins.join(F.broadcast(numbered), "pos")
     swap = portable_draw(F.concat_ws("|", F.lit("p"), "rep", "pos"), 2) == 1
     for k in ("hit", "rr", "turn"):
         reps = reps.withColumn(f"x_{k}", F.when(swap, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}"))).withColumn(f"y_{k}", F.when(swap, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.inference import RESAMPLES
 from ..operators import catalog, conversation, corpus, evaluation, questions, ranking, search
 from ..operators.search import Constraint
 
@@ -434,7 +435,7 @@ def outcome_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = OUTCOMES + ", " + OUTCOMES.replace("o AS (", "o2 AS (").replace("'purchase'", "'signup'").replace("s AS (SELECT", "s2 AS (SELECT").replace("FROM o)", "FROM o2)") + """,
 pairs AS (SELECT s.sample_id, row_number() OVER (ORDER BY CAST(s.sample_id AS VARCHAR)) - 1 AS pos, s.hit::INT::DOUBLE AS ah, s.rr AS ar, coalesce(s.first_hit_turn, 11)::DOUBLE AS av, s2.hit::INT::DOUBLE AS bh, s2.rr AS br, coalesce(s2.first_hit_turn, 11)::DOUBLE AS bv
   FROM s JOIN s2 USING (sample_id)), n AS (SELECT count(*) AS n FROM pairs)"""
-REPS = 200
+REPS = 200  # of the SQL; the queries draw RESAMPLES
 
 
 def _score(h: str, r: str, t: str) -> str:
@@ -450,7 +451,7 @@ x AS (SELECT rep, {_score('bh', 'br', 'bv')} - {_score('ah', 'ar', 'av')} AS del
 SELECT round(max(CASE WHEN k = 4 THEN delta END), 6) AS low, round(max(CASE WHEN k = 195 THEN delta END), 6) AS high, round(stddev_pop(delta), 6) AS standard_error
 FROM (SELECT delta, row_number() OVER (ORDER BY delta, rep) - 1 AS k FROM x)""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.bootstrap_interval(evaluation.bootstrap_replicates(pairs(spark, sf_dir), REPS), REPS)
+    out = evaluation.bootstrap_interval(evaluation.bootstrap_replicates(pairs(spark, sf_dir), RESAMPLES), RESAMPLES)
     return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "standard_error")])
 
 
@@ -462,7 +463,7 @@ SELECT round((count(*) FILTER (abs(delta) >= abs(o) - 1e-9) + 1) / (count(*) + 1
 def paired_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = pairs(spark, sf_dir)
     observed = both.agg((evaluation.score_of("b") - evaluation.score_of("a")).alias("o")).first()["o"]
-    out = evaluation.permutation_p(evaluation.permutation_replicates(both, REPS), observed - (1e-9 if observed > 0 else -1e-9))
+    out = evaluation.permutation_p(evaluation.permutation_replicates(both, RESAMPLES), observed - (1e-9 if observed > 0 else -1e-9))
     return out.select(F.round("p_value", 9).alias("p_value"))
 
 

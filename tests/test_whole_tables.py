@@ -1,11 +1,13 @@
 """Queries of the catalog against brute force over whole small tables."""
 
+import hashlib
 import re
+import statistics
 
 import pytest
 
 from ledgerlight.functions.text import STOPWORDS
-from ledgerlight.plans.catalog_queries import queries
+from ledgerlight.plans.catalog_queries import pairs, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,30 @@ def test_divergence_measures_every_phrase_against_every_document(spark):
         part = sorted(v for (item, _), v in want.items() if item % 4 == k)
         assert (buckets[k]["n"], buckets[k]["passed"]) == (len(part), sum(v[3] for v in part))
         assert buckets[k]["mean"] == pytest.approx(sum(v[1] for v in part) / len(part), abs=2e-6)
+
+
+def test_resampling_draws_all_replicates(spark):
+    both = sorted((r.asDict() for r in pairs(spark, SF).collect()), key=lambda r: r["sample_id"])
+    n = len(both)
+    draw = lambda key: int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+
+    def score(rows):
+        h, rr, t = (round(sum(x) / n, 6) for x in zip(*rows, strict=True))
+        return round(0.5 * h + 0.3 * rr + 0.2 * max(0, min(1, (11 - t) / 10)), 6)
+
+    a, b = ([tuple(r[f"{p}_{k}"] for k in ("hit", "rr", "turn")) for r in both] for p in "ab")
+    deltas = []
+    for rep in range(10_000):
+        at = [draw(f"{rep}|{i}") % n for i in range(n)]
+        deltas.append(score([b[i] for i in at]) - score([a[i] for i in at]))
+    deltas.sort()
+    got = queries()["paired_bootstrap"](spark, SF).first()
+    assert (got["low"], got["high"]) == pytest.approx((deltas[249], deltas[9750]), abs=2e-6)
+    assert got["standard_error"] == pytest.approx(statistics.pstdev(deltas), abs=2e-6)
+    observed, extreme = abs(score(b) - score(a)), 0
+    for rep in range(10_000):
+        swap = [draw(f"p|{rep}|{i}") % 2 for i in range(n)]
+        x, y = [(b if s else a)[i] for i, s in enumerate(swap)], [(a if s else b)[i] for i, s in enumerate(swap)]
+        extreme += abs(score(y) - score(x)) >= observed - 1e-9
+    got = queries()["paired_permutation"](spark, SF).first()["p_value"]
+    assert got == pytest.approx((extreme + 1) / 10_001, abs=3e-4)
