@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.inference import MDD_FACTOR, TIE, percentile_indices
+from ..functions.inference import MDD_FACTOR, TIE, percentile_indices, sign_flip_lattice
 
 MISS_TURN = 11
 DEPTHS = (1, 3, 5, 10)
@@ -139,6 +139,14 @@ def sign_flip_p(differences: DataFrame, n: int, key: str = "pos") -> DataFrame:
     return sums.crossJoin(F.broadcast(o)).agg(F.avg((F.abs("s") >= F.col("o") - TIE).cast("double")).alias("p_value"))
 
 
+def sign_flip_p_of_all(differences: DataFrame, steps: int) -> DataFrame:
+    """Exact p over the sign patterns of all differences (column d), which are multiples of 1 / steps; few of them differ."""
+    whole = F.round(F.col("d") * steps).cast("bigint")
+    odd = F.raise_error(F.concat(F.lit("not a multiple of the step: "), F.col("d").cast("string"))).cast("bigint")
+    rows = differences.select(F.when(F.abs(F.col("d") * steps - whole) > 1e-6, odd).otherwise(whole).alias("v")).groupBy("v").count().collect()
+    return differences.sparkSession.createDataFrame([(sign_flip_lattice({r["v"]: r["count"] for r in rows}),)], "p_value double")
+
+
 def holm_adjust(tests: DataFrame, p: str = "p_value", key: str = "name") -> DataFrame:
     """Step-down adjusted p values: a running maximum in order of p. One row for each comparison of a family."""
     order = Window.orderBy(p, key)

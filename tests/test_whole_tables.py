@@ -6,6 +6,7 @@ import statistics
 
 import pytest
 
+from ledgerlight.functions import inference
 from ledgerlight.functions.text import STOPWORDS
 from ledgerlight.plans.catalog_queries import pairs, queries
 
@@ -64,3 +65,30 @@ def test_resampling_draws_all_replicates(spark):
         extreme += abs(score(y) - score(x)) >= observed - 1e-9
     got = queries()["paired_permutation"](spark, SF).first()["p_value"]
     assert got == pytest.approx((extreme + 1) / 10_001, abs=3e-4)
+
+
+def exact_p(differences):
+    """Counts of all sign patterns by sum, as the coefficients of a polynomial packed in one number."""
+    bits, observed, total = len(differences) + 1, abs(sum(differences)), sum(map(abs, differences))
+    counts = 1
+    for d in differences:
+        counts += counts << (abs(d) * bits)
+    part = (1 << bits) - 1
+    chunk = counts.to_bytes((total + 1) * bits // 8 + 1, "little")
+    extreme = 0
+    for b in range(total + 1):
+        if abs(total - 2 * b) >= observed:
+            lo = b * bits
+            extreme += int.from_bytes(chunk[lo // 8 : (lo + bits) // 8 + 1], "little") >> lo % 8 & part
+    return extreme / 2 ** len(differences)
+
+
+def test_sign_flip_counts_every_session(spark):
+    both = pairs(spark, "/root/testdata/sf0.01").collect()
+    assert len(both) > 20
+    d = [round((r["b_rr"] - r["a_rr"]) * 2520) for r in both]
+    got = queries()["sign_flip"](spark, "/root/testdata/sf0.01").first()["p_value"]
+    assert got == pytest.approx(exact_p(d), abs=1e-8)
+    for few in ([3, -1, 2, 4], [5], [0, 0], [], [1, -1, 2, 2, 7, 7, -3], [2520] * 12):
+        counts = {v: few.count(v) for v in few}
+        assert inference.sign_flip_lattice(counts) == pytest.approx(inference.exact_sign_flip(few) if few else 1.0, abs=1e-9)
