@@ -327,17 +327,15 @@ def phrase_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAZETTEER_SQL = """g AS (SELECT term FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) WHERE length(term) > 1 GROUP BY 1 HAVING count(*) >= 2)"""
 
 
-def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.search_terms(F.col("text"))).alias("term"))
-    return terms.where(F.length("term") > 1).groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").select("term")
-
-
 @query(f"""WITH {GAZETTEER_SQL}, w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations WHERE role = 'user'),
 t AS (SELECT conv_id, turn, unnest(w) AS term FROM w) SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT term) AS BIGINT) AS terms FROM t SEMI JOIN g USING (term) GROUP BY 1, 2""")
 def ngram_gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").where("role = 'user'")
-    grams = said.select("conv_id", "turn", F.explode(T.ngrams(T.ordered_tokens(F.col("text")), 1)).alias("term"))
-    found = grams.join(gazetteer(spark, sf_dir), "term", "left_semi")
+    phrases = phrase_resolution(spark, sf_dir).select(F.col("phrase").alias("term")).distinct()
+    longest = phrases.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    windows = F.concat(*[T.ngrams(F.col("tokens"), n) for n in range(1, longest + 1)])
+    grams = said.select("conv_id", "turn", T.ordered_tokens(F.col("text")).alias("tokens")).select("conv_id", "turn", F.explode(windows).alias("term"))
+    found = grams.join(F.broadcast(phrases), "term", "left_semi")
     return found.groupBy("conv_id", "turn").agg(F.count("*").alias("mentions"), F.countDistinct("term").alias("terms"))
 
 

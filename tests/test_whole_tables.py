@@ -92,3 +92,15 @@ def test_sign_flip_counts_every_session(spark):
     for few in ([3, -1, 2, 4], [5], [0, 0], [], [1, -1, 2, 2, 7, 7, -3], [2520] * 12):
         counts = {v: few.count(v) for v in few}
         assert inference.sign_flip_lattice(counts) == pytest.approx(inference.exact_sign_flip(few) if few else 1.0, abs=1e-9)
+
+
+def test_mentions_of_several_words_are_found(spark, tmp_path):
+    text = "I want Brand 7, not brand 16: LARGE ring"
+    spark.createDataFrame([(1, 0, "user", text), (1, 1, "bot", text), (2, 0, "user", "none of it")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("part", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    known = {r["phrase"] for r in queries()["phrase_resolution"](spark, SF).collect()}
+    t = tokens(text)
+    said = [g for n in range(1, len(t) + 1) for i in range(len(t) - n + 1) if (g := " ".join(t[i : i + n])) in known]
+    assert {"brand 7", "brand 16", "large", "ring"} <= set(said)
+    assert [tuple(r) for r in queries()["ngram_gazetteer_match"](spark, str(tmp_path)).collect()] == [(1, 0, len(said), len(set(said)))]
