@@ -17,8 +17,9 @@ A minimizer found in very many blocks (a common line) is dealt further by the 15
 every 50-byte string around it holds one or the other whole; again equal strings stay together.
 
 Null text: empty. Texts of under 50 bytes never match. Equal doc_ids are one document split over rows: strings that
-they share are not removed from either. Rows without a doc_id take no part. An empty table gives an empty result.
-Memory: a block's documents (about BLOCK of them), or a part's stretches, worked on CHUNK bytes at a time.
+they share are not removed from either. Rows without a doc_id have none that are smaller or greater: they stay whole
+and name nothing as repeated. An empty table gives an empty result.
+Memory: a block's documents (about BLOCK bytes), or a part's stretches, worked on CHUNK bytes at a time.
 """
 
 from __future__ import annotations
@@ -35,13 +36,16 @@ from ._common import partitions
 
 LENGTH = 50  # bytes of a repeated string
 GRAM = 20  # bytes of a hashed string
-BLOCK = 512  # documents of a block, about
+BLOCK = 1 << 21  # bytes of a block's texts, about; a longer text makes a longer block
 CHUNK = 1 << 18  # bytes sorted at once
-PIECE = 1 << 21  # bytes hashed at once
+PIECE = 1 << 16  # bytes hashed at once: few enough for a core's own cache
+LONG = 4096  # bytes of a stretch beyond which it is hashed by itself
 HOT = 64  # blocks beyond which a minimizer is dealt further
 SIDE = 15  # bytes beside a hot minimizer that deal it further
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_STEP = 0x2C1B3C6D
+_BYTES = ((np.arange(1, 257, dtype=np.uint64) * _C1) >> np.uint64(32)).astype(np.uint32)
 
 
 # ---- suffix sorting ---------------------------------------------------------------------------------------------
@@ -54,8 +58,9 @@ def _names(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         key = columns[0].astype(np.int64)
         for c, b in zip(columns[1:], bits[1:], strict=True):
             key = (key << b) | c
-        order = np.argsort(key, kind="stable")
-        new = key[order][1:] != key[order][:-1]
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
     else:
         order = np.lexsort(columns[::-1])
         new = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
@@ -87,7 +92,7 @@ def suffix_order(symbols: np.ndarray, depth: int, reach: int = 1) -> np.ndarray:
     rest = np.arange(0, n, 3)
     top = len(order) + 2
     key = s[rest] * top + rank[rest + 1]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     rest, key = rest[by], key[by]
     at_one, at_two = sample[sample % 3 == 1], sample[sample % 3 == 2]
     before_one = np.searchsorted(s[at_one] * top + rank[at_one + 1], key, side="left")
@@ -139,63 +144,101 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number; data must go on for seven bytes beyond the last place read."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 20 bytes at each place, by doubling: 1, 2, 4, 8, 16 and then 16 with 4."""
-    h = _mix(data.astype(np.uint64) * _C1 + _C1)
-    four = None
-    for step in (1, 2, 4, 8):
-        h = _mix(h[:-step] * _C1 + h[step:])
-        if step == 2:
+    """A 32-bit hash of the 20 bytes at each place: a polynomial by doubling (1, 2, 4, 8, 16 and then 16 with 4), mixed."""
+    h, power, four = _BYTES[data], _STEP, None
+    for size in (1, 2, 4, 8):
+        more = h[:-size] * np.uint32(power)
+        more += h[size:]
+        h, power = more, power * power & 0xFFFFFFFF
+        if size == 2:
             four = h
     n = len(data) - GRAM + 1
-    return _mix(h[:n] * _C1 + four[16 : 16 + n])
+    h = h[:n] * np.uint32(pow(_STEP, 4, 1 << 32))
+    h += four[16 : 16 + n]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(15)
+    return h
 
 
 def minimizers(data: np.ndarray) -> np.ndarray:
-    """The least hash of the 50-byte string at each place."""
-    low, size, wide = gram_hashes(data), 1, LENGTH - GRAM + 1
+    """Where the minimizer of the 50-byte string at each place begins: the first of the least hashes in it."""
+    hashes = gram_hashes(data)
+    low = hashes.astype(np.uint64)
+    low <<= np.uint64(32)
+    low |= np.arange(len(low), dtype=np.uint64)
+    size, wide = 1, LENGTH - GRAM + 1
     while 2 * size <= wide:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
-    return _spread(np.minimum(low[: len(low) - (wide - size)], low[wide - size :]) if wide > size else low)
+    low = np.minimum(low[: len(low) - (wide - size)], low[wide - size :])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
-    """Least hashes are small numbers; as other numbers, one for one, they fall evenly into parts."""
-    return _mix(h * _C1)
+def _named(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the 20 bytes at each of some places, evenly spread."""
+    x = _mix(words[at] * _C1)
+    x = _mix((x + words[at + 8]) * _C1)
+    return _mix((x + words[at + GRAM - 8]) * _C1)
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts hold ranges of names, in order."""
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+def _joined(starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that follow one another without a gap and have one key become one."""
+    new = np.ones(len(starts), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (starts[1:] != ends[:-1])
+    last = np.ones(len(starts), bool)
+    last[:-1] = new[1:]
+    return starts[new], ends[last], keys[new]
+
+
 class Texts:
     """The texts of a block in ascending doc_id order as one array of bytes."""
 
     def __init__(self, docs: pd.DataFrame):
         self.docs = docs.sort_values("doc_id", kind="stable")
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in self.docs["text"]]
-        self.raw = b"".join(raw)
-        self.data = np.frombuffer(self.raw, np.uint8)
+        self.raw = b"".join([*raw, bytes(8)])
+        self.padded = np.frombuffer(self.raw, np.uint8)
+        self.data = self.padded[:-8]
+        self.words = _words(self.padded)
         self.ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
         self.ids = self.docs["doc_id"].to_numpy(np.int64)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """starts, ends, keys: places start to end (not itself) whose 50-byte strings have one minimizer, in order."""
+    def runs(self, deal=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts, ends, keys: places start to end (not itself) whose 50-byte strings have one minimizer, in order.
+
+        deal(starts, ends, keys, places of the minimizers) may choose among runs and cut them further.
+        """
         parts = []
         for at in range(0, max(0, len(self.data) - LENGTH + 1), PIECE):
             low = minimizers(self.data[at : at + PIECE + LENGTH - 1])
             inside = np.zeros(len(low) + 1, np.int64)  # places whose string runs into the next text
-            near = self.ends[(self.ends > at) & (self.ends < at + len(low) + LENGTH)]
-            np.add.at(inside, np.clip(near - LENGTH + 1 - at, 0, len(low)), 1)
-            np.add.at(inside, np.clip(near - at, 0, len(low)), -1)
+            a, b = np.searchsorted(self.ends, [at, at + len(low) + LENGTH], side="right")
+            near = self.ends[a:b] - at
+            np.add.at(inside, np.clip(near - LENGTH + 1, 0, len(low)), 1)
+            np.add.at(inside, np.clip(near, 0, len(low)), -1)
             valid = np.cumsum(inside)[:-1] == 0
             new = valid.copy()
             new[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
             last = valid.copy()
             last[:-1] &= (low[1:] != low[:-1]) | ~valid[1:]
             starts = np.flatnonzero(new)
-            parts.append((starts + at, np.flatnonzero(last) + 1 + at, low[starts]))
+            places = low[starts] + at
+            starts, ends, keys = starts + at, np.flatnonzero(last) + 1 + at, _named(self.words, places)
+            if deal is not None:
+                starts, ends, keys = deal(starts, ends, keys, places)
+            parts.append(_joined(starts, ends, keys))
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
@@ -204,76 +247,86 @@ class Texts:
         return np.searchsorted(self.ends, places, side="right")
 
 
-def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every place from starts to ends, and the run it is of."""
-    count = ends - starts
-    run = np.repeat(np.arange(len(starts)), count)
-    return np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + starts[run], run
-
-
-def _sides(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of hot minimizers cut further, with keys from the bytes before or after the minimizer."""
+def _sides(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hot minimizers cut in two, with keys from the bytes before the minimizer where the string has them, or after."""
+    turn = np.clip(places - SIDE + 1, starts, ends)  # strings from here on hold too little before the minimizer
     out = []
-    piece = starts // PIECE  # a run's places lie in one
-    for at in np.unique(piece).tolist():
-        here = piece == at
-        a, b, h = starts[here] - at * PIECE, ends[here] - at * PIECE, keys[here]
-        part = data[at * PIECE : (at + 1) * PIECE + LENGTH - 1]
-        hashes = _spread(gram_hashes(part))
-        place, run = _expand(a, b + LENGTH - GRAM)
-        hit = hashes[place] == h[run]
-        seen, seen_run = place[hit], run[hit]
-        # where the minimizer itself lies, for each place: the first of its occurrences in the string
-        place, run = _expand(a, b)
-        wide = np.int64(len(part) + 1)
-        own = seen[np.searchsorted(seen_run * wide + seen, run * wide + place)]
-        left = own - place >= SIDE
-        side = np.where(left, own - SIDE, own + GRAM)
-        new = np.ones(len(place), bool)
-        new[1:] = (side[1:] != side[:-1]) | (run[1:] != run[:-1])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(place)]]) - 1
-        tag = _content(part, side[first], side[first] + SIDE) ^ _mix(h[run[first]] * _C1 + left[first].astype(np.uint64))
-        out.append((place[first] + at * PIECE, place[last] + 1 + at * PIECE, _mix(tag * _C1)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+    for left, a, b, side in ((1, starts, turn, places - SIDE), (0, turn, ends, places + GRAM)):
+        some = a < b
+        at = side[some]
+        tag = _mix((words[at] ^ _mix(words[at + SIDE - 8] * _C1)) * _C1)
+        out.append((a[some], b[some], _mix((tag ^ _mix(keys[some] * _C1 + np.uint64(left))) * _C1)))
+    starts, ends, keys = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], keys[order]
+
+
+def _content(raw: bytes, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each stretch (of 50 at least)."""
+    out = sizes.astype(np.uint64) * _C1
+    live, at = np.arange(len(starts)), 0
+    while len(live) and at < LONG:
+        x = (out[live] ^ words[starts[live] + np.minimum(at, sizes[live] - 8)]) * _C2
+        out[live] = x ^ (x >> np.uint64(29))
+        at += 8
+        live = live[sizes[live] > at]
+    for i in live.tolist():
+        a = int(starts[i])
+        out[i] = int.from_bytes(hashlib.blake2b(raw[a : a + int(sizes[i])], digest_size=8).digest(), "little")
+    return out
 
 
-def _content(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data from each start to each end, from running sums of bytes weighted by powers."""
-    step = np.uint64(0xD1342543DE82EF95)
-    back = np.uint64(pow(int(step), -1, 1 << 64))
-    powers = np.full(len(data) + 1, step)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    down = np.full(len(data), back)
-    down[:1] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(data.astype(np.uint64) * _C1 + _C2) * np.cumprod(down))])
-    return _mix((sums[ends] - sums[starts]) * powers[starts])
+def _alike(raw: bytes, words: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether each stretch of sizes bytes at a is the same as that at b."""
+    at = 0
+    while len(a) and at < LONG:
+        end = np.minimum(at, sizes - 8)
+        if (words[a + end] != words[b + end]).any():
+            return False
+        at += 8
+        rest = sizes > at
+        a, b, sizes = a[rest], b[rest], sizes[rest]
+    return all(raw[i : i + n] == raw[j : j + n] for i, j, n in zip(a.tolist(), b.tolist(), sizes.tolist(), strict=True))
 
 
 class Stretches:
-    """A block's stretches around repeated minimizers, each once, ordered by part and key, and where each lies."""
+    """A block's stretches around repeated minimizers, each once, ordered by key, and where each lies."""
 
     def __init__(self, texts: Texts, known: pd.DataFrame, parts: int):
         found, hot = _known(known)
-        starts, ends, keys = texts.runs()
-        at = np.searchsorted(found, keys)
-        at[at == len(found)] = 0
-        pick = found[at] == keys if len(found) else np.zeros(len(keys), bool)
-        starts, ends, keys = starts[pick], ends[pick], keys[pick]
-        if (h := hot[at[pick]] if len(found) else np.zeros(0, bool)).any():
-            more = _sides(texts.data, starts[h], ends[h], keys[h])
-            starts, ends, keys = (np.concatenate([x[~h], y]) for x, y in zip((starts, ends, keys), more, strict=True))
+
+        def deal(starts, ends, keys, places):
+            at = np.searchsorted(found, keys)
+            at[at == len(found)] = 0
+            pick = np.flatnonzero(found[at] == keys) if len(found) else np.zeros(0, np.int64)
+            starts, ends, keys, places, often = starts[pick], ends[pick], keys[pick], places[pick], hot[at[pick]] if len(found) else np.zeros(0, bool)
+            if not often.any():
+                return starts, ends, keys
+            more = _sides(texts.words, starts[often], ends[often], keys[often], places[often])
+            starts, ends, keys = (np.concatenate([x[~often], y]) for x, y in zip((starts, ends, keys), more, strict=True))
+            order = np.argsort(starts, kind="stable")
+            return starts[order], ends[order], keys[order]
+
+        starts, ends, keys = texts.runs(deal)
         size = ends - starts
-        content = _content(texts.data, starts, ends + LENGTH - 1) if len(starts) else np.zeros(0, np.uint64)
-        part = _part(keys, parts).astype(np.int64)
-        order = np.lexsort((starts, content, size, keys, part))
-        self.starts, self.size, self.keys = starts[order], size[order], keys[order]
-        content, part = content[order], part[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (self.keys[1:] != self.keys[:-1]) | (self.size[1:] != self.size[:-1]) | (content[1:] != content[:-1])
-        self.first = np.flatnonzero(new)  # of the occurrences of each stretch
-        self.cuts = np.searchsorted(part[self.first], np.arange(parts + 1))
+        content = _content(texts.raw, texts.words, starts, size + LENGTH - 1)
+        while True:
+            order = np.lexsort((content, keys))
+            self.starts, self.size, self.keys = starts[order], size[order], keys[order]
+            sorted_ = content[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (self.keys[1:] != self.keys[:-1]) | (sorted_[1:] != sorted_[:-1])
+            self.first = np.flatnonzero(new)  # of the occurrences of each stretch
+            first = self.first[np.cumsum(new) - 1]
+            again = ~new
+            same = (self.size[again] == self.size[first[again]]).all()
+            if same and _alike(texts.raw, texts.words, self.starts[again], self.starts[first[again]], self.size[again] + LENGTH - 1):
+                break
+            # two stretches have one hash: the bytes themselves tell all apart
+            numbers: dict[bytes, int] = {}
+            spans = zip(starts.tolist(), (ends + LENGTH - 1).tolist(), strict=True)
+            content = np.fromiter((numbers.setdefault(texts.raw[a:b], len(numbers)) for a, b in spans), np.uint64, len(starts))
+        self.cuts = np.searchsorted(_part(self.keys[self.first], parts).astype(np.int64), np.arange(parts + 1))
 
 
 # ---- the stages -------------------------------------------------------------------------------------------------
@@ -290,15 +343,15 @@ def _hash_arrays(parts: int):
         texts = Texts(block)
         starts, _, hashes = texts.runs()
         ids = texts.ids[texts.of(starts)]
-        part = _part(hashes, parts).astype(np.int64)
-        order = np.lexsort((ids, hashes))
-        hashes, ids, part = hashes[order], ids[order], part[order]
+        order = np.argsort(hashes, kind="stable")  # texts, and so runs, come in ascending id
+        hashes, ids = hashes[order], ids[order]
         new = np.ones(len(hashes), bool)
         new[1:] = hashes[1:] != hashes[:-1]
         several = np.zeros(len(hashes), bool)
         several[1:] = ~new[1:] & (ids[1:] != ids[:-1])
         first = np.flatnonzero(new)
-        hashes, part = hashes[first], part[first]
+        hashes = hashes[first]
+        part = _part(hashes, parts).astype(np.int64)
         several = np.logical_or.reduceat(several, first) if len(first) else several
         cuts = np.searchsorted(part, np.arange(parts + 1))
         here = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
@@ -400,17 +453,9 @@ def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
     owners = np.array(owner, np.int64)
     # runs of places of one stretch whose strings have one owner: (stretch, start, end, owner)
     key = np.array([k for k, _ in names], np.uint64)
-    size = np.array([len(t) for _, t in names], np.int64)
-    alone = np.ones(len(names), bool)
-    same = key[1:] == key[:-1]
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    # all copies of such a minimizer stand in the same stretch: its strings have its owner
-    j = place[alone]
-    runs = [(j, np.zeros(len(j), np.int64), size[alone] - LENGTH + 1, owners[j])]
-    left = np.flatnonzero(~alone)
-    texts = [names[i][1] for i in left.tolist()]
-    key, place, size = key[left], place[left], np.cumsum(size[left])
+    size = np.cumsum(np.array([len(t) for _, t in names], np.int64))
+    texts = [t for _, t in names]
+    runs = []
     at = 0
     while at < len(texts):
         end = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK)) + 1
@@ -441,7 +486,7 @@ def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
 def _cut_block(parts: int, with_text: bool):
     def run(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         texts = Texts(docs)
-        depth = np.zeros(len(texts.data) + 1, np.int64)  # starts less ends of removed strings
+        depth = np.zeros(len(texts.data) + 1, np.int32)  # starts less ends of removed strings
         answers = back[back["nth"].notna()]
         if len(docs) and len(answers):
             found = Stretches(texts, back[back["hashes"].notna()], parts)
@@ -466,43 +511,61 @@ def _cut_block(parts: int, with_text: bool):
             runs = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()) if removed else 0
             rest = (data[~cut] if removed else data).tobytes()
             row = (doc_id, len(data), removed, runs, hashlib.sha256(rest).hexdigest())
-            out.append((*row, rest.decode("utf-8", "ignore") if removed else text) if with_text else row)
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            if with_text:
+                row += (hashlib.sha256(data).hexdigest(), rest.decode("utf-8", "ignore") if removed else text)
+            out.append(row)
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["sha256", "kept"] * with_text])
 
     return run
 
 
 def dedup_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with_text: kept, too (broken characters gone; null stays null)."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with_text: sha256 of the whole text and kept, too
+    (broken characters gone; null stays null). block: bytes of text worked on together, about."""
+    every = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = every.where("doc_id is not null")
     spark = docs.sparkSession
     parts = max(1, partitions(spark))
-    blocks = max(1, -(-documents.select(id_col).count() // block))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block))
     docs = _block_of(docs, blocks).repartition(parts, "block")
-    arrays = docs.groupBy("block").applyInPandas(_hash_arrays(parts), "part long, block long, hashes binary, several binary")
-    known = arrays.groupBy("part").applyInPandas(_repeated, "block long, hashes binary, hot binary")
+    arrays = docs.groupBy("block").applyInPandas(_hash_arrays(parts), "part int, block long, hashes binary, several binary")
+    known = _by_part(arrays, parts).applyInPandas(_repeated, "block long, hashes binary, hot binary")
     known = known.repartition(parts, "block")
     sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
-        _send_stretches(parts), "part long, block long, keys binary, lengths binary, least binary, most binary, data binary"
+        _send_stretches(parts), "part int, block long, keys binary, lengths binary, least binary, most binary, data binary"
     )
-    found = sent.groupBy("part").applyInPandas(_sort_part, "block long, part long, nth binary, starts binary, ends binary, least binary")
+    found = _by_part(sent, parts).applyInPandas(_sort_part, "block long, part int, nth binary, starts binary, ends binary, least binary")
     back = known.select(
-        "block", "hashes", "hot", *[F.lit(None).cast(t).alias(c) for c, t in (("part", "long"), ("nth", "binary"), ("starts", "binary"), ("ends", "binary"), ("least", "binary"))]
+        "block", "hashes", "hot", *[F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("nth", "binary"), ("starts", "binary"), ("ends", "binary"), ("least", "binary"))]
     ).union(found.select("block", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "part", "nth", "starts", "ends", "least"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return docs.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_cut_block(parts, with_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", sha256 string, kept string" * with_text
+    out = docs.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_cut_block(parts, with_text), schema)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    whole = F.sha2(raw, 256)
+    unnamed = [F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias("kept_sha256")]
+    rest = every.where("doc_id is null").select("doc_id", *unnamed, *([whole.alias("sha256"), F.col("text").alias("kept")] if with_text else []))
+    return out.unionByName(rest)
+
+
+def _by_part(rows: DataFrame, parts: int):
+    """rows grouped by part, each part in a partition of its own."""
+    return rows.repartitionById(parts, "part").groupBy("part")
 
 
 def deduplicated(documents: DataFrame, **options) -> DataFrame:
-    """documents, all columns, with repeated passages cut from text, and n_chars (if there) counted anew."""
-    from ._common import first_of_id
-
-    documents = first_of_id(documents, "doc_id", "text")
-    kept = dedup_passages(documents, with_text=True, **options).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    # texts come back from the operator, so that the documents' own need not be moved again
-    rows = documents.drop("text").join(kept, F.col("doc_id") == F.col("_id"))
-    text = F.col("_kept")
-    out = {c: F.col(f"`{c}`") for c in documents.columns} | {"text": text}
+    """documents, all rows and columns, with repeated passages cut from text, and n_chars (if there) counted anew.
+
+    Texts come back from the operator, so that the documents' own need not be moved again: a row finds its own by its
+    doc_id and the digest of its text. Rows without a doc_id stay as they are.
+    """
+    named = documents.where("doc_id is not null")
+    kept = dedup_passages(named, with_text=True, **options).select(F.col("doc_id").alias("kept_id"), "sha256", "kept").dropDuplicates(["kept_id", "sha256"])
+    rest = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    rows = named.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), F.col("text").isNull().alias("none"))
+    rows = rows.join(kept, (F.col("row_id") == F.col("kept_id")) & (F.col("digest") == F.col("sha256")))
+    text = F.when(~F.col("none"), F.coalesce("kept", F.lit("")))
+    out = {c: F.col("row").getField(c) for c in documents.columns if c != "text"} | {"text": text}
     if "n_chars" in documents.columns:
         out["n_chars"] = F.length(text).cast(documents.schema["n_chars"].dataType)
-    return rows.select(*[c.alias(n) for n, c in out.items()])
+    return rows.select(*[out[c].alias(c) for c in documents.columns]).unionByName(documents.where("doc_id is null"))
