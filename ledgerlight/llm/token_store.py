@@ -1,21 +1,21 @@
 """Token ids in a content-addressed store.
 
 A rolling hash over the last WINDOW ids cuts each document's ids into chunks, so that equal passages give equal
-chunks. A chunk is named by its BLAKE2b digest and stored once. A recipe lists a document's chunks; recipes lie in
-ascending doc_id order, with the number of ids before the document. Each pack of chunks and each file of recipes has
-a line in the manifest with the root of the Merkle tree over its digests.
+chunks. A chunk is named by its BLAKE2b digest and stored once. A recipe lists a document's chunks. Chunks are dealt to
+parts by name, recipes by ranges of doc_id, in ascending order; both lie in a part's file, written in one pass, with two
+lines of the manifest: how many chunks and recipes the part has, how many ids its documents have, and the roots of the
+Merkle trees over both.
 
-    <store>/items    kind=chunk: digest, data (a byte for the width, then ids as little-endian 16- or 32-bit integers)
-                     kind=recipe: doc_id, n_tokens, digests (joined)
-    <store>/order    doc_id, start, n_tokens, digests in ascending doc_id order
-    <store>/manifest kind, part, items, root
+    <store>  kind=chunk:    part, name (digest), data (a byte for the width, then ids as little-endian integers of 16 or 32 bits)
+             kind=recipe:   part, doc_id, start (ids before it in its part), n_tokens, name (digests, joined)
+             kind=manifest: part, data (of what), start (items), n_tokens, name (root)
 
-The chunk rows carry their bytes to the part of their digest once, each block of documents sending a chunk once; the
-recipes carry digests only. read() decodes every chunk, checks it against its name, and puts documents' checksums
-together from their chunks' (CRC-32 of joined strings follows from those of the parts and their lengths).
+read() holds the files against the manifest and raises an error where they differ, decodes every chunk, checks it against
+its name, and puts documents' checksums together from their chunks' (CRC-32 of joined strings follows from those of the
+parts and their lengths).
 
-Null text: an empty document, its end id alone. Rows without a doc_id take no part; a doc_id's several rows are
-documents one after another. An empty table gives an empty store.
+Null text: an empty document, its end id alone. Rows without a doc_id come first; a doc_id's several rows are documents
+one after another, by their ids. An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, running_total, shared_path
+from ._common import partitions, shared_path
 from ._tokens import encoder
 
 WINDOW = 16
@@ -90,32 +90,38 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[:1] == b"\2" else "<u4", offset=1).astype("<u4")
 
 
-def _encode(path: str, kind: str, end_id: int):
-    columns = ["kind", "to", "digest", "doc_id", "n_tokens", "data"]
+_ROWS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("name", pa.binary()), ("data", pa.binary())])
+_ITEMS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("name", pa.binary()), ("data", pa.binary())])
+_SQL = "kind string, part int, doc_id long, start long, n_tokens long, name binary, data binary"
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "n_tokens": "Int64"})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(path: str, kind: str, end_id: int, parts: int, bounds: list[int]):
+    edges = np.array(bounds, np.int64)
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, kind, end_id)
         seen: set[bytes] = set()
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].tolist(), encode.many(batch["text"]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.many(batch.column("text").to_pylist()), strict=True):
                 names, last = [], 0
                 raw = _narrow(ids)
-                width, raw = raw[0], raw[1:]
+                mark, width, raw = raw[:1], raw[0], raw[1:]
                 for end in cuts(ids):
-                    chunk = bytes([width]) + raw[width * last : width * end]
+                    chunk = mark + raw[width * last : width * end]
                     name = digest(chunk)
                     names.append(name)
                     last = end
                     if name not in seen:
                         seen.add(name)
                         size += len(chunk)
-                        rows.append(("chunk", int.from_bytes(name[:7], "little"), name, None, None, chunk))
-                rows.append(("recipe", doc_id, None, doc_id, len(ids), b"".join(names)))
+                        rows.append(("chunk", int.from_bytes(name[:7], "little") % parts, None, None, name, chunk))
+                to = 0 if doc_id is None else int(np.searchsorted(edges, doc_id, side="right"))
+                rows.append(("recipe", to, doc_id, len(ids), b"".join(names), None))
                 if size >= BYTES or len(rows) >= ROWS:
                     yield frame(rows)
                     rows, size = [], 0
@@ -127,66 +133,79 @@ def _encode(path: str, kind: str, end_id: int):
     return run
 
 
-def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by digest: of each chunk the first; recipes as they come."""
-    last = None
+def _recipe_leaf(doc_id: int | None, start: int, n_tokens: int, names: bytes) -> bytes:
+    return digest(f"{doc_id},{start},{n_tokens},".encode() + names)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's rows, chunks by name, then recipes by doc_id: of each chunk the first, each recipe's start, the manifest's lines."""
+    last, start, part = None, 0, None
+    leaves: dict[str, list[bytes]] = {"chunk": [], "recipe": []}
     for batch in batches:
-        keep = []
-        for d in batch["digest"]:
-            d = None if d is None else bytes(d)
-            keep.append(d is None or d != last)
-            last = d if d is not None else last
-        yield batch[keep]
+        keep, starts = [], []
+        columns = (batch.column(c).to_pylist() for c in ("kind", "part", "doc_id", "n_tokens", "name"))
+        for kind, part, doc_id, n, name in zip(*columns, strict=True):  # noqa: B007
+            if kind == "chunk":
+                keep.append(name != last)
+                starts.append(None)
+                if name != last:
+                    leaves["chunk"].append(name)
+                last = name
+            else:
+                keep.append(True)
+                starts.append(start)
+                leaves["recipe"].append(_recipe_leaf(doc_id, start, n, name))
+                start += n
+        out = [batch.column(c) if c != "start" else pa.array(starts, pa.int64()) for c in _ITEMS.names]
+        yield pa.RecordBatch.from_arrays(out, schema=_ITEMS).filter(pa.array(keep))
+    if part is not None:
+        lines = [("manifest", part, None, len(x), start if k == "recipe" else 0, merkle_root(x), k.encode()) for k, x in leaves.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), _ITEMS.types, strict=True)], schema=_ITEMS)
 
 
 def write(documents: DataFrame, store: str, tokenizer_path: str, kind: str = "space", end_id: int = 2) -> None:
-    spark = documents.sparkSession
-    parts = partitions(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    schema = "kind string, to long, digest binary, doc_id long, n_tokens long, data binary"
-    rows = docs.mapInPandas(_encode(tokenizer_path, kind, end_id), schema)
-    rows = rows.repartition(parts, "to").sortWithinPartitions("digest").mapInPandas(_once, schema).drop("to")
-    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{store}/items")
+    parts = partitions(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shares = [i / parts for i in range(1, parts)]
+    bounds = (docs.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] or []) if shares else []
+    rows = docs.mapInArrow(_encode(tokenizer_path, kind, end_id, parts, bounds), "kind string, part int, doc_id long, n_tokens long, name binary, data binary")
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("kind", "doc_id", "name").mapInArrow(_pack, _SQL)
+    rows.write.option("compression", "zstd").parquet(store)
 
-    recipes = _items(spark, store).where("kind = 'recipe'").select("doc_id", "n_tokens", "data")
-    placed = running_total(recipes.withColumnRenamed("data", "digests"), "n_tokens", "doc_id", "digests", name="start")
-    placed = placed.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "start")
-    placed.select("doc_id", "start", "n_tokens", "digests").write.option("compression", "zstd").parquet(f"{store}/order")
-    _manifest(spark, store).write.parquet(f"{store}/manifest")
 
-
-def _items(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("digest binary, doc_id long, n_tokens long, data binary, kind string").parquet(f"{store}/items")
+def _items(spark: SparkSession, store: str, kind: str) -> DataFrame:
+    return spark.read.schema(_SQL).parquet(store).where(F.col("kind") == kind).drop("kind")
 
 
 def _chunks(spark: SparkSession, store: str) -> DataFrame:
-    return _items(spark, store).where("kind = 'chunk'").select("digest", "data")
-
-
-def _order(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("doc_id long, start long, n_tokens long, digests binary").parquet(f"{store}/order")
-
-
-def _manifest(spark: SparkSession, store: str) -> DataFrame:
-    """kind, part, items, root: a Merkle root for each file, over its digests sorted."""
+    return _items(spark, store, "chunk").select("name", "data")
 
-    def root(group: pd.DataFrame) -> pd.DataFrame:
-        leaves = sorted(bytes(d) for d in group["leaf"])
-        return pd.DataFrame({"kind": [group["kind"].iloc[0]], "part": [group["part"].iloc[0]], "items": [len(leaves)], "root": [merkle_root(leaves).hex()]})
 
-    # file names are as many as parts; a part's leaves are 16 bytes a chunk or document
-    base = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    leaf = F.substring(F.unhex(F.sha2(F.concat(F.col("doc_id").cast("string").cast("binary"), F.col("digests")), 256)), 1, DIGEST)
-    both = _chunks(spark, store).select(F.lit("chunk").alias("kind"), base.alias("part"), F.col("digest").alias("leaf")).union(
-        _order(spark, store).select(F.lit("recipe"), base, leaf)
-    )
-    return both.groupBy("kind", "part").applyInPandas(root, "kind string, part string, items long, root string")
+def _lines(spark: SparkSession, store: str) -> DataFrame:
+    """of, part, items, n_tokens, root: what the manifest says."""
+    return _items(spark, store, "manifest").select(F.col("data").cast("string").alias("of"), "part", F.col("start").alias("items"), "n_tokens", F.col("name").alias("root"))
 
 
 def verify(spark: SparkSession, store: str) -> DataFrame:
-    """The manifest's lines that the files do not bear out; none if all is well."""
-    wrote = spark.read.schema("kind string, part string, items long, root string").parquet(f"{store}/manifest")
-    return wrote.exceptAll(_manifest(spark, store)).union(_manifest(spark, store).exceptAll(wrote))
+    """The manifest's lines that the files do not bear out, and parts without a line; none if all is well."""
+
+    def root(key: tuple, group: pa.Table) -> pa.Table:
+        kind, part = (k.as_py() for k in key)
+        if kind == "chunk":
+            leaves, total = sorted(group.column("name").to_pylist()), 0
+        else:
+            rows = sorted(zip(*(group.column(c).to_pylist() for c in ("start", "doc_id", "n_tokens", "name")), strict=True), key=lambda r: r[0])
+            leaves, total = [_recipe_leaf(d, s, n, x) for s, d, n, x in rows], sum(r[2] for r in rows)
+        line = {"of": [kind], "part": [part], "items": [len(leaves)], "n_tokens": [total], "root": [merkle_root(leaves)]}
+        return pa.table(line, pa.schema([("of", pa.string()), ("part", pa.int32()), ("items", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
+
+    # a part's leaves are 16 bytes a chunk, and its recipes
+    items = spark.read.schema(_SQL).parquet(store).where("kind != 'manifest'").select(F.col("kind").alias("of"), "part", "doc_id", "start", "n_tokens", "name")
+    found = items.groupBy("of", "part").applyInArrow(root, "of string, part int, items long, n_tokens long, root binary")
+    said = _lines(spark, store)
+    empty = (F.col("items") == 0) & (F.col("root") == F.lit(merkle_root([])))
+    both = found.select("*", F.lit(1).alias("n")).union(said.where(~empty).select("*", F.lit(-1)))
+    return both.groupBy("of", "part", "items", "n_tokens", "root").agg(F.sum("n").alias("n")).where("n != 0").drop("n")
 
 
 # ---- CRC-32 of joined strings -----------------------------------------------------------------------------------
@@ -224,55 +243,60 @@ def crc_join(first: int, second: int, second_length: int) -> int:
     return _times(_zeros(second_length), first) ^ second
 
 
-def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """digest, crc, n: from every chunk's bytes, which must bear its name."""
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name, crc, n: from every chunk's bytes, which must bear its name."""
     for batch in batches:
-        out = []
-        for name, data in zip(batch["digest"], batch["data"], strict=True):
+        crc, n = [], []
+        for name, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if digest(data) != name:
+                raise ValueError(f"chunk {name.hex()} is damaged")
             raw = _wide(data).tobytes()
-            if digest(data) != bytes(name):
-                raise ValueError(f"chunk {bytes(name).hex()} is damaged")
-            out.append((bytes(name), zlib.crc32(raw), len(raw) // 4))
-        yield pd.DataFrame(out, columns=["digest", "crc", "n"])
+            crc.append(zlib.crc32(raw))
+            n.append(len(raw) // 4)
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], ["name", "crc", "n"])
 
 
 def read(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the store's files."""
-    chunks = _chunks(spark, store).mapInPandas(_checked, "digest binary, crc long, n long")
-    places = F.sequence(F.lit(0), F.floor(F.length("digests") / DIGEST).cast("int") - 1)
-    listed = _order(spark, store).select("doc_id", "start", "n_tokens", "digests")
-    refs = listed.where("n_tokens > 0").select("doc_id", "start", "n_tokens", "digests", F.explode(places).alias("nth"))
-    refs = refs.withColumn("digest", F.expr(f"substring(digests, nth * {DIGEST} + 1, {DIGEST})")).drop("digests")
-    parts = refs.join(chunks, "digest", "left")  # AQE splits a chunk that very many documents hold
-
-    def joined(pieces: pd.Series) -> int:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the store's files; an error where the manifest differs."""
+    if wrong := verify(spark, store).limit(3).collect():
+        raise ValueError(f"the manifest does not describe the store: {wrong}")
+    chunks = _chunks(spark, store).mapInArrow(_checked, "name binary, crc long, n long")
+    recipes = _items(spark, store, "recipe").select("part", "doc_id", "start", "n_tokens", F.col("name").alias("names"))
+    places = F.sequence(F.lit(0), F.floor(F.length("names") / DIGEST).cast("int") - 1)
+    refs = recipes.where("n_tokens > 0").select("part", "doc_id", "start", "n_tokens", "names", F.explode(places).alias("nth"))
+    refs = refs.withColumn("name", F.expr(f"substring(names, nth * {DIGEST} + 1, {DIGEST})")).drop("names")
+    parts = refs.join(chunks, "name", "left")  # AQE splits a chunk that very many documents hold
+
+    def joined(pieces: list[dict]) -> int:
         crc, n = 0, 0
         for p in sorted(pieces, key=lambda p: p["nth"]):
             if p["crc"] is None or p["n"] is None:
                 raise ValueError("a recipe names a chunk that the store lacks")
-            crc = crc_join(crc, int(p["crc"]), 4 * int(p["n"])) if n else int(p["crc"])
-            n += int(p["n"])
+            crc = crc_join(crc, p["crc"], 4 * p["n"]) if n else p["crc"]
+            n += p["n"]
         return crc if n else 0
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["ids_crc32"] = [joined(p) for p in b["pieces"]]
-            n = [sum(x["n"] for x in p) for p in b["pieces"]]
-            if n != b["n_tokens"].tolist():
+            pieces = b.column("pieces").to_pylist()
+            if [sum(x["n"] for x in p if x["n"] is not None) for p in pieces] != b.column("n_tokens").to_pylist():
                 raise ValueError("a document's chunks do not make its number of ids")
-            yield b[["doc_id", "start", "n_tokens", "ids_crc32"]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(map(joined, pieces), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    grouped = parts.groupBy("doc_id", "start", "n_tokens").agg(F.collect_list(F.struct("nth", "crc", "n")).alias("pieces"))
-    return grouped.mapInPandas(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    grouped = parts.groupBy("part", "start", "doc_id", "n_tokens").agg(F.collect_list(F.struct("nth", "crc", "n")).alias("pieces"))
+    # a line for each part: the ids of the parts before it
+    before = _lines(spark, store).where("of = 'recipe'").select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
+    placed = grouped.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "pieces")
+    return placed.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, store: str, doc_ids: list[int]) -> dict[int, list[int]]:
     """The ids of a few documents, put together from their chunks (a round trip for tests and spot checks)."""
-    listed = _order(spark, store).where(F.col("doc_id").isin(doc_ids)).collect()
-    names = {r["digests"][i : i + DIGEST] for r in listed for i in range(0, len(r["digests"]), DIGEST)}
-    got = {bytes(r["digest"]): bytes(r["data"]) for r in _chunks(spark, store).where(F.col("digest").isin([bytearray(n) for n in names])).collect()}
+    listed = _items(spark, store, "recipe").where(F.col("doc_id").isin(doc_ids)).collect()
+    names = {r["name"][i : i + DIGEST] for r in listed for i in range(0, len(r["name"]), DIGEST)}
+    got = {bytes(r["name"]): bytes(r["data"]) for r in _chunks(spark, store).where(F.col("name").isin([bytearray(n) for n in names])).collect()}
     return {
-        r["doc_id"]: [x for i in range(0, len(r["digests"]), DIGEST) for x in _wide(got[bytes(r["digests"][i : i + DIGEST])]).tolist()]
+        r["doc_id"]: [x for i in range(0, len(r["name"]), DIGEST) for x in _wide(got[bytes(r["name"][i : i + DIGEST])]).tolist()]
         for r in listed
     }
 
