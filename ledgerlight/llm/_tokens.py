@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT = 1_500_000  # pieces remembered at most; then the memory begins anew
+KEPT = 1_000_000  # pieces remembered at most; then the memory begins anew
 TOGETHER = 1 << 18  # characters of text looked at together
 LONGEST = 1 << 20  # characters of a text beyond which it is looked at in parts
 JOINED = 400  # pieces encoded as one text

@@ -1,15 +1,20 @@
 """Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, each pair found.
 
-A prefix join: in any order of all shingles, two sets of that similarity share one of their first n - ceil(0.8 n) + 1
-shingles. The order is that of the hashes, with the shingles that a sample of the documents has often put last; the order
-decides only how many pairs are compared, not which are found. Candidates whose prefixes
-allow it are compared by their whole sets.
-
-Only components are wanted. Neighbours in a group that shares a shingle are compared first, then those pairs of the group
-that lie in different components, so that a large group of near copies takes no square of its size.
+Fingerprints come first: pairs of SimHash fingerprints at most BITS bits apart (simhash.py, here over five words) are
+compared by their sets, and what proves alike becomes one component. At a similarity of 0.8 fingerprints lie some 10 bits
+apart and up to 17, too wide for any grid, so a prefix join finds the rest: in any order of all shingles, two sets of that
+similarity share one of their first n - ceil(0.8 n) + 1 shingles. The order is that of the hashes, with the shingles that a
+sample of the documents has often put last, the most frequent at the very end; it decides only how many pairs are compared.
+
+Sets that share such a shingle are a group. In a group, a pair is compared by its sets only if sizes allow the similarity,
+if the two are not yet in one component, and if their bitmaps differ in few bits: a bitmap holds the parity of a set's
+shingles in each of 1024 classes, so that two sets differ in at least as many shingles as their bitmaps in bits. First each
+set meets its NEAREST likeliest partners of a group, which makes a component of a large group of near copies; then groups
+with more possible pairs meet again, for every pair that still lies in two components. So no link is lost, and a large group
+takes no square of its size in rows. Large groups are dealt to several tasks.
 
 Equal sets are one node, however many documents have them; texts without a word have the empty set. Rows without a doc_id
-take no part.
+are near copies of none. Repeated ids stand for all their texts. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,16 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, first_of_id
-from .simhash import components, shingle_hashes
+from ._common import cut, partitions
+from .simhash import BITS, components, fingerprint_of, links, shingle_hashes
 
 SHINGLE = 5
 SAMPLED = 16  # one in so many documents says which shingles are common
 OFTEN = 3  # times in the sample
 COMMON = 500_000  # so many of the commonest at most are put last
+CLASSES = 1024  # of a bitmap
+NEAREST = 8  # partners of a set in a group that are compared first
+SLICE = 2048  # sets of a group that one task compares with the whole group
+HELD = 1 << 20  # shingles of prefixes that are sent together
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -39,38 +48,175 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 1)).view(np.int64))
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which a set at least 0.8 alike must share one. common: sorted, put last in the order."""
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The parity of the number of shingles in each class."""
+    return np.packbits(np.bincount(shingles & (CLASSES - 1), minlength=CLASSES) & 1).tobytes()
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The shingles of which a set at least 0.8 alike must share one. common: sorted, put last in the order, by counts."""
     n = len(shingles)
     if len(common) and n:
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        shingles = shingles[np.argsort(common[at] == shingles, kind="stable")]
+        weight = np.ones(len(common), np.int64) if counts is None else counts
+        shingles = shingles[np.argsort(np.where(common[at] == shingles, weight[at], 0), kind="stable")]
     return shingles[: n - (4 * n + 4) // 5 + 1] if n else shingles
 
 
-def _common(rows: DataFrame) -> np.ndarray:
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that the sample has often, sorted, and how often."""
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.int64), *map(shingle_set, batch["text"])])})
 
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInPandas(each, "token long")
     often = sample.groupBy("token").count().where(F.col("count") >= OFTEN)
-    top = often.orderBy(F.col("count").desc(), "token").limit(COMMON).select("token")
-    return np.sort(np.fromiter((r["token"] for r in top.toLocalIterator()), np.int64))
+    top = often.orderBy(F.col("count").desc(), "token").limit(COMMON)
+    got = sorted((r["token"], r["count"]) for r in top.toLocalIterator())
+    return np.array([t for t, _ in got], np.int64), np.array([c for _, c in got], np.int64)
 
 
-def _nodes(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, key (of the set), n (its size), tokens (its prefix)."""
+def _features(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, fp, key (of the set), n (its size), bits (its bitmap), tokens (its prefix)."""
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
+            hashes = [shingle_hashes(t, SHINGLE) for t in batch["text"]]
+            sets = [np.unique(h).view(np.int64) for h in hashes]
+            fp = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "tokens": [prefix(s, sent.value) for s in sets],
+                "doc_id": batch["doc_id"], "fp": fp, "key": [set_key(s) for s in sets], "n": [len(s) for s in sets],
+                "bits": [bitmap(s) for s in sets], "tokens": [prefix(s, *sent.value).tobytes() for s in sets],
             })
 
-    return rows.mapInPandas(each, "doc_id long, key long, n long, tokens array<long>")
+    return rows.mapInPandas(each, "doc_id long, fp long, key long, n int, bits binary, tokens binary")
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """g, slices, key: the sets (by key) that share a shingle of their prefixes, equal groups under one g."""
+    parts = max(1, partitions(nodes.sparkSession))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += sum(map(len, batch["tokens"])) // 8
+            if size >= HELD:
+                yield dealt(pd.concat(held))
+                held, size = [], 0
+        if held:
+            yield dealt(pd.concat(held))
+
+    def dealt(batch: pd.DataFrame) -> pd.DataFrame:
+        tokens = np.frombuffer(b"".join(batch["tokens"]), np.uint64)
+        keys = np.repeat(batch["key"].to_numpy(np.int64), [len(t) // 8 for t in batch["tokens"]])
+        # parts by the high half; in a part the low half stands for the shingle: an equal one may join a group, no harm
+        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        low, keys = tokens[order].astype(np.uint32), keys[order]
+        here = [p for p in range(parts) if ends[p] < ends[p + 1]]
+        return pd.DataFrame({
+            "part": np.array(here, np.int32), "tokens": [low[ends[p] : ends[p + 1]].tobytes() for p in here], "keys": [keys[ends[p] : ends[p + 1]].tobytes() for p in here],
+        })
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)  # a part's tokens: 12 bytes for each shingle of a prefix
+        tokens = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(t, np.uint32) for b in rows for t in b["tokens"])])
+        keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for b in rows for k in b["keys"])])
+        order = np.lexsort((keys, tokens))
+        tokens, keys = tokens[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(tokens))
+        seen: dict[int, tuple[int, int]] = {}
+        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+            if b - a > 1 and keys[a] != keys[b - 1]:
+                seen.setdefault(xxhash.xxh64_intdigest(keys[a:b].tobytes()), (a, b))
+        for at in range(0, len(seen), 4096):
+            some = list(seen.items())[at : at + 4096]
+            sizes = np.array([b - a for _, (a, b) in some])
+            yield pd.DataFrame({
+                "g": np.repeat(np.array([g for g, _ in some], np.uint64).view(np.int64), sizes), "slices": np.repeat(-(-sizes // SLICE), sizes).astype(np.int32),
+                "key": np.concatenate([keys[a:b] for _, (a, b) in some]),
+            })
+
+    sent = nodes.select("key", "tokens").mapInPandas(send, "part int, tokens binary, keys binary")
+    return sent.repartitionById(parts, "part").mapInPandas(meet, "g long, slices int, key long")
+
+
+def _compare(size: np.ndarray, bits: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many of their shingles the pairs of i and j (all of them) differ in at least, as a share; 1 where they cannot be alike."""
+    total = size[i][:, None] + size[j][None, :]
+    fits = (5 * np.minimum(size[i][:, None], size[j][None, :]) >= 4 * np.maximum(size[i][:, None], size[j][None, :])) & (root[i][:, None] != root[j][None, :])
+    differ = np.zeros(total.shape, np.int64)
+    for w in range(bits.shape[1]):
+        differ += np.bitwise_count(bits[i, w][:, None] ^ bits[j, w][None, :])
+    return np.where(fits & (9 * differ <= total), differ / np.maximum(total, 1), 1.0)
+
+
+def candidates(members: pd.DataFrame, part: int, slices: int, nearest: int | None) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of keys of a group (key, n, bits, root) that may be alike, and whether there are more: for each set of the slice
+    its nearest partners, or without a limit every one of a greater key."""
+    members = members.drop_duplicates("key").sort_values("key", kind="stable")
+    key, size, root = (members[c].to_numpy(np.int64) for c in ("key", "n", "root"))
+    bits = np.frombuffer(b"".join(members["bits"]), np.uint64).reshape(len(key), -1)
+    out, more = [], False
+    mine, every = np.arange(part, len(key), slices), np.arange(len(key))
+    step = max(1, (1 << 20) // max(1, len(key)))
+    for at in range(0, len(mine), step):
+        i = mine[at : at + step]
+        share = _compare(size, bits, root, i, every)
+        if nearest is None:
+            a, b = np.nonzero((share < 1) & (every[None, :] > i[:, None]))
+            out += zip(key[i[a]].tolist(), key[b].tolist(), strict=True)
+            continue
+        many = (share < 1).sum(1)
+        more |= bool((many > nearest).any())
+        best = np.argpartition(share, min(nearest, len(key)) - 1, axis=1)[:, :nearest]
+        a, c = np.nonzero(np.take_along_axis(share, best, 1) < 1)
+        x, y = key[i[a]], key[best[a, c]]
+        out += zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)
+    return out, more
+
+
+def _proposed(groups: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: int | None) -> DataFrame:
+    """a, b: pairs of a group that may be alike; and with nearest, rows of g alone for groups that have more."""
+    rows = groups.join(nodes.select("key", "n", "bits"), "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    rows = rows.select("g", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "key", "n", "bits", F.coalesce("root", "key").alias("root"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        seen: set[tuple[int, int]] = set()
+
+        def done() -> pd.DataFrame:
+            group = pd.concat(held)
+            pairs, more = candidates(group, int(group["slice"].iloc[0]), int(group["slices"].iloc[0]), nearest)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            new = [p for p in dict.fromkeys(pairs) if p not in seen]
+            seen.update(new)
+            full = [group["g"].iloc[0]] if more else []
+            return pd.DataFrame({"g": [*[None] * len(new), *full], "a": [*[a for a, _ in new], *[None] * len(full)], "b": [*[b for _, b in new], *[None] * len(full)]}, dtype="Int64")
+
+        for batch in batches:
+            names = batch["g"].to_numpy(), batch["slice"].to_numpy()
+            cuts = np.flatnonzero((names[0][1:] != names[0][:-1]) | (names[1][1:] != names[1][:-1])) + 1
+            out = []
+            for k, group in enumerate(np.split(np.arange(len(batch)), cuts)):
+                part = batch.iloc[group]
+                if held and (k or held[-1]["g"].iloc[0] != part["g"].iloc[0] or held[-1]["slice"].iloc[0] != part["slice"].iloc[0]):
+                    out.append(done())
+                    held = []
+                held.append(part)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield done()
+
+    dealt = rows.repartition(max(1, partitions(rows.sparkSession)), "g", "slice").sortWithinPartitions("g", "slice")
+    return dealt.mapInPandas(each, "g long, a long, b long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -79,69 +225,75 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": sets})
+            yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(5 * shared >= 4 * (len(x) + len(y) - shared))
+            yield batch.loc[keep, ["a", "b"]]
+
+    pairs = cut(pairs.distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     firsts = nodes.join(asked, "key", "left_semi").select(F.col("first").alias("doc_id")).distinct()
     # a repeated id may bring other texts along: their keys join with nothing
-    sets = cut(rows.join(firsts, "doc_id", "left_semi").mapInPandas(each, "key long, shingles array<long>").dropDuplicates(["key"]))
+    sets = cut(rows.join(firsts, "doc_id", "left_semi").mapInPandas(each, "key long, shingles binary").dropDuplicates(["key"]))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
 
 
-def _alike(sizes: tuple[str, str]) -> Column:
-    """Sizes that a similarity of 0.8 allows."""
-    return (5 * F.col(sizes[0]) >= 4 * F.col(sizes[1])) & (5 * F.col(sizes[1]) >= 4 * F.col(sizes[0]))
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs of keys, those that sizes and bitmaps allow."""
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in ("x", "y"))
+            n, m = (b[c].to_numpy(np.int64) for c in ("n", "m"))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield b.loc[(5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * differ <= n + m), ["a", "b"]]
 
-def _pairs(both: DataFrame) -> DataFrame:
-    """a, b (a < b), each once; both: rows of two members with columns key and n."""
-    both = both.where("x.key != y.key").select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.col("x.n").alias("p"), F.col("y.n").alias("q"))
-    return both.where(_alike(("p", "q"))).select("a", "b").distinct()
+    both = pairs.join(nodes.select(F.col("key").alias("a"), "n", F.col("bits").alias("x")), "a").join(nodes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInPandas(each, "a long, b long")
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the pairs, those whose prefixes allow the similarity: up to the end of the shorter reaching prefix, what two sets
-    share is in both prefixes, and beyond it they share no more than the rest of its set."""
-    side = nodes.select("key", "n", "tokens")
-    both = pairs.join(side.toDF("a", "p", "x"), "a").join(side.toDF("b", "q", "y"), "b")
-    most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("p") - F.size("x"), F.col("q") - F.size("y"))
-    return cut(both.where(9 * most >= 4 * (F.col("p") + F.col("q"))).select("a", "b"))
-
-
-def linked(rows: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """key, root: components of near copies. groups: members (structs of n and key) that share a shingle of their prefixes."""
-    ordered = groups.select(F.array_sort("members").alias("m")).distinct()
-    inner = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.struct(F.get("m", i - 1).alias("x"), F.get("m", i).alias("y")))
-    outer = F.transform(F.slice("m", 2, F.size("m")), lambda y: F.struct(F.get("m", F.lit(0)).alias("x"), y.alias("y")))
-    near = cut(verified(_possible(_pairs(ordered.select(F.explode(F.concat(inner, outer)).alias("e")).select("e.*")), nodes), rows, nodes))
-    roots = components(near)
-    # what is left: pairs of a group that lie in different components so far
-    spread = ordered.withColumn("g", F.xxhash64("m")).select("g", F.explode("m").alias("m")).select("g", "m.n", "m.key")
-    spread = spread.join(roots, spread["key"] == roots["node"], "left").select("g", F.struct("n", "key", F.coalesce("root", "key").alias("root")).alias("m"))
-    left = spread.groupBy("g").agg(F.array_sort(F.collect_list("m")).alias("m")).where(F.size(F.array_distinct("m.root")) > 1)
-    crossed = left.select("m", F.explode("m").alias("x")).select(
-        "x", F.explode(F.filter("m", lambda y: (y["key"] > F.col("x.key")) & (y["root"] != F.col("x.root")) & (5 * F.col("x.n") >= 4 * y["n"]) & (5 * y["n"] >= 4 * F.col("x.n")))).alias("y")
-    )
-    rest = verified(_possible(_pairs(crossed), nodes), rows, nodes)
-    return components(near.union(rest))
-
-
-def near_copies(documents: DataFrame) -> DataFrame:
+def near_copies(documents: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable by pairs of near copies)."""
-    rows = documents.select("doc_id", "text").where("doc_id is not null")
-    docs = cut(_nodes(rows, _common(rows)))
-    nodes = cut(docs.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    members = nodes.select(F.explode("tokens").alias("token"), F.struct("n", "key").alias("member"))
-    groups = cut(members.groupBy("token").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1).select("members"))
-    roots = linked(rows, nodes, groups)
-    named = nodes.select("key", "first").join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return docs.select("doc_id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = cut(_features(rows, _common(rows)))
+    named = cut(docs.groupBy("key").agg(F.min("doc_id").alias("first")))
+    nodes = docs.join(named.select(F.col("key").alias("k"), "first"), (F.col("doc_id") == F.col("first")) & (F.col("key") == F.col("k")))
+    nodes = cut(nodes.dropDuplicates(["key"]).select("key", "first", "fp", "n", "bits", "tokens"))
+
+    # fingerprints: different sets of one fingerprint are linked in a chain, near fingerprints by their smallest sets
+    by_fp = nodes.groupBy("fp").agg(F.min("key").alias("least"))
+    same = nodes.join(by_fp, "fp").where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    near = links(by_fp.select("fp"), bits)
+    near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    edges = cut(verified(_possible(same.union(near), nodes), rows, nodes))
+    roots = components(edges)
+
+    # shared shingles
+    groups = cut(_groups(nodes))
+    found = cut(_proposed(groups, nodes, roots, NEAREST))
+    edges = cut(edges.union(verified(found.where("g is null").select("a", "b"), rows, nodes)))
+    roots = components(edges)
+    more = groups.join(found.where("g is not null").select("g").distinct(), "g", "left_semi")
+    rest = _proposed(more, nodes, roots, None).select("a", "b")
+    roots = components(edges.union(verified(rest, rows, nodes)))
+
+    firsts = named.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    return docs.select("doc_id", "key").join(firsts.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns; of rows with one id, one."""
-    kept = near_copies(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return first_of_id(documents.join(kept, F.col("doc_id") == F.col("_id"), "left_semi"), "doc_id", "text")
+    """The documents that are the smallest of their component, with all their columns; rows without a doc_id stay.
+
+    Of the texts of a repeated id, all stay if one of them is the smallest of its component."""
+    kept = near_copies(documents).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("row_id"))
+    return rows.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").select("row.*").unionByName(documents.where("doc_id is null"))

@@ -46,7 +46,11 @@ def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> int:
-    hashes = shingle_hashes(text)
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if over half the hashes have it."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
