@@ -70,7 +70,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk_mtree": TOP_K_SQL}
+    return {"op2_source_mixture": MIXTURE_SQL, "op5_topk_mtree": TOP_K_SQL}
+
+
+MIXTURE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), x AS (SELECT *, 1000 * size // (size + 256) AS x FROM d
+), per AS (
+  SELECT source, sum(size)::DOUBLE AS words, sum(size * x)::DOUBLE AS sx, min(x)::DOUBLE AS low, max(x)::DOUBLE AS high,
+    row_number() OVER (ORDER BY source IS NULL, source) - 1 AS nth FROM x GROUP BY source
+), w AS (SELECT *, (1 + nth % 3)::DOUBLE AS weight, 3 * words AS most, 3 * words / (1 + nth % 3) AS ratio FROM per
+), r AS (
+  SELECT *, sum(most) OVER up - most AS before, sum(weight) OVER up - weight AS before_w, sum(words) OVER () AS total, sum(weight) OVER () AS weights
+  FROM w WINDOW up AS (ORDER BY ratio, nth)
+), l AS (SELECT ratio, nth, (total - before) / (weights - before_w) AS level FROM r
+), t AS (
+  SELECT *, round(least(most, weight * coalesce((SELECT level FROM l WHERE ratio > level ORDER BY ratio, nth LIMIT 1), 'inf'::DOUBLE)), 6) AS target FROM r
+), e AS (
+  SELECT *, CASE WHEN words > 0 THEN target / words ELSE 0 END AS rate, CASE WHEN words > 0 THEN sx / words ELSE 0 END AS mean FROM t
+), g AS (
+  SELECT *, CASE WHEN rate > 0 AND greatest(high - mean, mean - low) > 0
+    THEN greatest(0::DOUBLE, least(0.25::DOUBLE, 3::DOUBLE / rate - 1)) / greatest(high - mean, mean - low) ELSE 0 END AS tilt FROM e
+), m AS (
+  SELECT x.*, g.words, g.target, CASE WHEN words > 0 THEN CAST(floor(rate * (1 + tilt * (x.x - mean)) * 1000000 + 0.5::DOUBLE) AS BIGINT) ELSE 0 END AS micro,
+    (('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM x JOIN g ON x.source IS NOT DISTINCT FROM g.source
+), q AS (
+  SELECT *, (micro % 1000000) / 1000000::DOUBLE AS p, target - sum(size * (micro // 1000000)) OVER (PARTITION BY source) AS left_words FROM m
+), v AS (SELECT *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS v FROM q
+), o AS (
+  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST, size) AS upto,
+    count(*) OVER (PARTITION BY source, v, doc_id, size) AS n FROM v
+)
+SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target,
+  CAST(size * (micro // 1000000 + CASE WHEN p > 0 AND upto - size * n / 2 <= left_words THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+"""
 
 
 TOP_K_SQL = """

@@ -89,8 +89,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     spread = nodes.select("fp", F.posexplode(masks).alias("cell", "mask")).select(
         "cell", embedding(F.col("fp")).bitwiseAND(F.col("mask")).alias("at"), "fp"
     )
-    # both sides have the same columns, so that one exchange serves both
-    a, b = spread.toDF("cell", "at", "a"), spread.toDF("cell_b", "at_b", "b")
+    # both sides are the same but for names, so that one exchange serves both
+    a, b = spread.toDF("cell_a", "at_a", "a"), spread.toDF("cell_b", "at_b", "b")
     apart = embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))
     # of the groups without a difference, the lowest make the first cell: none outside the cell may lie below its last
     same = [F.when(apart.bitwiseAND(F.lit(_group_mask((g,)))) == 0, F.lit(1 << g)).otherwise(F.lit(0)) for g in range(GROUPS)]
@@ -99,11 +99,11 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         agreeing = agreeing.bitwiseOR(s)
     members = F.array(*[F.lit(sum(1 << g for g in c)) for c in cells])
     below = F.array(*[F.lit((1 << (c[-1] + 1)) - 1) for c in cells])
-    nth = F.col("cell") + 1
+    nth = F.col("cell_a") + 1
     first = agreeing.bitwiseAND(F.element_at(below, nth)) == F.element_at(members, nth)
     lower = F.bit_count(apart) <= bits
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    on = (F.col("cell") == F.col("cell_b")) & (F.col("at") == F.col("at_b")) & (F.col("a") < F.col("b")) & lower & exact & first
+    on = (F.col("cell_a") == F.col("cell_b")) & (F.col("at_a") == F.col("at_b")) & (F.col("a") < F.col("b")) & lower & exact & first
     return a.join(b, on).select("a", "b")
 
 
@@ -150,9 +150,9 @@ def near_duplicates(documents: DataFrame, bits: int = BITS, **columns) -> DataFr
 
 
 def deduplicated(documents: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns; of rows with one id, one."""
-    kept = near_duplicates(documents, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    out = documents.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    from ._common import first_of_id
+    """The documents that are the smallest of their component, with all their columns; rows without a doc_id stay.
 
-    return first_of_id(out, "doc_id", "text")
+    Of the texts of a repeated id, all stay if one of them is the smallest of its component."""
+    kept = near_duplicates(documents, bits).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("row_id"))
+    return rows.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").select("row.*").unionByName(documents.where("doc_id is null"))

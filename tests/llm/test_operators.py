@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import json
 import random
 import zlib
@@ -154,6 +155,38 @@ def test_mixture_meets_targets(docs, rows):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixture.mix(docs.repartition(7)).collect()), key=str)
 
 
+def test_mixture_draws_by_unequal_probabilities(spark):
+    """Against the draw written out in Python; longer documents are expected more often."""
+    r = random.Random(2)
+    rows = [(i, " ".join("w" * r.choice([0, 1, 5, 40, 300, 900])), f"s{i % 4}") for i in range(1500)]
+    got = {g["doc_id"]: g for g in mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for s in {x[2] for x in rows}:
+        own = [(i, len(t.split())) for i, t, x in rows if x == s]
+        words, target = sum(n for _, n in own), got[own[0][0]]["target"]
+        x = {i: 1000 * n // (n + 256) for i, n in own}
+        mean = sum(n * x[i] for i, n in own) / words
+        span, rate = max(max(x.values()) - mean, mean - min(x.values())), target / words
+        tilt = max(0.0, min(0.25, 3.0 / rate - 1)) / span
+        micro = {i: int(math.floor(rate * (1 + tilt * (x[i] - mean)) * 1_000_000 + 0.5)) for i, n in own}
+        assert len(set(micro.values())) > 3
+        left = target - sum(n * (micro[i] // 1_000_000) for i, n in own)
+
+        def place(i):
+            p, u = micro[i] % 1_000_000 / 1_000_000, (int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+            return u / (1 - u) / (p / (1 - p))
+
+        taken, at = {i: micro[i] // 1_000_000 for i, _ in own}, 0
+        size = dict(own)
+        for i in sorted((i for i, _ in own if micro[i] % 1_000_000), key=place):
+            if at + size[i] / 2 > left:
+                break
+            at += size[i]
+            taken[i] += 1
+        assert {i: got[i]["copies"] for i, _ in own} == taken
+    long, short = ([g["copies"] for g in got.values() if a <= g["size"] < b and g["target"] < 1.2 * g["source_size"]] for a, b in ((300, 1000), (1, 6)))
+    assert np.mean(long) > np.mean(short)
+
+
 def test_mixture_rows(docs):
     plan = {r["doc_id"]: r["copies"] for r in mixture.mix(docs).collect()}
     out = mixture.mixed(docs)
