@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-The labels have one toxic flag; the chain's categories are toxic text in each of the corpus's languages, then toxic
-text of any kind. Each category is a logistic regression over the words of a text (the words themselves, their first
+The labels have one toxic flag; as a proxy, the chain's categories are toxic text in each of the corpus's languages, then
+toxic text of any kind. Each category is a logistic regression over the words of a text (the words themselves, their first
 4, 5 and 6 letters, hashed to 32 bits) and over the probabilities of the categories before it. Those probabilities come, for training,
 from models that have not seen the row (out-of-fold), so that later models learn how far to trust earlier ones.
 
@@ -54,7 +54,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Linear:
     features: np.ndarray  # sorted hashes
     weights: np.ndarray
-    chain: np.ndarray  # weights of the log odds of earlier categories
+    chain: np.ndarray  # weights of the probabilities of earlier categories
     bias: float
 
     def log_odds(self, rows: np.ndarray, hashes: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ def _fit(rows: np.ndarray, hashes: np.ndarray, n: int, y: np.ndarray, earlier: n
 
 
 def fit_chain(texts: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> list[Linear]:
-    """A model for each column of labels (rows x categories), each fed the out-of-fold log odds of those before."""
+    """A model for each column of labels (rows x categories), each fed the out-of-fold probabilities of those before."""
     n = len(texts)
     rows = np.repeat(np.arange(n), [len(t) for t in texts])
     hashes = np.concatenate(texts) if n else np.zeros(0, np.uint32)
@@ -114,7 +114,7 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> lis
             use = place[rows] >= 0
             part = _fit(place[rows[use]], hashes[use], len(train), y[train], earlier[train])
             out[rest] = part.log_odds(rows, hashes, n, earlier)[rest]
-        earlier = np.hstack([earlier, np.clip(out, -8, 8)[:, None]])
+        earlier = np.hstack([earlier, _sigmoid(out)[:, None]])
     return chain
 
 
@@ -141,10 +141,10 @@ class Scorer:
             if got:
                 found.update(got)
         own = self.table[sorted(found)].sum(0) if found else np.zeros(len(self.chain))
-        odds: list[float] = []
+        earlier: list[float] = []
         for j, m in enumerate(self.chain):
-            odds.append(float(own[j] + m.bias + (np.clip(odds, -8, 8) @ m.chain if j else 0.0)))
-        return _sigmoid(np.array(odds)).tolist()
+            earlier.append(float(_sigmoid(own[j] + m.bias + (np.array(earlier) @ m.chain if j else 0.0))))
+        return earlier
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear]:
@@ -155,14 +155,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list
     for y in (0, 1):
         some = truth.where(F.col("toxic") == y).orderBy(*order).limit(sample)
         pick = some if pick is None else pick.union(some)
-    rows = documents.join(F.broadcast(pick.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    pick = pick.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit("")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").join(F.broadcast(pick), "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "toxic": b["toxic"], "f": [text_features(t).tobytes() for t in b["text"]]})
 
-    lang = F.col("lang") if "lang" in documents.columns else F.lit("")
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("toxic").cast("int").alias("toxic"), "text")
     got = rows.mapInPandas(features, "doc_id long, lang string, toxic int, f binary").toPandas()
     got = got.assign(size=got["f"].map(len)).sort_values(["doc_id", "size"]).drop_duplicates("doc_id")
     toxic = got["toxic"].to_numpy(int)
