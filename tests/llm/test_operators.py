@@ -469,6 +469,33 @@ def test_html_held_out_pages():
     assert right / total > 0.97
 
 
+@pytest.mark.parametrize("shape", sorted(set(html_main.SHAPES)))
+def test_html_recall_of_each_shape(shape):
+    model, r = html_main.trained(), random.Random(777)
+    kept = own = wrong = other = 0
+    for _ in range(120):
+        page, truth = html_main.made_page(r, shape)
+        kind, found = dict(truth), html_main.blocks(page)
+        for b, p in zip(found, model.label([found])[0] if found else []):
+            if kind.get(b.text.removeprefix("© "), False):
+                own, kept = own + 1, kept + (p >= 0.5)
+            else:
+                other, wrong = other + 1, wrong + (p >= 0.5)
+    assert kept / own >= 0.9 and wrong <= 0.1 * max(other, 10), (shape, kept, own, wrong, other)
+
+
+def test_html_of_few_tags(spark):
+    pages = [
+        "<p>Only text.</p>", "Plain text without any tag.", "<article><p>one</p><script>bad</article>", "<html><head><title>x</title><body><p>b</p>",
+        "<p>a long enough paragraph</p><svg/><p>and another one after the picture</p>", "<div><p>First of two paragraphs here.</p><p>Second of two paragraphs here.</p></div>",
+        "<body><b><i><u><em><span><a href='x'>" + "link " * 3 + "</a></span></em></u></i></b>", "x" * 300_000, "<p>" + "word " * 60_000 + "</p>", "<" * 2000, "<p" * 3000,
+    ]
+    df = spark.createDataFrame([(i % 9, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = [r["text"] for r in sorted(html_main.extract(df.coalesce(1)).collect(), key=lambda r: r["text"])]
+    want = ["Only text.", "Plain text without any tag.", "one", "b", "a long enough paragraph\n\nand another one after the picture", "First of two paragraphs here.\n\nSecond of two paragraphs here.", "x" * 300_000, ("word " * 60_000).strip()]
+    assert len(got) == len(pages) and all(w in got for w in want), [w[:40] for w in want if w not in got]
+
+
 def test_html_pages(spark):
     nav = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
     page = f"<html><head><title>t</title><script>var x='<p>no</p>'</script></head><body>{nav}<div class=\"ad\">Buy now cheap.</div><article><h1>Big &amp; small</h1><p>One <b>two</b>\n three&nbsp;four, and on it goes.<p>Second part of the text, which is longer.</article><footer>&copy; us</footer></body></html>"
