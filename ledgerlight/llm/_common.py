@@ -12,9 +12,12 @@ _ROW_BITS = 33  # Spark keeps a row's place within its partition in this many lo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests on one machine)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only in tests: where none is set and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -71,12 +74,3 @@ def running_total(df: DataFrame, value: str, *keys: str, name: str) -> DataFrame
         .drop("_part", "_at", "_sum", "_start")
     )
 
-
-def first_of_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with an id; where an id repeats, one row of it, that of the smallest text (null first)."""
-    df = df.where(F.col(id_col).isNotNull())
-    ids = df.select(id_col)
-    if ids.groupBy(id_col).count().where("count > 1").limit(1).count() == 0:
-        return df
-    w = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")

@@ -126,9 +126,11 @@ def _groups(nodes: DataFrame) -> DataFrame:
         rows = list(batches)  # a part's tokens: 12 bytes for each shingle of a prefix
         tokens = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(t, np.uint32) for b in rows for t in b["tokens"])])
         keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for b in rows for k in b["keys"])])
+        if not len(tokens):
+            return
         order = np.lexsort((keys, tokens))
         tokens, keys = tokens[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         ends = np.append(first[1:], len(tokens))
         seen: dict[int, tuple[int, int]] = {}
         for a, b in zip(first.tolist(), ends.tolist(), strict=True):

@@ -1,15 +1,16 @@
 """Vector bin packing of token sequences: limits on tokens, segments and loss-bearing tokens at once.
 
 The documents of a task are packed as they come, WINDOW ids at a time, in the task that encodes them; no text or id is
-shuffled. An item is a vector of its tokens, its one segment and its loss-bearing tokens, as shares of the limits. Of
-the open sequences that can take an item whole, the one whose free space has the largest dot product with the item
-gets it; without one, a new sequence opens. A document longer than a sequence is cut: its full lengths are sequences
-of their own, the rest is an item. When a window ends, gaps that are left are filled from the least filled sequences,
-whose pieces are cut to fit; the sequence for which no pieces remain is split into powers of two, which need no padding.
+shuffled. An item is a vector of its tokens, its one segment and its loss-bearing tokens, as shares of the limits. A
+sequence begins with the largest item left and then takes, of those that fit whole, the one whose vector has the largest dot
+product with the sequence's free space, until none fits. A document longer than a sequence is cut: its full lengths are
+sequences of their own, the rest is an item. When a window ends, gaps that are left are filled from the least filled
+sequences, whose pieces are cut to fit; the sequence for which no pieces remain is split into powers of two, which need no
+padding. With whole, for instruction data, nothing that fits a sequence is cut: gaps stay.
 
 For plain documents every token bears loss; for instruction data loss_col names the number of a row's last tokens
-that do. Null text: the end id alone. Rows without a doc_id take no part; repeated rows are packed each for itself.
-An empty table gives an empty result.
+that do. Null text: the end id alone. Rows without a doc_id are packed like others; repeated rows each for itself.
+An empty table gives an empty result. Which documents share a sequence follows from how the table's files are split.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from ._tokens import encoder
 LENGTH = 4096
 SEGMENTS = 512
 WINDOW = 1 << 21  # ids packed together
-OPEN = 64  # sequences that take items at a time; the fullest close first
 
+_TINY = 1e-9
 Piece = tuple[int, int, int]  # item, first id, number of ids
 
 
@@ -39,37 +40,37 @@ def _loss(piece: Piece, first_loss: np.ndarray) -> int:
     return max(0, start + n - max(start, int(first_loss[item])))
 
 
-def pack(lengths: np.ndarray, first_loss: np.ndarray, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LENGTH) -> list[list[Piece]]:
+def pack(lengths: np.ndarray, first_loss: np.ndarray, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LENGTH, whole: bool = False) -> list[list[Piece]]:
     """Sequences of pieces. lengths: ids of each item; first_loss: from which of its ids on they bear loss."""
     done: list[list[Piece]] = []
     rest: list[Piece] = []
     step = min(length, loss)
     for i, n in enumerate(lengths.tolist()):
         at = 0
-        while n - at >= step:
-            done.append([(i, at, step)])
-            at += step
+        if not (whole and n <= length and _loss((i, 0, n), first_loss) <= loss):
+            while n - at >= step:
+                done.append([(i, at, step)])
+                at += step
         if n > at:
             rest.append((i, at, n - at))
     rest.sort(key=lambda p: (-p[2], p[0]))
-    free = np.zeros((OPEN, 3))
-    live: list[list[Piece] | None] = [None] * OPEN
-    limits = np.array([length, segments, loss], float)
-    for p in rest:
-        item = np.array([p[2], 1.0, _loss(p, first_loss)])
-        fits = (free >= item).all(1)
-        if fits.any():
-            score = np.where(fits, (free / limits) @ (item / limits), -1.0)
-            j = int(score.argmax())
-            live[j].append(p)  # type: ignore[union-attr]
-        else:
-            j = int(free[:, 0].argmin())
-            if live[j]:
-                done.append(live[j])  # type: ignore[arg-type]
-            live[j], free[j] = [p], limits
-        free[j] -= item
-    done += [s for s in live if s]
-    return _tighten(done, first_loss, length, segments, loss)
+    items = np.array([(p[2] / length, 1 / segments, _loss(p, first_loss) / loss) for p in rest]).reshape(-1, 3)
+    number = np.arange(len(rest))
+    while len(items):
+        first = int(items.max(1).argmax())
+        sequence, free = [int(number[first])], 1 - items[first]
+        items, number = np.delete(items, first, 0), np.delete(number, first)
+        while True:
+            at = int(np.searchsorted(-items[:, 0], -free[0] - _TINY))  # items come in descending order of tokens
+            fits = (items[at:] <= free + _TINY).all(1)
+            if not fits.any():
+                break
+            j = at + int(np.where(fits, items[at:] @ free, -1.0).argmax())
+            sequence.append(int(number[j]))
+            free = free - items[j]
+            items, number = np.delete(items, j, 0), np.delete(number, j)
+        done.append([rest[k] for k in sequence])
+    return done if whole else _tighten(done, first_loss, length, segments, loss)
 
 
 def _tighten(done: list[list[Piece]], first_loss: np.ndarray, length: int, segments: int, loss: int) -> list[list[Piece]]:
@@ -124,13 +125,14 @@ def _tighten(done: list[list[Piece]], first_loss: np.ndarray, length: int, segme
 
 def pack_documents(
     documents: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int = 2, length: int = LENGTH, segments: int = SEGMENTS,
-    loss: int = LENGTH, loss_col: str | None = None,
+    loss: int = LENGTH, loss_col: str | None = None, whole: bool = False,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, part of each piece. Sequences count on from task to task."""
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"]
+    kinds = {"doc_id": "Int64"}
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), (F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")).alias("loss")
-    ).where("doc_id is not null")
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, task = encoder(tokenizer_path, kind, end_id), TaskContext.get()
@@ -142,7 +144,7 @@ def pack_documents(
             lengths = np.array([len(x) for _, x, _ in held], np.int64)
             first_loss = np.array([f for _, _, f in held], np.int64)
             out = []
-            for sequence in pack(lengths, first_loss, length, segments, loss):
+            for sequence in pack(lengths, first_loss, length, segments, loss, whole):
                 offset = 0
                 for i, at, n in sequence:
                     doc_id, ids, _ = held[i]
@@ -150,11 +152,11 @@ def pack_documents(
                     offset += n
                 count += 1
             held.clear()
-            return pd.DataFrame(out, columns=columns)
+            return pd.DataFrame(out, columns=columns).astype(kinds)
 
         size = 0
         for batch in batches:
-            for doc_id, ids, bearing in zip(batch["doc_id"].tolist(), encode.many(batch["text"]), batch["loss"], strict=True):
+            for doc_id, ids, bearing in zip((None if pd.isna(d) else int(d) for d in batch["doc_id"]), encode.many(batch["text"]), batch["loss"], strict=True):
                 first = 0 if bearing is None or bearing != bearing else max(0, len(ids) - int(bearing))
                 held.append((doc_id, ids, first))
                 size += len(ids)

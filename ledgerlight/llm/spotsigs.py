@@ -8,17 +8,19 @@ Sets of sizes a <= b are at most a / b alike: pairs below the threshold by sizes
 join sets are dealt to partitions by size so that a set meets only its own and the next partition. Within those, pairs
 must share one of the rarest signatures of each set (prefix filter), and the exact coefficient is taken last.
 
-Null text: empty. All texts without words have one same fingerprint. Rows without a doc_id take no part; of rows that
-repeat a doc_id, that of the smallest text stands. An empty table gives an empty result; with one document the next
-document is itself.
+Null text: empty. All texts without words have one same fingerprint. Rows without a doc_id come first; rows that repeat a
+doc_id follow one another, by a hash of their texts. An empty table gives an empty result; with one document the next
+document is itself. In pairs, rows without a doc_id take no part.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, first_of_id, number_rows
+from ._common import cut, number_rows
 
 CHAIN = 2
 SPREAD = 1
@@ -76,26 +78,43 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint, signatures of each document."""
-    docs = first_of_id(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("signatures"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("signatures"))
     return docs.select("doc_id", as_string(F.col("signatures")).alias("fingerprint"), "signatures")
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with the columns that tell its rows apart: doc_id if it does, else with a text's hash and the number of its copy."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return docs, ["doc_id"]
+    docs = docs.withColumn("_h", F.xxhash64("text"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("text"))
+    return docs.withColumn("_copy", copy), ["doc_id", "_h", "_copy"]
+
+
 def compared(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends with the beginning of the next document in ascending doc_id. Only the beginning that is
     needed and the next set of signatures travel to a document, and its own text once.
     """
-    docs = first_of_id(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = number_rows(docs.select("doc_id", F.length("text").cast("long").alias("n")), "doc_id", name="row")
+    docs, names = _named(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    ids = number_rows(docs.select(*names, F.length("text").cast("long").alias("n")), *names, name="row")
     total = ids.agg(F.count("*")).first()[0]
+    before = [f"_before{i}" for i in range(len(names))]
+
+    def alike(a: list[str], b: list[str]) -> Column:
+        same = [F.col(x) == F.col(y) if len(names) == 1 else F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)]
+        return reduce(Column.__and__, same)
+
     # each document's predecessor and how much of this document it wants: by row number, the first follows the last
-    wants = ids.select(((F.col("row") + 1) % F.lit(max(1, total))).alias("row"), F.col("doc_id").alias("_before"), F.floor(F.col("n") / 2).cast("int").alias("_wants"))
-    plan = cut(ids.select("row", "doc_id").join(wants, "row").select(F.col("doc_id").alias("_id"), "_before", "_wants"))
-    own = docs.join(plan, F.col("doc_id") == F.col("_id")).drop("_id")
+    wants = ids.select(((F.col("row") + 1) % F.lit(max(1, total))).alias("row"), *[F.col(c).alias(x) for c, x in zip(names, before, strict=True)], F.floor(F.col("n") / 2).cast("int").alias("_wants"))
+    own_names = [f"_own{i}" for i in range(len(names))]
+    plan = cut(ids.select("row", *[F.col(c).alias(x) for c, x in zip(names, own_names, strict=True)]).join(wants, "row").drop("row"))
+    own = docs.join(plan, alike(names, own_names)).drop(*own_names)
     own = own.withColumn("signatures", signatures(F.col("text")))
-    after = own.select(F.col("_before").alias("_id"), F.substring(F.col("text"), F.lit(1), F.col("_wants")).alias("_begin"), F.col("signatures").alias("_next"))
-    rows = own.select("doc_id", "text", "signatures").join(after, F.col("doc_id") == F.col("_id"))
+    after = own.select(*before, F.substring(F.col("text"), F.lit(1), F.col("_wants")).alias("_begin"), F.col("signatures").alias("_next"))
+    rows = own.select(*names, "text", "signatures").join(after, alike(names, before))
     n = F.length("text")
     kept = F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int"))
     rows = rows.withColumn("edited", F.concat(kept, "_begin")).withColumn("edited_signatures", signatures(F.col("edited")))
@@ -111,7 +130,7 @@ def near_pairs(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Documents of equal fingerprints are one class; fingerprints() has the membership.
     """
-    classes = fingerprints(documents).groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s"))
+    classes = fingerprints(documents.where("doc_id is not null")).groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s"))
     classes = cut(classes.select("id", "s", F.size("s").alias("n")))
     seen = classes.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     ranked = classes.select("id", "n", F.explode("s").alias("h")).join(seen, "h")
