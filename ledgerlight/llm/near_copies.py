@@ -38,6 +38,8 @@ CLASSES = 1024  # of a bitmap
 NEAREST = 8  # partners of a set in a group that are compared first
 SLICE = 2048  # sets of a group that one task compares with the whole group
 HELD = 1 << 20  # shingles of prefixes that are sent together
+FAMILY = 1 << 14  # sets that pairs may connect and that are compared in one task
+FEW = 1 << 20  # ids, of 16 bytes at most, up to which they go to every task
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -158,93 +160,141 @@ def _compare(size: np.ndarray, bits: np.ndarray, root: np.ndarray, i: np.ndarray
     return np.where(fits & (9 * differ <= total), differ / np.maximum(total, 1), 1.0)
 
 
-def candidates(members: pd.DataFrame, part: int, slices: int, nearest: int | None) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of keys of a group (key, n, bits, root) that may be alike, and whether there are more: for each set of the slice
-    its nearest partners, or without a limit every one of a greater key."""
-    members = members.drop_duplicates("key").sort_values("key", kind="stable")
-    key, size, root = (members[c].to_numpy(np.int64) for c in ("key", "n", "root"))
-    bits = np.frombuffer(b"".join(members["bits"]), np.uint64).reshape(len(key), -1)
-    out, more = [], False
+def candidates(key: np.ndarray, size: np.ndarray, bits: np.ndarray, root: np.ndarray, part: int, slices: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of keys of a group that may be alike (the smaller, the greater), and whether there are more: for each set of the
+    slice its nearest partners, or without a limit every one of a greater key. Sets come in ascending order of keys, each once."""
+    if len(key) < 2 or (root == root[0]).all():
+        return key[:0], key[:0], False
+    first, second, more = [], [], False
     mine, every = np.arange(part, len(key), slices), np.arange(len(key))
     step = max(1, (1 << 20) // max(1, len(key)))
     for at in range(0, len(mine), step):
         i = mine[at : at + step]
         share = _compare(size, bits, root, i, every)
-        if nearest is None:
+        if nearest is None or len(key) <= nearest:
             a, b = np.nonzero((share < 1) & (every[None, :] > i[:, None]))
-            out += zip(key[i[a]].tolist(), key[b].tolist(), strict=True)
+            first.append(key[i[a]])
+            second.append(key[b])
             continue
-        many = (share < 1).sum(1)
-        more |= bool((many > nearest).any())
-        best = np.argpartition(share, min(nearest, len(key)) - 1, axis=1)[:, :nearest]
+        more |= bool(((share < 1).sum(1) > nearest).any())
+        best = np.argpartition(share, nearest - 1, axis=1)[:, :nearest]
         a, c = np.nonzero(np.take_along_axis(share, best, 1) < 1)
         x, y = key[i[a]], key[best[a, c]]
-        out += zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)
-    return out, more
+        first.append(np.minimum(x, y))
+        second.append(np.maximum(x, y))
+    return np.concatenate(first), np.concatenate(second), more
 
 
 def _proposed(groups: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: int | None) -> DataFrame:
     """a, b: pairs of a group that may be alike; and with nearest, rows of g alone for groups that have more."""
     rows = groups.join(nodes.select("key", "n", "bits"), "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     rows = rows.select("g", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "key", "n", "bits", F.coalesce("root", "key").alias("root"))
+    words = CLASSES // 64
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        seen: set[tuple[int, int]] = set()
-
-        def done() -> pd.DataFrame:
-            group = pd.concat(held)
-            pairs, more = candidates(group, int(group["slice"].iloc[0]), int(group["slices"].iloc[0]), nearest)
-            if len(seen) > 1 << 20:
-                seen.clear()
-            new = [p for p in dict.fromkeys(pairs) if p not in seen]
-            seen.update(new)
-            full = [group["g"].iloc[0]] if more else []
-            return pd.DataFrame({"g": [*[None] * len(new), *full], "a": [*[a for a, _ in new], *[None] * len(full)], "b": [*[b for _, b in new], *[None] * len(full)]}, dtype="Int64")
+        held: list[np.ndarray] = []
+        kept: list[np.ndarray] = []
+
+        def arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            bits = np.frombuffer(b"".join(batch["bits"]), np.uint64).reshape(len(batch), words)
+            return batch[["g", "slice", "slices", "key", "n", "root"]].to_numpy(np.int64), bits
+
+        def met(rows: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+            firsts, seconds, full = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+                key, at = np.unique(rows[a:b, 3], return_index=True)
+                at += a
+                x, y, more = candidates(key, rows[at, 4], bits[at], rows[at, 5], int(rows[a, 1]), int(rows[a, 2]), nearest)
+                firsts.append(x)
+                seconds.append(y)
+                full += [int(rows[a, 0])] * more
+            return np.concatenate(firsts), np.concatenate(seconds), full
+
+        def shown(rows: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+            a, b, full = met(rows, bits)
+            pairs = pd.DataFrame({"g": pd.array([None] * len(a), "Int64"), "a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")}).drop_duplicates()
+            return pd.concat([pairs, pd.DataFrame({"g": full, "a": [None] * len(full), "b": [None] * len(full)}, dtype="Int64")])
 
         for batch in batches:
-            names = batch["g"].to_numpy(), batch["slice"].to_numpy()
-            cuts = np.flatnonzero((names[0][1:] != names[0][:-1]) | (names[1][1:] != names[1][:-1])) + 1
-            out = []
-            for k, group in enumerate(np.split(np.arange(len(batch)), cuts)):
-                part = batch.iloc[group]
-                if held and (k or held[-1]["g"].iloc[0] != part["g"].iloc[0] or held[-1]["slice"].iloc[0] != part["slice"].iloc[0]):
-                    out.append(done())
-                    held = []
-                held.append(part)
-            if out:
-                yield pd.concat(out)
+            rows, bits = arrays(batch)
+            rows, bits = np.concatenate([*held, rows]), np.concatenate([*kept, bits])
+            last = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1))
+            at = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+            held, kept = [rows[at:]], [bits[at:]]
+            if at:
+                yield shown(rows[:at], bits[:at])
         if held:
-            yield done()
+            yield shown(held[0], kept[0])
 
     dealt = rows.repartition(max(1, partitions(rows.sparkSession)), "g", "slice").sortWithinPartitions("g", "slice")
     return dealt.mapInPandas(each, "g long, a long, b long")
 
 
+def _only(rows: DataFrame, keys: DataFrame, name: str | list[str], how: str = "left_semi") -> DataFrame:
+    """rows whose name is among keys (or with left_anti is not); few keys go to every task, so that rows stay where they are."""
+    keys = cut(keys)
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, name, how)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * shared >= 4 * (len(x) + len(y) - shared)
+
+
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the pairs a, b of keys, those whose sets have a similarity of 0.8 or more."""
+    """Edges a, b that connect what the pairs of keys with a similarity of 0.8 or more connect.
+
+    What pairs may connect meets in one task, each set once, and a pair is compared unless others have connected it; where
+    that is more than FAMILY sets, sets meet pair by pair.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch["text"]]
             yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
+    def meet(sets: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        held = {k: np.frombuffer(s, np.int64) for k, s in zip(sets["key"].tolist(), sets["shingles"], strict=True)}
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = root.get(up, up)
+                k = up
+            return k
+
+        out = []
+        for a, b in zip(some["a"].tolist(), some["b"].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y and _alike(held[a], held[b]):
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(5 * shared >= 4 * (len(x) + len(y) - shared))
+            keep = [_alike(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
     pairs = cut(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    firsts = nodes.join(asked, "key", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    families = components(pairs)
+    sizes = families.groupBy("root").agg((F.count("*") + 1).alias("sets"))
+    home = families.select("node", "root").union(families.select("root", "root").distinct())
+    home = cut(home.join(sizes, "root").select(F.col("node").alias("key"), "root", "sets"))
+    firsts = nodes.select("key", F.col("first").alias("doc_id")).join(home.select("key"), "key").select("doc_id").distinct()
     # a repeated id may bring other texts along: their keys join with nothing
-    sets = cut(rows.join(firsts, "doc_id", "left_semi").mapInPandas(each, "key long, shingles binary").dropDuplicates(["key"]))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
+    sets = _only(rows, firsts, "doc_id").mapInPandas(each, "key long, shingles binary").join(home, "key")
+    parts = max(1, partitions(rows.sparkSession))
+    bucket = F.pmod(F.xxhash64("root"), F.lit(parts)).cast("int").alias("bucket")
+    asked = pairs.join(home.withColumnRenamed("key", "a"), "a")
+    small = sets.where(F.col("sets") <= FAMILY).select(bucket, "key", "shingles")
+    met = small.groupBy("bucket").cogroup(asked.where(F.col("sets") <= FAMILY).select(bucket, "a", "b").groupBy("bucket")).applyInPandas(meet, "a long, b long")
+    if not sizes.where(F.col("sets") > FAMILY).limit(1).count():
+        return met
+    large = sets.where(F.col("sets") > FAMILY).dropDuplicates(["key"]).select("key", "shingles")
+    both = asked.where(F.col("sets") > FAMILY).select("a", "b").join(large.toDF("a", "x"), "a").join(large.toDF("b", "y"), "b")
+    return met.union(both.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long"))
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -266,9 +316,13 @@ def near_copies(documents: DataFrame, bits: int = BITS) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     docs = cut(_features(rows, _common(rows)))
     named = cut(docs.groupBy("key").agg(F.min("doc_id").alias("first")))
-    nodes = docs.join(named.select(F.col("key").alias("k"), "first"), (F.col("doc_id") == F.col("first")) & (F.col("key") == F.col("k")))
-    nodes = cut(nodes.dropDuplicates(["key"]).select("key", "first", "fp", "n", "bits", "tokens"))
-
+    # a node for each set: the rows that repeat one are left out, and of rows alike in doc_id and set all but one
+    spare = docs.select("doc_id", "key").join(named, "key").where("doc_id != first").select("doc_id", "key")
+    twice = docs.groupBy("doc_id", "key").count().where("count > 1")
+    nodes = _only(docs, spare.distinct(), ["doc_id", "key"], "left_anti").withColumn("first", F.col("doc_id"))
+    if twice.limit(1).count():
+        nodes = nodes.dropDuplicates(["key"])
+    nodes = nodes.select("key", "first", "fp", "n", "bits", "tokens")
     # fingerprints: different sets of one fingerprint are linked in a chain, near fingerprints by their smallest sets
     by_fp = nodes.groupBy("fp").agg(F.min("key").alias("least"))
     same = nodes.join(by_fp, "fp").where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b"))
