@@ -37,6 +37,7 @@ COMMON = 500_000  # so many of the commonest at most are put last
 CLASSES = 1024  # of a bitmap
 NEAREST = 8  # partners of a set in a group that are compared first
 SLICE = 2048  # sets of a group that one task compares with the whole group
+ROWS = 512  # sets sent together
 HELD = 1 << 20  # shingles of prefixes that are sent together
 FAMILY = 1 << 14  # sets that pairs may connect and that are compared in one task
 FEW = 1 << 20  # ids, of 16 bytes at most, up to which they go to every task
@@ -85,13 +86,13 @@ def _features(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes = [shingle_hashes(t, SHINGLE) for t in batch["text"]]
-            sets = [np.unique(h).view(np.int64) for h in hashes]
-            fp = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "fp": fp, "key": [set_key(s) for s in sets], "n": [len(s) for s in sets],
-                "bits": [bitmap(s) for s in sets], "tokens": [prefix(s, *sent.value).tobytes() for s in sets],
-            })
+            out = []
+            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+                hashes = shingle_hashes(text, SHINGLE)
+                shingles = np.unique(hashes).view(np.int64)
+                fp = int(np.uint64(fingerprint_of(hashes)).view(np.int64))
+                out.append((doc_id, fp, set_key(shingles), len(shingles), bitmap(shingles), prefix(shingles, *sent.value).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "fp", "key", "n", "bits", "tokens"])
 
     return rows.mapInPandas(each, "doc_id long, fp long, key long, n int, bits binary, tokens binary")
 
@@ -167,7 +168,7 @@ def candidates(key: np.ndarray, size: np.ndarray, bits: np.ndarray, root: np.nda
         return key[:0], key[:0], False
     first, second, more = [], [], False
     mine, every = np.arange(part, len(key), slices), np.arange(len(key))
-    step = max(1, (1 << 20) // max(1, len(key)))
+    step = max(1, (1 << 18) // max(1, len(key)))
     for at in range(0, len(mine), step):
         i = mine[at : at + step]
         share = _compare(size, bits, root, i, every)
@@ -251,8 +252,9 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            for at in range(0, len(batch), ROWS):
+                sets = [shingle_set(t) for t in batch["text"].iloc[at : at + ROWS]]
+                yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     def meet(sets: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         held = {k: np.frombuffer(s, np.int64) for k, s in zip(sets["key"].tolist(), sets["shingles"], strict=True)}
@@ -286,7 +288,7 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     # a repeated id may bring other texts along: their keys join with nothing
     sets = _only(rows, firsts, "doc_id").mapInPandas(each, "key long, shingles binary").join(home, "key")
     parts = max(1, partitions(rows.sparkSession))
-    bucket = F.pmod(F.xxhash64("root"), F.lit(parts)).cast("int").alias("bucket")
+    bucket = F.pmod(F.xxhash64("root"), F.lit(4 * parts)).cast("int").alias("bucket")
     asked = pairs.join(home.withColumnRenamed("key", "a"), "a")
     small = sets.where(F.col("sets") <= FAMILY).select(bucket, "key", "shingles")
     met = small.groupBy("bucket").cogroup(asked.where(F.col("sets") <= FAMILY).select(bucket, "a", "b").groupBy("bucket")).applyInPandas(meet, "a long, b long")

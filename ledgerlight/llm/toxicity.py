@@ -33,6 +33,7 @@ FEATURES = 3000  # of a category
 FOLDS = 3
 PREFIXES = (4, 5, 6)
 LEAST = 4  # toxic rows that must hold a feature
+KEPT = 1 << 18  # words whose features a task remembers
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,31 +58,25 @@ class Linear:
     chain: np.ndarray  # weights of the probabilities of earlier categories
     bias: float
 
-    def log_odds(self, rows: np.ndarray, hashes: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
-        if not len(self.features):
-            return np.full(n, self.bias) + earlier @ self.chain
-        at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
-        hit = self.features[at] == hashes
-        return np.bincount(rows[hit], self.weights[at[hit]], n) + self.bias + earlier @ self.chain
 
+def _fit(rows: np.ndarray, codes: np.ndarray, kinds: np.ndarray, n: int, y: np.ndarray, earlier: np.ndarray, steps: int = 150) -> tuple[Linear, np.ndarray]:
+    """L2-regularised logistic regression on the features that tell the classes apart, by gradient steps with Adam.
 
-def _fit(rows: np.ndarray, hashes: np.ndarray, n: int, y: np.ndarray, earlier: np.ndarray, steps: int = 150) -> Linear:
-    """L2-regularised logistic regression on the features that tell the classes apart, by gradient steps with Adam."""
+    rows, codes: which of n texts holds which of kinds. Also gives the places of the model's features among kinds."""
     pos = int(y.sum())
     if not pos or pos == n:
-        return Linear(np.zeros(0, np.uint32), np.zeros(0), np.zeros(earlier.shape[1]), 8.0 if pos else -8.0)
-    kinds, inverse = np.unique(hashes, return_inverse=True)
-    with_y = np.bincount(inverse, y[rows], len(kinds))
-    without = np.bincount(inverse, 1 - y[rows], len(kinds))
+        return Linear(np.zeros(0, np.uint32), np.zeros(0), np.zeros(earlier.shape[1]), 8.0 if pos else -8.0), np.zeros(0, np.int64)
+    with_y = np.bincount(codes[y[rows] > 0], minlength=len(kinds))
+    without = np.bincount(codes, minlength=len(kinds)) - with_y
     odds = np.log((with_y + 0.5) / (pos + 1)) - np.log((without + 0.5) / (n - pos + 1))
     strength = np.abs(odds) * np.sqrt(np.maximum(with_y, without * pos / n))
     strength[(with_y < LEAST) & (odds > 0)] = 0
     pick = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     pick = pick[strength[pick] > 2.0]
-    column = np.full(len(kinds), -1)
+    column = np.full(len(kinds), -1, np.int32)
     column[pick] = np.arange(len(pick))
-    c = column[inverse]
-    r, c = rows[c >= 0], c[c >= 0]
+    hit = np.flatnonzero(column[codes] >= 0)
+    r, c = rows[hit], column[codes[hit]]
     k, m = len(pick), earlier.shape[1]
     w, first, second = (np.zeros(k + m + 1) for _ in range(3))
     w[-1] = np.log(pos / (n - pos))
@@ -92,29 +87,38 @@ def _fit(rows: np.ndarray, hashes: np.ndarray, n: int, y: np.ndarray, earlier: n
         g = np.concatenate([np.bincount(c, d[r], k) if k else np.zeros(0), earlier.T @ d, [d.sum()]]) + 1e-5 * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
-    return Linear(kinds[pick], w[:k], w[k : k + m], float(w[-1]))
+    return Linear(kinds[pick], w[:k], w[k : k + m], float(w[-1])), pick
+
+
+def _score_rows(model: Linear, places: np.ndarray, rows: np.ndarray, codes: np.ndarray, kinds: int, n: int, earlier: np.ndarray) -> np.ndarray:
+    """The model's probabilities of n texts."""
+    weight = np.zeros(kinds)
+    weight[places] = model.weights
+    hit = np.flatnonzero(weight[codes])
+    return _sigmoid(np.bincount(rows[hit], weight[codes[hit]], n) + model.bias + earlier @ model.chain)
 
 
 def fit_chain(texts: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> list[Linear]:
     """A model for each column of labels (rows x categories), each fed the out-of-fold probabilities of those before."""
     n = len(texts)
-    rows = np.repeat(np.arange(n), [len(t) for t in texts])
-    hashes = np.concatenate(texts) if n else np.zeros(0, np.uint32)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
+    kinds, codes = np.unique(np.concatenate(texts) if n else np.zeros(0, np.uint32), return_inverse=True)
+    codes = codes.astype(np.int32)
     fold = np.random.default_rng(seed).permutation(n) % FOLDS
     earlier = np.zeros((n, 0))
     chain = []
     for j in range(labels.shape[1]):
         y = labels[:, j].astype(float)
-        chain.append(_fit(rows, hashes, n, y, earlier))
+        chain.append(_fit(rows, codes, kinds, n, y, earlier)[0])
         out = np.zeros(n)
         for f in range(FOLDS if j + 1 < labels.shape[1] else 0):
             train, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            place = np.full(n, -1)
+            place = np.full(n, -1, np.int32)
             place[train] = np.arange(len(train))
             use = place[rows] >= 0
-            part = _fit(place[rows[use]], hashes[use], len(train), y[train], earlier[train])
-            out[rest] = part.log_odds(rows, hashes, n, earlier)[rest]
-        earlier = np.hstack([earlier, _sigmoid(out)[:, None]])
+            part, places = _fit(place[rows[use]], codes[use], kinds, len(train), y[train], earlier[train])
+            out[rest] = _score_rows(part, places, rows, codes, len(kinds), n, earlier)[rest]
+        earlier = np.hstack([earlier, out[:, None]])
     return chain
 
 
@@ -132,7 +136,7 @@ class Scorer:
 
     def score(self, text: str | None) -> list[float]:
         words, place, found = self.words, self.place, set()
-        if len(words) > 1 << 20:
+        if len(words) > KEPT:
             words.clear()
         for w in set(_WORD.findall((text or "").lower())):
             got = words.get(w)
