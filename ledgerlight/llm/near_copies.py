@@ -76,8 +76,10 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInPandas(each, "token long")
     often = sample.groupBy("token").count().where(F.col("count") >= OFTEN)
     top = often.orderBy(F.col("count").desc(), "token").limit(COMMON)
-    got = sorted((r["token"], r["count"]) for r in top.toLocalIterator())
-    return np.array([t for t, _ in got], np.int64), np.array([c for _, c in got], np.int64)
+    got = top.toArrow()  # COMMON rows at most
+    token, count = (got.column(c).to_numpy() for c in ("token", "count"))
+    order = np.argsort(token)
+    return token[order], count[order]
 
 
 def _features(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:

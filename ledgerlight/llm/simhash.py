@@ -28,6 +28,7 @@ GROUPS = 8
 SHINGLE = 4
 SEED = 42
 SALTS = 4
+FEW = 1 << 20  # edges that one task joins
 
 
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -107,13 +108,33 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return a.join(b, on).select("a", "b")
 
 
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (to := up.get(x, x)) != x:
+            up[x] = x = up.get(to, to)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            up[max(a, b)] = up[min(a, b)] = min(a, b)
+    out = [(x, r) for x in list(up) if (r := find(x)) != x]
+    for at in range(0, len(out), 1 << 16):
+        yield pd.DataFrame(out[at : at + (1 << 16)], columns=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable, for nodes with an edge. Large star and small star, by turns.
+    """node, root: the smallest node reachable, for other nodes with an edge. Up to FEW edges, some 16 MB, meet in one task;
+    beyond that large star and small star, by turns.
 
     Each turn keeps the components and at least halves the height of the trees, so the turns grow with the logarithm
     of a component's diameter. Edges are pre-aggregated to a node's smallest neighbour before they meet.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= FEW:
+        return edges.repartition(1).mapInPandas(_joined, "node long, root long")
     count = -1
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

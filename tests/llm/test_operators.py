@@ -247,7 +247,9 @@ def test_simhash_links_every_close_pair(spark):
     assert len(got) == len(want) and {tuple(g) for g in got} == want
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components_of_long_chains(spark, few, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", few)
     edges = [(i, i + 1) for i in range(0, 200)] + [(i, i + 1) for i in range(300, 310)] + [(5, 7), (5, 7)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, **{i: 300 for i in range(301, 311)}}
