@@ -67,9 +67,10 @@ def exact_sign_flip(differences: Sequence[float]) -> float:
     """Two-sided p over all sign patterns of at most 20 differences."""
     if len(differences) > 20:
         raise ValueError("exact enumeration takes at most 20 differences")
-    observed = abs(sum(differences))
+    n = max(1, len(differences))
+    observed = abs(sum(differences)) / n
     count = sum(
-        abs(sum(-d if mask >> i & 1 else d for i, d in enumerate(differences))) >= observed - TIE for mask in range(1 << len(differences))
+        abs(sum(-d if mask >> i & 1 else d for i, d in enumerate(differences))) / n >= observed - TIE for mask in range(1 << len(differences))
     )
     return count / (1 << len(differences))
 
@@ -104,18 +105,16 @@ def pair_seed(baseline: str, candidate: str, label: str) -> int:
     return int.from_bytes(hashlib.sha256(f"{baseline}\0{candidate}\0{label}".encode()).digest()[:8], "big")
 
 
-def failed_criteria(delta: float, corrected: float, holm_p: float, detectable: float, mttc_delta: float, alpha: float = 0.05, floor: float = 0.01) -> tuple[str, ...]:
-    """What keeps a candidate from being a win: significance, power, size, the selection's correction, dearer turns."""
-    checks = {
-        "significance": holm_p < alpha,
-        "detectable": delta >= detectable and delta > 0,
-        "practical_floor": delta >= floor,
-        "corrected": corrected > 0,
-        "turns": mttc_delta <= 0 or delta >= 0.0667 * mttc_delta,
-    }
-    return tuple(name for name, met in checks.items() if not met)
+CRITERIA = ("holm_significance", "practical_floor", "hr10_exchange_rate")
+ALPHA, FLOOR, EXCHANGE = 0.05, 0.01, 0.0667
 
 
-def classify_verdict(holm_p: float, delta: float, detectable: float, failed: Sequence[str], alpha: float = 0.05) -> str:
+def failed_criteria(holm_p: float, corrected_delta: float, hit_rate_delta: float, mrr_delta: float, mttc_delta: float) -> tuple[str, ...]:
+    """What keeps a candidate from being a win, in the order of CRITERIA; a lost hit rate must be paid for in rank."""
+    met = (holm_p < ALPHA, corrected_delta >= FLOOR, hit_rate_delta >= 0 or (mrr_delta > 0 and mrr_delta > EXCHANGE * abs(mttc_delta)))
+    return tuple(name for name, ok in zip(CRITERIA, met, strict=True) if not ok)
+
+
+def classify_verdict(holm_p: float, delta: float, detectable: float, failed: Sequence[str]) -> str:
     """A win exactly when nothing failed; else by what the data can show."""
-    return "win" if not failed else "below_ship_bar" if holm_p < alpha else "not_detectable" if abs(delta) < detectable else "no_difference"
+    return "win" if not failed else "significant, below ship bar" if holm_p < ALPHA else "not detectable" if abs(delta) < detectable else "no difference"

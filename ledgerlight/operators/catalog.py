@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ordered_tokens, search_terms
+from ..functions.text import let, ordered_tokens, search_terms
 
 FIELD_WEIGHTS = {"title": 6.0, "categories": 4.0, "features": 2.5, "details": 2.5, "store": 1.5, "description": 1.0}
 Z = 1.96
@@ -48,11 +48,24 @@ def attributes(products: DataFrame, lists: dict[str, str] | None = None, scalars
 
 
 def weighted_postings(products: DataFrame, fields: dict[str, float], key: str = "id") -> DataFrame:
-    """id, term, weighted_frequency: the sum of the weights of the fields that hold the term."""
+    """id, term, weighted_frequency: the sum of the weights of the fields that hold the term.
+
+    Summed within the row, over its terms in order, so that nothing is shuffled.
+    """
     weighted = lambda c, w: F.transform(search_terms(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    parts = [weighted(c, w) for c, w in fields.items()]
-    rows = products.select(key, F.explode(F.concat(*parts)).alias("p"))
-    return rows.groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("weighted_frequency"))
+    entries = F.array_sort(F.concat(*[weighted(c, w) for c, w in fields.items()]))
+
+    def summed(e: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            total = x["w"]
+            for k in range(1, len(fields)):  # a term's entries stand side by side, one for each field
+                total = total + F.when(F.get(e, i + k)["term"] == x["term"], F.get(e, i + k)["w"]).otherwise(F.lit(0.0))
+            return F.when((i > 0) & (F.get(e, i - 1)["term"] == x["term"]), F.lit(None)).otherwise(F.struct(x["term"].alias("term"), total.alias("w")))
+
+        return F.filter(F.transform(e, one), lambda x: x.isNotNull())
+
+    rows = products.select(key, F.explode(let(entries, summed)).alias("p"))
+    return rows.select(key, F.col("p.term").alias("term"), F.col("p.w").alias("weighted_frequency"))
 
 
 def document_frequency(postings: DataFrame, mode: str = "weighted") -> DataFrame:
@@ -97,6 +110,25 @@ def recovered_keyed_values(products: DataFrame, key: str = "id", features: str =
     return pairs.join(known, ["attribute", "value"], "left_semi").select(key, "attribute", "value")
 
 
+def folded_details(products: DataFrame, materials: DataFrame, keyed: DataFrame, key: str = "id", details: str = "details", features: str = "features") -> DataFrame:
+    """products with what their features reveal added to their details: known materials, then known keyed values, in the
+    order of the features, none that is there already. materials: token; keyed: attribute, value."""
+    pair = "array<struct<key:string,value:string>>"
+    own = F.coalesce(F.col(details), F.array().cast(pair))
+    heads = F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(features), F.array().cast("array<string>")), feature_material_tokens)))
+    named = F.transform(heads, lambda t: F.struct(F.lit("material").alias("key"), t.alias("value")))
+    told = F.filter(F.transform(F.coalesce(F.col(features), F.array().cast("array<string>")), keyed_value), lambda p: p.isNotNull())
+    told = F.transform(told, lambda p: F.struct(p["attribute"].alias("key"), p["value"].alias("value")))
+    rows = products.select(key, F.posexplode(F.array_except(F.array_distinct(F.concat(named, told)), own)).alias("at", "d"))
+    known = materials.select(F.lit("material").alias("key"), F.col("token").alias("value")).union(keyed.select("attribute", "value")).distinct()
+    rows = rows.select(key, "at", F.col("d.key").alias("key"), F.col("d.value").alias("value")).join(known, ["key", "value"])
+    added = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "key", "value"))).alias("_added"))
+    added = added.select(F.col(key).alias("_key"), F.transform("_added", lambda d: F.struct(d["key"].alias("key"), d["value"].alias("value"))).alias("_added"))
+    out = products.join(added, F.col(key) == F.col("_key"), "left")
+    full = F.concat(own, F.coalesce("_added", F.array().cast(pair)))
+    return out.withColumn(details, full).drop("_key", "_added")
+
+
 def value_counts(attribute_rows: DataFrame) -> DataFrame:
     return attribute_rows.groupBy("attribute", "value").agg(F.count("*").alias("n"))
 

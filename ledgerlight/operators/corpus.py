@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, bigrams, classify_constraint, let, ordered_tokens
+from ..functions.text import STOPWORDS, bigrams, classify_constraint, content_tokens, let, ordered_tokens, pinned_tokens
+from .order import ranked_rows
 
 SCENARIO_MIX = {"boundary": 0.05, "browsing": 0.40, "buying": 0.40, "intent_override": 0.15}
 TOLERANCE = 0.02
@@ -41,9 +42,16 @@ def stratified_sample(rows: DataFrame, total: int, label: str, key: str, stratum
     if excluded is not None:
         rows = rows.join(excluded, key, "left_anti")
     quotas = proportional_quotas(rows.groupBy(stratum).agg(F.count("*").alias("size")), total, stratum)
+    # a stratum's first rows by hash: those under a threshold that all but surely leaves enough; only they are ranked
+    near = quotas.select(stratum, "quota", "size")
+    share = F.least(F.lit(1.0), (F.col("quota") + 6 * F.sqrt(F.col("quota") + 1.0) + 20) / F.col("size"))
+    drawn = F.conv(F.substring(seeded(label, F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    few = rows.join(F.broadcast(near), stratum).where(drawn <= share)
     w = Window.partitionBy(stratum).orderBy(seeded(label, F.col(key)), key)
-    picked = rows.withColumn("_nth", F.row_number().over(w)).join(F.broadcast(quotas.select(stratum, "quota")), stratum)
-    return picked.where(F.col("_nth") <= F.col("quota")).drop("_nth", "quota")
+    held = F.count("*").over(Window.partitionBy(stratum))
+    short = F.raise_error(F.lit("a stratum's threshold left too few rows")).cast("int")
+    picked = few.withColumn("_nth", F.row_number().over(w)).withColumn("_nth", F.when(held >= F.col("quota"), F.col("_nth")).otherwise(short))
+    return picked.where(F.col("_nth") <= F.col("quota")).drop("_nth", "quota", "size")
 
 
 def assign_by_quota(rows: DataFrame, shares: dict[str, float], label: str, key: str, name: str = "scenario") -> DataFrame:
@@ -58,14 +66,15 @@ def assign_by_quota(rows: DataFrame, shares: dict[str, float], label: str, key:
     q = q.select(name, (F.col("_f") + F.when(F.col("_x") <= F.col("_l"), 1).otherwise(0)).alias("quota"))
     end = F.sum("quota").over(Window.orderBy(name))
     q = q.withColumn("_end", end).withColumn("_start", end - F.col("quota"))
-    placed = rows.withColumn("_at", F.row_number().over(Window.orderBy(seeded(label, F.col(key)), key)) - 1)
+    placed = ranked_rows(rows.withColumn("_seed", seeded(label, F.col(key))), "_seed", key, name="_at").drop("_seed")
     return placed.join(F.broadcast(q), (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end"))).drop("_at", "_end", "_start", "quota")
 
 
-def divergence(pairs: DataFrame, phrase: str = "phrase", target: str = "target", limit: float = 0.5) -> DataFrame:
-    """pairs with the phrase's content tokens, the share that the target has too, shared word pairs, and whether it passes."""
+def divergence(pairs: DataFrame, phrase: str = "phrase", target: str = "target") -> DataFrame:
+    """pairs with the phrase's content tokens (without stop words and those that any wording must keep), the share that the
+    target has too, shared word pairs, and whether it passes: nothing shared."""
     p, t = ordered_tokens(F.col(phrase)), ordered_tokens(F.col(target))
-    content = F.filter(p, lambda x: ~x.isin(STOPWORDS))
+    content = let(pinned_tokens(F.col(phrase)), lambda pins: content_tokens(p, pins))
     shared = F.filter(F.array_intersect(bigrams(p), bigrams(t)), lambda b: F.exists(F.split(b, " "), lambda x: ~x.isin(STOPWORDS)))
     both = let(
         F.struct(content.alias("c"), F.array_distinct(t).alias("t"), shared.alias("shared")),
@@ -74,25 +83,27 @@ def divergence(pairs: DataFrame, phrase: str = "phrase", target: str = "target",
     rows = pairs.withColumn("_m", both).select("*", "_m.*").drop("_m")
     ratio = F.when(F.col("content_tokens") == 0, F.lit(0.0)).otherwise(F.size("overlapping") / F.col("content_tokens"))
     rows = rows.withColumn("overlap_ratio", ratio)
-    return rows.withColumn("passes", (F.col("overlap_ratio") <= limit) & (F.size("shared_bigrams") == 0))
+    return rows.withColumn("passes", (F.size("overlapping") == 0) & (F.size("shared_bigrams") == 0))
 
 
-def divergence_of_all(phrases: DataFrame, targets: DataFrame, limit: float = 0.5) -> DataFrame:
+def divergence_of_all(phrases: DataFrame, targets: DataFrame) -> DataFrame:
     """Every phrase (item_id, phrase) measured against every target (doc_id, target), as divergence does; word pairs as a count.
 
     The phrases are a bounded table: an index from each of their words and word pairs to the phrases goes to every task.
     """
-    index = [(r["item_id"], r["p"]) for r in phrases.where("item_id is not null").select("item_id", F.coalesce(ordered_tokens(F.col("phrase")), F.array().cast("array<string>")).alias("p")).collect()]
+    tokens_of = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    phrase = F.coalesce("phrase", F.lit(""))
+    chosen = phrases.where("item_id is not null").select("item_id", tokens_of(ordered_tokens(phrase)).alias("p"), tokens_of(let(pinned_tokens(phrase), lambda pins: content_tokens(ordered_tokens(phrase), pins))).alias("c"))
+    index = [(r["item_id"], r["p"], r["c"]) for r in chosen.collect()]
     stop, words, doubles = frozenset(STOPWORDS), {}, {}
-    for at, (_, tokens) in enumerate(index):
-        for w in tokens:
-            if w not in stop:
-                words.setdefault(w, []).append(at)
+    for at, (_, tokens, kept) in enumerate(index):
+        for w in kept:
+            words.setdefault(w, []).append(at)
         for a, b in set(zip(tokens, tokens[1:], strict=False)):
             if a not in stop or b not in stop:
                 doubles.setdefault((a, b), []).append(at)
-    ids = np.array([i for i, _ in index], np.int64)
-    content = np.array([sum(w not in stop for w in tokens) for _, tokens in index], np.int32)
+    ids = np.array([i for i, _, _ in index], np.int64)
+    content = np.array([len(c) for _, _, c in index], np.int32)
     sent = phrases.sparkSession.sparkContext.broadcast(({w: np.array(v) for w, v in words.items()}, {b: np.array(v) for b, v in doubles.items()}))
     n, per = len(ids), np.maximum(content, 1)
 
@@ -112,7 +123,7 @@ def divergence_of_all(phrases: DataFrame, targets: DataFrame, limit: float = 0.5
                 ratio, shared = np.concatenate(ratio), np.concatenate(shared).astype(np.int32)
                 yield pd.DataFrame({
                     "item_id": np.tile(ids, len(part)), "doc_id": np.repeat(part["doc_id"].to_numpy(), n), "content_tokens": np.tile(content, len(part)),
-                    "overlap_ratio": ratio, "shared_bigrams": shared, "passes": (ratio <= limit) & (shared == 0),
+                    "overlap_ratio": ratio, "shared_bigrams": shared, "passes": (ratio == 0) & (shared == 0),
                 })
 
     rows = targets.where("doc_id is not null").select("doc_id", F.coalesce(F.lower("target"), F.lit("")).alias("target"))
@@ -209,3 +220,89 @@ def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def describe(rows: DataFrame, pair: str = "pair", arm: str = "arm", target: str = "target") -> DataFrame:
     return rows.agg(F.count("*").alias("sessions"), F.countDistinct(target).alias("targets"), F.countDistinct(pair).alias("pairs"), F.countDistinct(arm).alias("arms"))
+
+
+def stratum(categories: Column, price: Column) -> Column:
+    """department|price band, the department being the second category, else the first."""
+    names = F.filter(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
+    department = F.coalesce(F.get(names, F.lit(1)), F.get(names, F.lit(0)), F.lit("unknown"))
+    return F.concat_ws("|", F.lower(department), price_band(price))
+
+
+def override_turn(pair: Column, scenario: Column) -> Column:
+    """3 or 4, by a draw from the pair and the scenario alone, so that both arms of a pair agree."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit("turn"), pair.cast("string"), scenario)), 1, 8)
+    return (F.conv(digits, 16, 10).cast("bigint") % 2 + 3).cast("int")
+
+
+def cross_check_violations(rows: DataFrame, pair: str, arm: str, checked: str, against: str) -> DataFrame:
+    """pair, violation: checked without the arm that it is checked against, or not exactly three rows."""
+    per = rows.groupBy(pair).agg(F.count("*").alias("n"), F.bool_or(F.col(arm) == checked).alias("_c"), F.bool_or(F.col(arm) == against).alias("_a"))
+    found = F.array(F.when(~F.col("_a"), F.lit("orphan")), F.when(F.col("n") != 3, F.lit("not_three_rows")))
+    return per.where("_c").select(pair, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("violation"))
+
+
+def drop_summary(constraints: DataFrame, pairs: DataFrame, item: str = "item_id", pair: str = "pair_id") -> DataFrame:
+    """One row: dropped rows, distinct dropped constraints, refused pairs; a pair refused twice is an error."""
+    twice = pairs.groupBy(pair).count().where("count > 1").agg(F.first(pair).cast("string").alias("_twice"))
+    dropped = constraints.agg(F.count("*").alias("dropped_constraint_rows"), F.countDistinct(item).alias("dropped_constraints"))
+    fail = F.raise_error(F.concat(F.lit("refused twice: "), F.col("_twice"))).cast("bigint")
+    out = dropped.crossJoin(pairs.agg(F.count("*").alias("refused_pairs"))).crossJoin(twice)  # a row each
+    return out.withColumn("refused_pairs", F.when(F.col("_twice").isNull(), F.col("refused_pairs")).otherwise(fail)).drop("_twice")
+
+
+def constraints_per_pair(rows: DataFrame, pair: str = "pair", slot: str = "slot", position: str = "position") -> DataFrame:
+    return rows.groupBy(pair).agg(F.countDistinct(F.struct(slot, position)).alias("constraints"))
+
+
+def exclusions(*targets: DataFrame, key: str) -> DataFrame:
+    """The ids that any of several corpora uses as targets."""
+    out = targets[0].select(key)
+    for t in targets[1:]:
+        out = out.union(t.select(key))
+    return out.where(F.col(key).isNotNull()).distinct()
+
+
+def several_models(records: DataFrame, by: str, model: str = "model") -> DataFrame:
+    """Groups whose records were not made by one model, with the models in order."""
+    out = records.groupBy(by).agg(F.array_sort(F.collect_set(model)).alias("models"))
+    return out.where(F.size("models") != 1)
+
+
+MATERIALS = "cotton polyester nylon leather wool spandex silk rayon fabric"  # fixed values, in words
+COLORS = "black white blue red pink green brown gray grey purple yellow orange"
+
+
+def clean_constraint(value: Column, limit: int = 180) -> Column:
+    squeezed = F.btrim(F.regexp_replace(value, r"(?U)\s+", " "), F.lit(" -;,.\t\n"))
+    return F.rtrim(F.substring(squeezed, 1, limit))
+
+
+def intent_card(title: Column, features: Column, details: Column, text: Column, price: Column, limit: int = 180) -> Column:
+    """struct<target_category,hard_constraints,soft_preferences> of a product: the first material and color that its text
+    names, its features, its details as "key: value", its price; cleaned, each once."""
+    named = lambda words: F.lower(F.regexp_extract(text, rf"(?i)\b({words.replace(' ', '|')})\b", 1))
+    material, color = named(MATERIALS), named(COLORS)
+    own = F.concat(F.coalesce(features, F.array().cast("array<string>")), F.coalesce(F.transform(F.filter(details, lambda d: d["value"] != ""), lambda d: F.concat(d["key"], F.lit(": "), d["value"])), F.array().cast("array<string>")))
+    tint = F.when(color != "", F.concat(F.lit("color: "), color))
+    head = F.slice(own, 1, 1)
+    # the material comes first; the color second, or after the first of the product's own where there is no material
+    candidates = F.when(material != "", F.concat(F.array(material, tint), own)).otherwise(F.concat(head, F.array(tint), F.slice(own, 2, 10_000)))
+    paid = F.when(price.isNotNull(), F.concat(F.lit("budget around $"), price.cast("string")))
+    kept = F.transform(F.filter(F.concat(candidates, F.array(paid)), lambda x: x.isNotNull()), lambda x: clean_constraint(x, limit))
+
+    def card(found: Column) -> Column:
+        soft = F.slice(found, 3, 2)
+        return F.struct(
+            clean_constraint(F.coalesce(F.nullif(title, F.lit("")), F.lit("product")), limit).alias("target_category"), F.slice(found, 1, 2).alias("hard_constraints"),
+            F.when(F.size(soft) > 0, soft).otherwise(F.slice(found, 1, 1)).alias("soft_preferences"),
+        )
+
+    found = F.array_distinct(F.filter(kept, lambda x: x != ""))
+    fallback = F.array(clean_constraint(F.coalesce(F.nullif(title, F.lit("")), F.lit("product")), limit))
+    return let(let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(fallback)), card)
+
+
+def target_gist(pairs: DataFrame, vocabulary: DataFrame, key: str = "id") -> DataFrame:
+    """id, attribute, value: the distinct pairs of each target that the closed vocabulary admits."""
+    return pairs.select(key, "attribute", "value").distinct().join(vocabulary.select("attribute", "value"), ["attribute", "value"], "left_semi").select(key, "attribute", "value")

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.inference import MDD_FACTOR, TIE, percentile_indices, sign_flip_lattice
+from ..functions.inference import ALPHA, CRITERIA, EXCHANGE, FLOOR, MDD_FACTOR, TIE, expected_max_of_k, mcnemar_exact, percentile_indices, sign_flip_lattice
+from .order import ranked_rows
 
 MISS_TURN = 11
 DEPTHS = (1, 3, 5, 10)
 
 
+def round6(value: Column) -> Column:
+    """Six decimals, half to even on the exact binary value: format_number rounds so, Spark's round goes by the decimal text."""
+    return F.regexp_replace(F.format_number(value, 6), ",", "").cast("double")
+
+
 def summary_columns() -> list[Column]:
     return [
         F.count("*").alias("sample_count"),
-        F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"),
-        F.round(F.avg("reciprocal_rank"), 6).alias("mrr"),
-        F.round(F.avg(F.coalesce("first_hit_turn", F.lit(MISS_TURN)).cast("double")), 6).alias("mttc"),
+        round6(F.avg(F.col("hit").cast("double"))).alias("hit_rate"),
+        round6(F.avg("reciprocal_rank")).alias("mrr"),
+        round6(F.avg(F.coalesce("first_hit_turn", F.lit(MISS_TURN)).cast("double"))).alias("mttc"),
     ]
 
 
@@ -25,7 +31,7 @@ def efficiency(mttc: Column) -> Column:
 
 
 def technical_score(hit_rate: Column, mrr: Column, mttc: Column) -> Column:
-    return F.round(0.5 * hit_rate + 0.3 * mrr + 0.2 * efficiency(mttc), 6)
+    return round6(0.5 * hit_rate + 0.3 * mrr + 0.2 * efficiency(mttc))
 
 
 def metric_summary(sessions: DataFrame, *by: str) -> DataFrame:
@@ -43,7 +49,7 @@ def scenario_breakout(sessions: DataFrame, by: str = "scenario") -> DataFrame:
 def hit_rate_curve(sessions: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """depth, hit_rate: all depths in one pass over the sessions."""
     one = sessions.agg(*[F.avg(F.coalesce((F.col("best_rank") <= d).cast("double"), F.lit(0.0))).alias(f"d{d}") for d in depths])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(d).alias("depth"), F.round(f"d{d}", 6).alias("hit_rate")) for d in depths])))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(d).alias("depth"), round6(F.col(f"d{d}")).alias("hit_rate")) for d in depths])))
 
 
 def outcome_violations(sessions: DataFrame) -> DataFrame:
@@ -72,7 +78,7 @@ def portable_draw(key: Column, n: int | Column) -> Column:
 
 
 def score_of(prefix: str) -> Column:
-    c = {k: F.round(F.avg(f"{prefix}_{k}"), 6) for k in ("hit", "rr", "turn")}
+    c = {k: round6(F.avg(f"{prefix}_{k}")) for k in ("hit", "rr", "turn")}
     return technical_score(c["hit"], c["rr"], c["turn"])
 
 
@@ -84,24 +90,32 @@ def paired(baseline: DataFrame, candidate: DataFrame, key: str = "sample_id") ->
     return both.withColumn(key, F.when(F.col("_a").isNull() | F.col("_b").isNull(), orphan).otherwise(F.col("_a").cast("string"))).drop("_a", "_b")
 
 
+SESSIONS = 1_000_000  # pairs up to which they, 60 bytes each, go to every task
+
+
+def _numbered(pairs: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """pairs with their place in the order of the key, and their number. Beyond SESSIONS they are not sent to every task."""
+    numbered = ranked_rows(pairs, key, name="pos")
+    n = pairs.count()
+    return (F.broadcast(numbered) if n <= SESSIONS else numbered), n
+
+
 def bootstrap_replicates(pairs: DataFrame, resamples: int, key: str = "sample_id") -> DataFrame:
     """rep, delta: scores of resampled pairs. Draws join pairs by number; sums are combined before they are shuffled.
 
     The pairs are an evaluation's sessions, a few hundred to thousands; resamples times as many draws are spread out.
     """
     spark = pairs.sparkSession
-    numbered = pairs.withColumn("pos", F.row_number().over(Window.orderBy(key)) - 1)
-    n = pairs.count()
+    numbered, n = _numbered(pairs, key)
     draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("rep"), portable_draw(F.concat_ws("|", F.floor(F.col("id") / n), F.col("id") % n), n).alias("pos"))
-    return draws.join(F.broadcast(numbered), "pos").groupBy("rep").agg((score_of("b") - score_of("a")).alias("delta"))
+    return draws.join(numbered, "pos").groupBy("rep").agg((score_of("b") - score_of("a")).alias("delta"))
 
 
 def permutation_replicates(pairs: DataFrame, resamples: int, key: str = "sample_id") -> DataFrame:
     """rep, delta: the arms of each pair swapped by a coin."""
-    numbered = pairs.withColumn("pos", F.row_number().over(Window.orderBy(key)) - 1)
-    n = pairs.count()
+    numbered, n = _numbered(pairs, key)
     coins = pairs.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("pos"))
-    reps = coins.join(F.broadcast(numbered), "pos")
+    reps = coins.join(numbered, "pos")
     swap = portable_draw(F.concat_ws("|", F.lit("p"), "rep", "pos"), 2) == 1
     for k in ("hit", "rr", "turn"):
         reps = reps.withColumn(f"x_{k}", F.when(swap, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}"))).withColumn(f"y_{k}", F.when(swap, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")))
@@ -134,9 +148,9 @@ def sign_flip_p(differences: DataFrame, n: int, key: str = "pos") -> DataFrame:
     observed = F.max(F.when(F.col("mask") == 0, F.abs("s")))
     total = sums.agg(observed.alias("o"), F.collect_list(F.abs("s")).alias("all")) if n <= 12 else None
     if total is not None:
-        return total.select((F.size(F.filter("all", lambda x: x >= F.col("o") - TIE)) / F.size("all")).alias("p_value"))
+        return total.select((F.size(F.filter("all", lambda x: x / n >= F.col("o") / n - TIE)) / F.size("all")).alias("p_value"))
     o = sums.where("mask = 0").select(F.abs("s").alias("o"))
-    return sums.crossJoin(F.broadcast(o)).agg(F.avg((F.abs("s") >= F.col("o") - TIE).cast("double")).alias("p_value"))
+    return sums.crossJoin(F.broadcast(o)).agg(F.avg((F.abs("s") / n >= F.col("o") / n - TIE).cast("double")).alias("p_value"))
 
 
 def sign_flip_p_of_all(differences: DataFrame, steps: int) -> DataFrame:
@@ -178,3 +192,68 @@ def attribute_misses(flags: DataFrame) -> DataFrame:
         .otherwise("unknown")
     )
     return flags.withColumn("reason", reason)
+
+
+def restrict_to_shared(control: DataFrame, probe: DataFrame, key: str = "pair_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both arms narrowed to the pairs that both have, and dropped: the keys that one of them lacks, with its side."""
+    a, b = control.select(key).distinct(), probe.select(key).distinct()
+    dropped = a.join(b, key, "left_anti").withColumn("side", F.lit("control")).union(b.join(a, key, "left_anti").withColumn("side", F.lit("probe")))
+    return control.join(b, key, "left_semi"), probe.join(a, key, "left_semi"), dropped
+
+
+def contrast_scenarios(pairs: DataFrame, by: str = "scenario") -> DataFrame:
+    """scenario (the control's), pairs, hit_rate_delta, discordant, standard_error of the control's rate. pairs: a_hit, b_hit."""
+    a, b = F.col("a_hit"), F.col("b_hit")
+    out = pairs.groupBy(by).agg(F.count("*").alias("pairs"), F.sum(a).alias("_a"), F.sum(b).alias("_b"), F.sum((a != b).cast("bigint")).alias("discordant"))
+    rate = F.col("_a") / F.col("pairs")
+    return out.select(by, "pairs", ((F.col("_b") - F.col("_a")) / F.col("pairs")).alias("hit_rate_delta"), "discordant", F.sqrt(rate * (1 - rate) / F.col("pairs")).alias("standard_error"))
+
+
+def paired_contrast(pairs: DataFrame, resamples: int, dropped: int = 0, key: str = "sample_id") -> DataFrame:
+    """One row: counts, McNemar's, the score's difference with its bootstrap interval; no adjustment for a family of tests."""
+    m = mcnemar_counts(pairs).first()
+    interval = bootstrap_interval(bootstrap_replicates(pairs, resamples, key), resamples)
+    observed = pairs.agg((score_of("b") - score_of("a")).alias("delta"))
+    fixed = {
+        "pair_count": F.lit(m["n"]).cast("bigint"), "dropped_pair_count": F.lit(dropped).cast("bigint"), "favouring_control": F.lit(m["b"]).cast("bigint"), "favouring_probe": F.lit(m["c"]).cast("bigint"),
+        "discordance_rate": F.lit(m["discordance"]), "hit_rate_delta": F.lit(m["delta_hit_rate"]), "mcnemar_p": F.lit(mcnemar_exact(m["b"], m["c"])),
+    }
+    return observed.crossJoin(interval).select(*[c.alias(n) for n, c in fixed.items()], "delta", "low", "high", "standard_error", "minimum_detectable")  # a row each
+
+
+def adjudicate(rows: DataFrame, k: int) -> DataFrame:
+    """rows (name, fingerprint, delta, standard_error, p_value, hit_rate_delta, mrr_delta, mttc_delta) with what decides: holm_p,
+    the detectable and the corrected difference, the criteria that failed, the verdict, and which is the champion."""
+    out = holm_adjust(rows)
+    out = out.withColumn("minimum_detectable", F.col("standard_error") * MDD_FACTOR).withColumn("corrected_delta", F.col("delta") - F.col("standard_error") * expected_max_of_k(k))
+    met = (
+        F.col("holm_p") < ALPHA, F.col("corrected_delta") >= FLOOR,
+        (F.col("hit_rate_delta") >= 0) | ((F.col("mrr_delta") > 0) & (F.col("mrr_delta") > EXCHANGE * F.abs("mttc_delta"))),
+    )
+    out = out.withColumn("failed_criteria", F.filter(F.array(*[F.when(~m, F.lit(n)) for n, m in zip(CRITERIA, met, strict=True)]), lambda x: x.isNotNull()))
+    verdict = (
+        F.when(F.size("failed_criteria") == 0, "win").when(F.col("holm_p") < ALPHA, "significant, below ship bar")
+        .when(F.abs("delta") < F.col("minimum_detectable"), "not detectable").otherwise("no difference")
+    )
+    best = out.agg(F.min_by("fingerprint", F.struct(-F.col("delta"), F.col("fingerprint"))).alias("_best"))  # one row
+    return out.withColumn("verdict", verdict).crossJoin(F.broadcast(best)).withColumn("is_champion", F.col("fingerprint") == F.col("_best")).drop("_best")
+
+
+def corpus_baselines(sessions: DataFrame, corpus: str = "corpus", scenario: str = "scenario") -> DataFrame:
+    """One candidate's metrics on each corpus, with the number of its scenarios; a session twice in a corpus is an error."""
+    twice = sessions.groupBy(corpus, "sample_id").count().where("count > 1").limit(1)
+    out = metric_summary(sessions, corpus).join(sessions.groupBy(corpus).agg(F.countDistinct(scenario).alias("scenarios")), corpus)
+    wrong = twice.agg(F.first("sample_id").cast("string").alias("_twice"))
+    fail = F.raise_error(F.concat(F.lit("a corpus has twice "), F.col("_twice"))).cast("bigint")
+    return out.crossJoin(F.broadcast(wrong)).withColumn("scenarios", F.when(F.col("_twice").isNull(), F.col("scenarios")).otherwise(fail)).drop("_twice", "efficiency")
+
+
+def miss_classes(flags: DataFrame, *names: str) -> DataFrame:
+    """class, n: how many misses bear each of several labels; labels without any count 0."""
+    one = flags.agg(*[F.coalesce(F.sum(F.col(n).cast("bigint")), F.lit(0)).alias(n) for n in names])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("class"), F.col(n).alias("n")) for n in names])))
+
+
+def with_failures(sessions: DataFrame, failures: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Every session with the reason of its miss, null for hits and where none is recorded."""
+    return sessions.join(failures.select(key, F.col("reason").alias("miss_reason")), key, "left")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ordered_tokens
+from ..functions.text import TOKEN
 
 ROUTE_WEIGHTS = {"metadata": 1.40, "exact_fts": 1.20, "expanded_fts": 0.80, "category_fallback": 0.25, "counterfactual": 0.15}
 ROUTE_LIMIT = 1000
@@ -107,12 +107,14 @@ def tfidf(postings: DataFrame, frequencies: DataFrame, total: int | Column, term
 
 def field_frequencies(products: DataFrame, fields: dict[str, float], terms: list[str], key: str = "id") -> DataFrame:
     """id, length, tf: a product's tokens in all fields, and its weighted count of each query term, in one pass."""
-    tokens = {c: ordered_tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields}
-    rows = products.select(key, *[t.alias(f"_{c}") for c, t in tokens.items()])
-    length = sum((F.size(f"_{c}") for c in fields), F.lit(0))
+    text = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in fields}
+    word = "(?<![a-z0-9])(?:" + "|".join(terms) + ")(?![a-z0-9])"
+    found = [F.regexp_extract_all(t, F.lit(word), F.lit(0)).alias(f"_{c}") for c, t in text.items()]  # the query's words alone
+    length = sum((F.regexp_count(t, F.lit(TOKEN)) for t in text.values()), F.lit(0))
+    rows = products.select(key, length.alias("length"), *found)
     count = lambda c, t: F.size(F.filter(f"_{c}", lambda x: x == t))
     tf = [sum((count(c, t) * w for c, w in fields.items()), F.lit(0.0)) for t in terms]
-    return rows.select(key, length.alias("length"), F.array(*tf).alias("tf"))
+    return rows.select(key, "length", F.array(*tf).alias("tf"))
 
 
 def bm25(products: DataFrame, fields: dict[str, float], terms: list[str], key: str = "id") -> DataFrame:

@@ -103,7 +103,22 @@ def test_formulas(spark):
     assert I.mcnemar_exact(5, 5) == I.mcnemar_exact(0, 0) == 1.0
     assert I.binomial_standard_error(0.9, 10) == pytest.approx(0.094868, abs=1e-6)
     assert I.expected_max_of_k(1) == 0.0 and I.expected_max_of_k(2) == pytest.approx(0.5641895835, abs=1e-9)
-    assert I.classify_verdict(0.01, 0.1, 0.05, ()) == "win" and I.classify_verdict(0.5, 0.01, 0.05, ("x",)) == "not_detectable"
+    assert I.classify_verdict(0.01, 0.1, 0.05, ()) == "win" and I.classify_verdict(0.5, 0.01, 0.05, ("x",)) == "not detectable"
+    assert I.classify_verdict(0.01, 0.1, 0.05, ("x",)) == "significant, below ship bar" and I.classify_verdict(0.5, 0.1, 0.05, ("x",)) == "no difference"
+    assert I.failed_criteria(0.01, 0.02, 0.0, 0.0, 0.0) == () and I.failed_criteria(0.2, 0.0, -0.1, 0.01, -1.0) == I.CRITERIA
+    assert I.failed_criteria(0.01, 0.02, -0.01, 0.1, -1.0) == ()
+    rounded = spark.createDataFrame([(v,) for v in (0.1234565, 0.0000005, 0.0078125, 2.5, 1234.5678905)], "v double").select("v", evaluation.round6(F.col("v")).alias("r"))
+    assert all(r["r"] == round(r["v"], 6) for r in rounded.collect())
+    arms = [("a", "f1", 0.05, 0.005, 0.001, 0.1, 0.0, 0.0), ("b", "f0", 0.05, 0.02, 0.4, 0.0, 0.0, 0.0), ("c", "f2", 0.03, 0.001, 0.002, -0.1, 0.01, 1.0)]
+    judged = evaluation.adjudicate(spark.createDataFrame(arms, "name string, fingerprint string, delta double, standard_error double, p_value double, hit_rate_delta double, mrr_delta double, mttc_delta double"), 3)
+    got = {r["name"]: r for r in judged.collect()}
+    holm = dict(zip("abc", I.holm([0.001, 0.4, 0.002])))
+    for name, _, delta, se, _, *moved in arms:
+        corrected = delta - I.winners_curse_correction(se, 3)
+        failed = I.failed_criteria(holm[name], corrected, *moved)
+        assert tuple(got[name]["failed_criteria"]) == failed and got[name]["corrected_delta"] == pytest.approx(corrected)
+        assert got[name]["verdict"] == I.classify_verdict(holm[name], delta, I.minimum_detectable_difference(se), failed)
+    assert [n for n, r in got.items() if r["is_champion"]] == ["b"]
 
 
 def test_corpus_operators(spark):
