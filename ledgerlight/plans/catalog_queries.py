@@ -328,27 +328,41 @@ k AS (SELECT *, CASE attribute WHEN 'category' THEN 1 WHEN 'color' THEN 3 WHEN '
 SELECT phrase, value, attribute FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY n DESC, r, value DESC) AS x FROM k WHERE attribute = 'size' OR n >= 2 OR contains(phrase, ' ')) WHERE x = 1"""
 
 
-@query(f"""WITH g AS ({PHRASES}), s AS (SELECT conv_id, turn, regexp_extract_all(lower(concat(text, ' in ', p_name, ' by ', p_brand, '.')), '[a-z0-9]+') AS w FROM conversations JOIN part ON p_partkey = conv_id * 7 + turn WHERE role = 'user'),
-i AS (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS a FROM s),
-t AS (SELECT conv_id, turn, array_to_string(w[a:a + n - 1], ' ') AS term FROM i, (SELECT unnest([1, 2]) AS n) WHERE a + n - 1 <= len(w))
-SELECT conv_id, turn, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT term) AS BIGINT) AS terms FROM t SEMI JOIN g ON term = phrase GROUP BY 1, 2""")
-def ngram_gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of every length against the catalog's phrases; messages also name a product, as the texts alone name none."""
-    part = table(spark, sf_dir, "part")
-    said = table(spark, sf_dir, "conversations").where("role = 'user'").join(part, F.col("p_partkey") == F.col("conv_id") * 7 + F.col("turn"))
-    said = said.withColumn("text", F.concat("text", F.lit(" in "), "p_name", F.lit(" by "), "p_brand", F.lit(".")))
+def windows_sql(messages: str, keys: str) -> str:
+    """Counts of the catalog's phrases, of one or two words, in messages (keys, text)."""
+    return f"""WITH g AS ({PHRASES}), s AS (SELECT {keys}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ({messages})),
+i AS (SELECT {keys}, w, unnest(range(1, len(w) + 1)) AS a FROM s), t AS (SELECT {keys}, array_to_string(w[a:a + n - 1], ' ') AS term FROM i, (SELECT unnest([1, 2]) AS n) WHERE a + n - 1 <= len(w))
+SELECT {keys}, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT term) AS BIGINT) AS terms FROM t SEMI JOIN g ON term = phrase GROUP BY {keys}"""
+
+
+def phrase_windows(spark: SparkSession, sf_dir: str, messages: DataFrame, *keys: str) -> DataFrame:
+    """Windows of every length that the catalog's phrases have, joined with them."""
     phrases = phrase_resolution(spark, sf_dir).select(F.col("phrase").alias("term")).distinct()
     longest = phrases.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     windows = F.concat(*[T.ngrams(F.col("tokens"), n) for n in range(1, longest + 1)])
-    grams = said.select("conv_id", "turn", T.ordered_tokens(F.col("text")).alias("tokens")).select("conv_id", "turn", F.explode(windows).alias("term"))
+    grams = messages.select(*keys, T.ordered_tokens(F.col("text")).alias("tokens")).select(*keys, F.explode(windows).alias("term"))
     found = grams.join(phrases, "term", "left_semi")
-    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("mentions"), F.countDistinct("term").alias("terms"))
+    return found.groupBy(*keys).agg(F.count("*").alias("mentions"), F.countDistinct("term").alias("terms"))
+
+
+@query(windows_sql("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'", "conv_id, turn"))
+def ngram_gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_windows(spark, sf_dir, table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "turn")
+
+
+@query(windows_sql("SELECT p_partkey, concat('The ', p_name, ' by ', p_brand, ', size ', p_size, '.') AS text FROM part", "p_partkey"))
+def ngram_gazetteer_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over texts that name products, as few messages do."""
+    said = F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand", F.lit(", size "), "p_size", F.lit("."))
+    return phrase_windows(spark, sf_dir, table(spark, sf_dir, "part").select("p_partkey", said.alias("text")), "p_partkey")
 
 
 @query()
 def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session's ledger after each user message; the gazetteer is the catalog's bounded vocabulary."""
-    resolved = phrase_resolution(spark, sf_dir).collect()
+    resolved = phrase_resolution(spark, sf_dir).limit(conversation.PHRASES + 1).collect()
+    if len(resolved) > conversation.PHRASES:
+        raise ValueError("the catalog has more phrases than tasks can hold")
     known = {r["phrase"]: (r["value"], r["attribute"]) for r in resolved}
     said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", "text", F.lit(None).cast("string").alias("asked"))
     return conversation.replay(said, known)
