@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, partitions
+from ._common import cut, partitions, release
 from .simhash import BITS, components, fingerprint_of, links, shingle_hashes
 
 SHINGLE = 5
@@ -88,13 +89,15 @@ def _features(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                hashes = shingle_hashes(text, SHINGLE)
-                shingles = np.unique(hashes).view(np.int64)
-                fp = int(np.uint64(fingerprint_of(hashes)).view(np.int64))
-                out.append((doc_id, fp, set_key(shingles), len(shingles), bitmap(shingles), prefix(shingles, *sent.value).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "fp", "key", "n", "bits", "tokens"])
+            for at in range(0, len(batch), ROWS):
+                part, out = batch.iloc[at : at + ROWS], []
+                for doc_id, text in zip(part["doc_id"].tolist(), part["text"], strict=True):
+                    hashes = shingle_hashes(text, SHINGLE)
+                    shingles = np.unique(hashes).view(np.int64)
+                    fp = int(np.uint64(fingerprint_of(hashes)).view(np.int64))
+                    out.append((doc_id, fp, set_key(shingles), len(shingles), bitmap(shingles), prefix(shingles, *sent.value).tobytes()))
+                yield pd.DataFrame(out, columns=["doc_id", "fp", "key", "n", "bits", "tokens"])
+        release()
 
     return rows.mapInPandas(each, "doc_id long, fp long, key long, n int, bits binary, tokens binary")
 
@@ -257,9 +260,15 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
             for at in range(0, len(batch), ROWS):
                 sets = [shingle_set(t) for t in batch["text"].iloc[at : at + ROWS]]
                 yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
-
-    def meet(sets: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        held = {k: np.frombuffer(s, np.int64) for k, s in zip(sets["key"].tolist(), sets["shingles"], strict=True)}
+        release()
+
+    def meet(sets: pa.Table, some: pa.Table) -> pa.Table:
+        held = {}  # views of Arrow's own memory
+        for part in sets.to_batches():
+            shingles = part.column("shingles")
+            ends = np.frombuffer(shingles.buffers()[1], np.int64 if pa.types.is_large_binary(shingles.type) else np.int32)[shingles.offset : shingles.offset + len(part) + 1].tolist()
+            data = np.frombuffer(shingles.buffers()[2] or b"", np.uint8)
+            held.update((k, data[a:b].view(np.int64)) for k, a, b in zip(part.column("key").to_pylist(), ends[:-1], ends[1:], strict=True))
         root: dict[int, int] = {}
 
         def find(k: int) -> int:
@@ -268,13 +277,16 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 k = up
             return k
 
-        out = []
-        for a, b in zip(some["a"].tolist(), some["b"].tolist(), strict=True):
+        out: tuple[list[int], list[int]] = ([], [])
+        for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
             x, y = find(a), find(b)
             if x != y and _alike(held[a], held[b]):
                 root[max(x, y)] = min(x, y)
-                out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                out[0].append(a)
+                out[1].append(b)
+        held.clear()
+        release()
+        return pa.table([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -293,7 +305,7 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64("root"), F.lit(4 * parts)).cast("int").alias("bucket")
     asked = pairs.join(home.withColumnRenamed("key", "a"), "a")
     small = sets.where(F.col("sets") <= FAMILY).select(bucket, "key", "shingles")
-    met = small.groupBy("bucket").cogroup(asked.where(F.col("sets") <= FAMILY).select(bucket, "a", "b").groupBy("bucket")).applyInPandas(meet, "a long, b long")
+    met = small.groupBy("bucket").cogroup(asked.where(F.col("sets") <= FAMILY).select(bucket, "a", "b").groupBy("bucket")).applyInArrow(meet, "a long, b long")
     if not sizes.where(F.col("sets") > FAMILY).limit(1).count():
         return met
     large = sets.where(F.col("sets") > FAMILY).dropDuplicates(["key"]).select("key", "shingles")
