@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,8 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Empties what operators keep in a Python worker from task to task.
+forget: list[Callable[[], None]] = []
+
+
 def release() -> None:
-    """Gives the system back what a finished task has freed: Python workers live on from stage to stage."""
+    """Gives up what other operators keep in this Python worker, which lives on from stage to stage, and hands the system
+    back what is free."""
+    for empty in forget:
+        empty()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

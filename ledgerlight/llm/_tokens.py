@@ -20,6 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from ._common import forget
+
 KEPT = 1_000_000  # pieces remembered at most; then the memory begins anew
 TOGETHER = 1 << 18  # characters of text looked at together
 LONGEST = 1 << 20  # characters of a text beyond which it is looked at in parts
@@ -308,3 +310,6 @@ def _parts(text: str) -> Iterator[str]:
 def encoder(path: str, kind: str, end_id: int | None = None) -> Encoder:
     """An encoder that a Python worker keeps from task to task."""
     return Encoder(path, kind, end_id)
+
+
+forget.append(encoder.cache_clear)

@@ -71,6 +71,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that the sample has often, sorted, and how often."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.int64), *map(shingle_set, batch["text"])])})
 
@@ -88,6 +89,7 @@ def _features(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part, out = batch.iloc[at : at + ROWS], []
@@ -116,6 +118,7 @@ def _groups(nodes: DataFrame) -> DataFrame:
                 held, size = [], 0
         if held:
             yield dealt(pd.concat(held))
+        release()
 
     def dealt(batch: pd.DataFrame) -> pd.DataFrame:
         tokens = np.frombuffer(b"".join(batch["tokens"]), np.uint64)
@@ -232,6 +235,7 @@ def _proposed(groups: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: in
                 yield shown(rows[:at], bits[:at])
         if held:
             yield shown(held[0], kept[0])
+        release()
 
     dealt = rows.repartition(max(1, partitions(rows.sparkSession)), "g", "slice").sortWithinPartitions("g", "slice")
     return dealt.mapInPandas(each, "g long, a long, b long")

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import release
+
 LANGUAGES = ("en", "de", "fr", "es")
 CATEGORIES = (*(f"toxic_{x}" for x in LANGUAGES), "toxic")
 SAMPLE = 4000  # labelled rows of each class at most
@@ -184,6 +186,7 @@ def score(documents: DataFrame, chain: list[Linear]) -> DataFrame:
     @F.pandas_udf("array<double>")
     def probabilities(texts: pd.Series) -> pd.Series:
         if "scorer" not in state:
+            release()
             state["scorer"] = Scorer(sent.value)
         return pd.Series([state["scorer"].score(t) for t in texts])
 
