@@ -47,12 +47,14 @@ def attributes(products: DataFrame, lists: dict[str, str] | None = None, scalars
     return rows.select(key, "pair.attribute", "pair.value").where("value is not null and value != ''")
 
 
-def weighted_postings(products: DataFrame, fields: dict[str, float], key: str = "id") -> DataFrame:
-    """id, term, weighted_frequency: the sum of the weights of the fields that hold the term.
+def weighted_postings(products: DataFrame, fields: dict[str, float], key: str = "id", terms: list[str] | None = None) -> DataFrame:
+    """id, term, weighted_frequency: the sum of the weights of the fields that hold the term; of some terms only, if named.
 
     Summed within the row, over its terms in order, so that nothing is shuffled.
     """
-    weighted = lambda c, w: F.transform(search_terms(F.coalesce(F.col(c), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    held = lambda c: search_terms(F.coalesce(F.col(c), F.lit("")))
+    some = lambda c: held(c) if terms is None else F.array_intersect(held(c), F.array(*[F.lit(t) for t in terms]))
+    weighted = lambda c, w: F.transform(some(c), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
     entries = F.array_sort(F.concat(*[weighted(c, w) for c, w in fields.items()]))
 
     def summed(e: Column) -> Column:

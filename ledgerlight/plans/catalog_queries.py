@@ -169,7 +169,7 @@ d AS (SELECT term, floor(sum(weighted_frequency)) AS df FROM p GROUP BY 1), n AS
 SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
 SELECT id, round(sum(weighted_frequency * (ln((n + 1) / (df + 1)) + 1)), 9) AS score FROM p JOIN d USING (term), n GROUP BY 1) ORDER BY rank LIMIT 20""")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings(spark, sf_dir).where(F.col("term").isin(TERMS))
+    rows = catalog.weighted_postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), DOC_FIELDS, terms=TERMS)
     total = table(spark, sf_dir, "documents").count()
     hits = search.tfidf(rows, catalog.document_frequency(rows), total, TERMS).withColumn("score", F.round("score", 9))
     return search.ranked(hits, 20).select("id", F.round("score", 6).alias("score"), "rank")
