@@ -56,6 +56,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HOT = 1000  # a key with more than one in so many rows is hot: fewer than so many are
+
+
+def attach(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """rows with the columns of facts (one row a key, nulls where there is none). facts.held: how many of rows have the key.
+
+    Facts of hot keys, fewer than HOT of them, are broadcast; their rows then go where a salt of their own sends them, so no
+    task gets a key's rows. Keys are not null."""
+    values = [c for c in facts.columns if c not in keys and c != "held"]
+    least = facts.agg(F.sum("held") / HOT).scalar()
+    hot = facts.where(F.col("held") > least).select(*keys, F.struct(*values).alias("_hot"))
+    rest = facts.select(*keys, F.struct(*values).alias("_rest"), F.lit(0).cast("long").alias("_salt"))
+    met = rows.join(F.broadcast(hot), list(keys), "left")
+    met = met.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
+    found = met.join(rest, [*keys, "_salt"], "left").select(*rows.columns, F.coalesce("_hot", "_rest").alias("_facts"))
+    return found.select(*rows.columns, *[F.col(f"_facts.{c}").alias(c) for c in values])
+
+
 def number_rows(df: DataFrame, *keys: str, name: str = "row_number") -> DataFrame:
     """df with its place (long, from 0) in ascending order of keys, nulls first.
 

@@ -1,4 +1,4 @@
-"""The ten queries opN_<name> over whole tables with production parameters, and their SQL where SQL can say it."""
+"""The queries opN_<name> over whole tables with production parameters, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, mixture, mtree, packing, sharding, simhash, spotsigs, suffix_dedup, token_store, toxicity
+from . import exact_dedup, html_main, mixture, mtree, packing, sharding, simhash, spotsigs, suffix_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,16 +61,21 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(_table(spark, sf_dir, "documents"), text_sha256=F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_dedup, op2_source_mixture, op3_simhash, op4_token_store, op5_topk_mtree,
         op6_spotsigs, op7_sharding, op8_vector_packing, op9_html_main, op10_toxicity_chain,
+        op13_exact_dedup,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixture": MIXTURE_SQL, "op5_topk_mtree": TOP_K_SQL}
+    return {"op2_source_mixture": MIXTURE_SQL, "op5_topk_mtree": TOP_K_SQL, "op13_exact_dedup": EXACT_DEDUP_SQL}
 
 
 MIXTURE_SQL = r"""
@@ -121,3 +126,10 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+EXACT_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size, sha256(text) AS text_sha256 FROM d GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text)
+"""
