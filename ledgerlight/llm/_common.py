@@ -67,7 +67,7 @@ def attach(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     values = [c for c in facts.columns if c not in keys and c != "held"]
     least = facts.agg(F.sum("held") / HOT).scalar()
     hot = facts.where(F.col("held") > least).select(*keys, F.struct(*values).alias("_hot"))
-    rest = facts.select(*keys, F.struct(*values).alias("_rest"), F.lit(0).cast("long").alias("_salt"))
+    rest = facts.select(*keys, F.struct(*values).alias("_rest"), F.least("held", F.lit(0)).alias("_salt"))  # not a literal, by which Spark would not deal rows
     met = rows.join(F.broadcast(hot), list(keys), "left")
     met = met.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
     found = met.join(rest, [*keys, "_salt"], "left").select(*rows.columns, F.coalesce("_hot", "_rest").alias("_facts"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_main, mixture, mtree, packing, sharding, simhash, spotsigs, suffix_dedup, token_store, toxicity
+from . import exact_dedup, html_main, mixture, mtree, packing, prefix_trie, sharding, simhash, spotsigs, suffix_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), text_sha256=F.sha2(F.coalesce("text", F.lit("")), 256))
 
@@ -69,13 +73,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_dedup, op2_source_mixture, op3_simhash, op4_token_store, op5_topk_mtree,
         op6_spotsigs, op7_sharding, op8_vector_packing, op9_html_main, op10_toxicity_chain,
-        op13_exact_dedup,
+        op12_prefix_trie, op13_exact_dedup,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixture": MIXTURE_SQL, "op5_topk_mtree": TOP_K_SQL, "op13_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op2_source_mixture": MIXTURE_SQL, "op5_topk_mtree": TOP_K_SQL, "op12_prefix_trie": TRIE_SQL, "op13_exact_dedup": EXACT_DEDUP_SQL}
 
 
 MIXTURE_SQL = r"""
@@ -133,3 +137,33 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size, sha256(text) AS text_sha256 FROM d GROUP BY text)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text)
 """
+
+
+# A node is named by its list of turns' digests; each node's ancestors are its smallest member's beginnings.
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM t
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS lender, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_transform(range(8), lambda i: (ord(x) >> i) & 1)))),
+    lambda s, b: xor(s >> 1, xor(s & 1, b) * 3988292384)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, place, digest, text FROM c JOIN o ON o.conv_id = c.lender AND place <= h
+  UNION ALL SELECT c.conv_id, place + 8, digest, text FROM c JOIN o ON o.conv_id = c.conv_id AND place > h
+), p AS (SELECT conv_id, CAST(row_number() OVER w AS BIGINT) AS depth, strlen(text) AS bytes, sha256(string_agg(digest, ',') OVER w) AS node FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), a AS (SELECT *, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up FROM p UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c
+), n AS (SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM a GROUP BY node, depth
+), k AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up
+), v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.up
+), s AS (
+  SELECT a.node, sum((v.n_children = 0)::INT) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved
+  FROM v JOIN a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.node
+), l AS (SELECT conv_id, max(depth) AS depth FROM a GROUP BY conv_id
+), e AS (SELECT node, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM a JOIN l USING (conv_id, depth) GROUP BY node)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN e USING (node) LEFT JOIN v u ON v.up = u.node
+"""
