@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_main, mixture, mtree, packing, prefix_trie, sharding, simhash, spotsigs, suffix_dedup, token_store, toxicity
+from . import exact_dedup, fim, html_main, mixture, mtree, packing, prefix_trie, sharding, simhash, spotsigs, suffix_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(_table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -73,13 +79,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_dedup, op2_source_mixture, op3_simhash, op4_token_store, op5_topk_mtree,
         op6_spotsigs, op7_sharding, op8_vector_packing, op9_html_main, op10_toxicity_chain,
-        op12_prefix_trie, op13_exact_dedup,
+        op11_fim, op12_prefix_trie, op13_exact_dedup,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixture": MIXTURE_SQL, "op5_topk_mtree": TOP_K_SQL, "op12_prefix_trie": TRIE_SQL, "op13_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op2_source_mixture": MIXTURE_SQL, "op5_topk_mtree": TOP_K_SQL, "op11_fim": FIM_SQL, "op12_prefix_trie": TRIE_SQL, "op13_exact_dedup": EXACT_DEDUP_SQL}
 
 
 MIXTURE_SQL = r"""
@@ -167,3 +173,19 @@ SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children,
   sha256(coalesce(ids, '')) AS ends_sha256
 FROM v JOIN s USING (node) LEFT JOIN e USING (node) LEFT JOIN v u ON v.up = u.node
 """
+
+
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), l AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, ('0x' || h[1:8])::UBIGINT::BIGINT AS h1, ('0x' || h[9:16])::UBIGINT::BIGINT AS h2,
+    ('0x' || h[17:24])::UBIGINT::BIGINT AS h3, ('0x' || h[25:32])::UBIGINT::BIGINT AS h4 FROM d
+), c AS (SELECT *, len(lines) AS n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM l
+), p AS (
+  SELECT *, coalesce(array_to_string(lines[1:a], ''), '') AS prefix, coalesce(array_to_string(lines[a + 1:b], ''), '') AS middle, coalesce(array_to_string(lines[b + 1:], ''), '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
