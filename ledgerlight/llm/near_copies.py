@@ -13,7 +13,7 @@ set meets its NEAREST likeliest partners of a group, which makes a component of
 with more possible pairs meet again, for every pair that still lies in two components. So no link is lost, and a large group
 takes no square of its size in rows. Large groups are dealt to several tasks.
 
-Equal sets are one node, however many documents have them; texts without a word have the empty set. Rows without a doc_id
+Equal sets are one node, however many documents have them, and are told apart by 128 bits; texts without a word have the empty set. Rows without a doc_id
 are near copies of none. Repeated ids stand for all their texts. An empty table gives none.
 """
 
@@ -48,8 +48,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE)).view(np.int64)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 1)).view(np.int64))
+def set_key(shingles: np.ndarray, odd: frozenset[int] = frozenset(), seed: int = 1) -> int:
+    """A set's name in 64 bits; another where different sets bear the first one (odd)."""
+    key = int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), seed)).view(np.int64))
+    return set_key(shingles, seed=2) if key in odd else key
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -85,7 +87,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, fp, key (of the set), n (its size), bits (its bitmap), tokens (its prefix)."""
+    """doc_id, fp, key and second (of the set), n (its size), bits (its bitmap), tokens (its prefix)."""
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,11 +99,11 @@ def _features(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                     hashes = shingle_hashes(text, SHINGLE)
                     shingles = np.unique(hashes).view(np.int64)
                     fp = int(np.uint64(fingerprint_of(hashes)).view(np.int64))
-                    out.append((doc_id, fp, set_key(shingles), len(shingles), bitmap(shingles), prefix(shingles, *sent.value).tobytes()))
-                yield pd.DataFrame(out, columns=["doc_id", "fp", "key", "n", "bits", "tokens"])
+                    out.append((doc_id, fp, set_key(shingles), set_key(shingles, seed=2), len(shingles), bitmap(shingles), prefix(shingles, *sent.value).tobytes()))
+                yield pd.DataFrame(out, columns=["doc_id", "fp", "key", "second", "n", "bits", "tokens"])
         release()
 
-    return rows.mapInPandas(each, "doc_id long, fp long, key long, n int, bits binary, tokens binary")
+    return rows.mapInPandas(each, "doc_id long, fp long, key long, second long, n int, bits binary, tokens binary")
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
@@ -252,7 +254,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * shared >= 4 * (len(x) + len(y) - shared)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, odd: frozenset[int] = frozenset()) -> DataFrame:
     """Edges a, b that connect what the pairs of keys with a similarity of 0.8 or more connect.
 
     What pairs may connect meets in one task, each set once, and a pair is compared unless others have connected it; where
@@ -263,7 +265,7 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 sets = [shingle_set(t) for t in batch["text"].iloc[at : at + ROWS]]
-                yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"key": [set_key(s, odd) for s in sets], "shingles": [s.tobytes() for s in sets]})
         release()
 
     def meet(sets: pa.Table, some: pa.Table) -> pa.Table:
@@ -335,7 +337,12 @@ def near_copies(documents: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable by pairs of near copies)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     docs = cut(_features(rows, _common(rows)))
-    named = cut(docs.groupBy("key").agg(F.min("doc_id").alias("first")))
+    named = cut(docs.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("second").alias("low"), F.max("second").alias("high")))
+    # names that different sets bear: of n sets some n^2 / 2^65
+    odd = frozenset(r["key"] for r in named.where("low != high").select("key").collect())
+    if odd:
+        docs = docs.withColumn("key", F.when(F.col("key").isin(list(odd)), F.col("second")).otherwise(F.col("key")))
+        named = cut(docs.groupBy("key").agg(F.min("doc_id").alias("first")))
     # a node for each set: the rows that repeat one are left out, and of rows alike in doc_id and set all but one
     spare = docs.select("doc_id", "key").join(named, "key").where("doc_id != first").select("doc_id", "key")
     twice = docs.groupBy("doc_id", "key").count().where("count > 1")
@@ -349,17 +356,17 @@ def near_copies(documents: DataFrame, bits: int = BITS) -> DataFrame:
     near = links(by_fp.select("fp"), bits)
     near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    edges = cut(verified(_possible(same.union(near), nodes), rows, nodes))
+    edges = cut(verified(_possible(same.union(near), nodes), rows, nodes, odd))
     roots = components(edges)
 
     # shared shingles
     groups = cut(_groups(nodes))
     found = cut(_proposed(groups, nodes, roots, NEAREST))
-    edges = cut(edges.union(verified(found.where("g is null").select("a", "b"), rows, nodes)))
+    edges = cut(edges.union(verified(found.where("g is null").select("a", "b"), rows, nodes, odd)))
     roots = components(edges)
     more = groups.join(found.where("g is not null").select("g").distinct(), "g", "left_semi")
     rest = _proposed(more, nodes, roots, None).select("a", "b")
-    roots = components(edges.union(verified(rest, rows, nodes)))
+    roots = components(edges.union(verified(rest, rows, nodes, odd)))
 
     firsts = named.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -3,10 +3,11 @@
 The documents of a task are packed as they come, WINDOW ids at a time, in the task that encodes them; no text or id is
 shuffled. An item is a vector of its tokens, its one segment and its loss-bearing tokens, as shares of the limits. A
 sequence begins with the largest item left and then takes, of those that fit whole, the one whose vector has the largest dot
-product with the sequence's free space, until none fits. A document longer than a sequence is cut: its full lengths are
+product with the sequence's free space, until none fits; items of equal vectors, a few thousand kinds at most, are held together,
+so that a step costs by kinds and a window by its ids. A document longer than a sequence is cut: its full lengths are
 sequences of their own, the rest is an item. When a window ends, gaps that are left are filled from the least filled
 sequences, whose pieces are cut to fit; the sequence for which no pieces remain is split into powers of two, which need no
-padding. With whole, for instruction data, nothing that fits a sequence is cut: gaps stay.
+padding. A sequence that can take no more segments keeps as many pieces as make a power of two. With whole, for instruction data, nothing that fits a sequence is cut: gaps stay.
 
 For plain documents every token bears loss; for instruction data loss_col names the number of a row's last tokens
 that do. Null text: the end id alone. Rows without a doc_id are packed like others; repeated rows each for itself.
@@ -31,7 +32,6 @@ LENGTH = 4096
 SEGMENTS = 512
 WINDOW = 1 << 21  # ids packed together
 
-_TINY = 1e-9
 Piece = tuple[int, int, int]  # item, first id, number of ids
 
 
@@ -53,23 +53,30 @@ def pack(lengths: np.ndarray, first_loss: np.ndarray, length: int = LENGTH, segm
                 at += step
         if n > at:
             rest.append((i, at, n - at))
-    rest.sort(key=lambda p: (-p[2], p[0]))
-    items = np.array([(p[2] / length, 1 / segments, _loss(p, first_loss) / loss) for p in rest]).reshape(-1, 3)
-    number = np.arange(len(rest))
-    while len(items):
-        first = int(items.max(1).argmax())
-        sequence, free = [int(number[first])], 1 - items[first]
-        items, number = np.delete(items, first, 0), np.delete(number, first)
-        while True:
-            at = int(np.searchsorted(-items[:, 0], -free[0] - _TINY))  # items come in descending order of tokens
-            fits = (items[at:] <= free + _TINY).all(1)
-            if not fits.any():
-                break
-            j = at + int(np.where(fits, items[at:] @ free, -1.0).argmax())
-            sequence.append(int(number[j]))
-            free = free - items[j]
-            items, number = np.delete(items, j, 0), np.delete(number, j)
-        done.append([rest[k] for k in sequence])
+    held: dict[tuple[int, int, int], list[Piece]] = {}  # items of equal vectors, of which there are few
+    for p in sorted(rest, key=lambda p: -p[0]):
+        held.setdefault((p[2], 1, _loss(p, first_loss)), []).append(p)
+    order = sorted(held, reverse=True)
+    vectors, stacks, limits = np.array(order, np.int64).reshape(-1, 3), [held[v] for v in order], np.array([length, segments, loss])
+    while stacks:
+        j, free, sequence = int((vectors / limits).max(1).argmax()), limits.copy(), []
+        n = 1
+        while n:
+            sequence += [stacks[j].pop() for _ in range(n)]
+            free = free - n * vectors[j]
+            if not stacks[j]:
+                del stacks[j]
+                vectors = np.delete(vectors, j, 0)
+            at = int(np.searchsorted(-vectors[:, 0], -free[0]))  # in descending order of tokens
+            fits = at + np.flatnonzero((vectors[at:] <= free).all(1))
+            n = 0
+            if len(fits):
+                left = vectors[fits]
+                best = int((left @ (free / limits**2)).argmax())
+                j, n = int(fits[best]), 1
+                if (left[best] == left.max(0)).all():  # largest in every way, it stays the best while it fits
+                    n = min(len(stacks[j]), int((free // np.maximum(left[best], 1))[left[best] > 0].min()))
+        done.append(sequence)
     return done if whole else _tighten(done, first_loss, length, segments, loss)
 
 
@@ -105,6 +112,15 @@ def _tighten(done: list[list[Piece]], first_loss: np.ndarray, length: int, segme
                 break
             s.append((p[0], p[1], take))
             n, k, b = n + take, k + 1, b + _loss((p[0], p[1], take), first_loss)
+        if n < length and k == segments and not last:  # full of short pieces: those beyond a power of two are spare again
+            want = 1 << (n.bit_length() - 1)
+            while n > want:
+                i, at, m = s.pop()
+                over = min(m, n - want)
+                spare.append((i, at + m - over, over))
+                if over < m:
+                    s.append((i, at, m - over))
+                n -= over
         (out if last else whole).append(s)
     for s in out:
         n = used(s)

@@ -6,11 +6,13 @@ parts by name, recipes by ranges of doc_id, in ascending order; both lie in a pa
 lines of the manifest: how many chunks and recipes the part has, how many ids its documents have, and the roots of the
 Merkle trees over both.
 
-    <store>  kind=chunk:    part, name (digest), data (a byte for the width, then ids as little-endian integers of 16 or 32 bits)
-             kind=recipe:   part, doc_id, start (ids before it in its part), n_tokens, name (digests, joined)
-             kind=manifest: part, data (of what), start (items), n_tokens, name (root)
+    <store>/items  kind=chunk:    part, name (digest), data (a byte for the width, then ids as little-endian integers of 16 or 32 bits)
+                   kind=recipe:   part, doc_id, start (ids before it in its part), n_tokens, name (digests, joined)
+                   kind=manifest: part, data (of what), start (items), n_tokens, name (root)
+    <store>/root   lines (of the manifest), n_tokens (of all documents), root (of the tree over the lines)
 
-read() holds the files against the manifest and raises an error where they differ, decodes every chunk, checks it against
+The root over all lines is written last, in a file of its own: without it there is no store, and a lost file, whose lines are
+lost with it, does not go unnoticed. read() holds the files against the manifest and its root and raises an error where they differ, decodes every chunk, checks it against
 its name, and puts documents' checksums together from their chunks' (CRC-32 of joined strings follows from those of the
 parts and their lengths).
 
@@ -170,11 +172,22 @@ def write(documents: DataFrame, store: str, tokenizer_path: str, kind: str = "sp
     bounds = (docs.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] or []) if shares else []
     rows = docs.mapInArrow(_encode(tokenizer_path, kind, end_id, parts, bounds), "kind string, part int, doc_id long, n_tokens long, name binary, data binary")
     rows = rows.repartitionById(parts, "part").sortWithinPartitions("kind", "doc_id", "name").mapInArrow(_pack, _SQL)
-    rows.write.option("compression", "zstd").parquet(store)
+    rows.write.option("compression", "zstd").parquet(f"{store}/items")
+    spark = documents.sparkSession
+    spark.createDataFrame([_root(spark, store)], _ROOT).coalesce(1).write.parquet(f"{store}/root")
+
+
+_ROOT = "lines long, n_tokens long, root binary"
+
+
+def _root(spark: SparkSession, store: str) -> tuple[int, int, bytes]:
+    """What the root's file has to say of the manifest's lines, of which each part has two."""
+    lines = sorted((r["of"], r["part"], r["items"], r["n_tokens"], bytes(r["root"])) for r in _lines(spark, store).collect())
+    return len(lines), sum(r[3] for r in lines), merkle_root([f"{of},{part},{items},{n},".encode() + root for of, part, items, n, root in lines])
 
 
 def _items(spark: SparkSession, store: str, kind: str) -> DataFrame:
-    return spark.read.schema(_SQL).parquet(store).where(F.col("kind") == kind).drop("kind")
+    return spark.read.schema(_SQL).parquet(f"{store}/items").where(F.col("kind") == kind).drop("kind")
 
 
 def _chunks(spark: SparkSession, store: str) -> DataFrame:
@@ -200,7 +213,7 @@ def verify(spark: SparkSession, store: str) -> DataFrame:
         return pa.table(line, pa.schema([("of", pa.string()), ("part", pa.int32()), ("items", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
 
     # a part's leaves are 16 bytes a chunk, and its recipes
-    items = spark.read.schema(_SQL).parquet(store).where("kind != 'manifest'").select(F.col("kind").alias("of"), "part", "doc_id", "start", "n_tokens", "name")
+    items = spark.read.schema(_SQL).parquet(f"{store}/items").where("kind != 'manifest'").select(F.col("kind").alias("of"), "part", "doc_id", "start", "n_tokens", "name")
     found = items.groupBy("of", "part").applyInArrow(root, "of string, part int, items long, n_tokens long, root binary")
     said = _lines(spark, store)
     empty = (F.col("items") == 0) & (F.col("root") == F.lit(merkle_root([])))
@@ -258,6 +271,9 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the store's files; an error where the manifest differs."""
+    said = [(r["lines"], r["n_tokens"], bytes(r["root"])) for r in spark.read.schema(_ROOT).parquet(f"{store}/root").limit(2).collect()]
+    if said != [_root(spark, store)]:
+        raise ValueError("the store's root does not describe its manifest: files are lost, or of another store")
     if wrong := verify(spark, store).limit(3).collect():
         raise ValueError(f"the manifest does not describe the store: {wrong}")
     chunks = _chunks(spark, store).mapInArrow(_checked, "name binary, crc long, n long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -130,7 +131,7 @@ def test_token_store_finds_damage(spark, docs, rows, tmp_path):
     path, store = tokenizer_path("byte_bpe_50k.json"), f"file://{tmp_path}/store"
     got = token_store.round_trip(docs, path, store=store).collect()
     assert len(got) == len(rows) and sorted(g["start"] for g in got) == np.cumsum([0, *(g["n_tokens"] for g in sorted(got, key=lambda g: g["start"]))])[:-1].tolist()
-    items = spark.read.parquet(store)
+    items, root = spark.read.parquet(f"{store}/items"), spark.read.parquet(f"{store}/root")
     some = items.where("kind = 'chunk'").orderBy("name").first()["name"]
     changed = {
         "chunk": items.withColumn("data", F.when((F.col("kind") == "chunk") & (F.col("name") == F.lit(some)), F.concat(F.col("data"), F.unhex(F.lit("0000")))).otherwise(F.col("data"))),
@@ -140,11 +141,42 @@ def test_token_store_finds_damage(spark, docs, rows, tmp_path):
         "manifest": items.where("kind != 'manifest' or part != 0 or cast(data as string) != 'recipe'"),
     }
     for what, rows_ in changed.items():
-        rows_.write.parquet(f"file://{tmp_path}/{what}")
+        rows_.write.parquet(f"file://{tmp_path}/{what}/items")
+        root.write.parquet(f"file://{tmp_path}/{what}/root")
         with pytest.raises((ValueError, PySparkException)):
             token_store.read(spark, f"file://{tmp_path}/{what}").collect()
 
 
+@pytest.mark.parametrize("lost", [0, 1, -1, "root"])
+def test_token_store_finds_a_lost_file(spark, docs, tmp_path, lost):
+    store = tmp_path / "store"
+    token_store.write(docs, f"file://{store}", tokenizer_path("byte_bpe_50k.json"))
+    assert token_store.read(spark, f"file://{store}").count() == docs.count()
+    files = sorted((store / ("root" if lost == "root" else "items")).glob("*.parquet"))
+    files[0 if lost == "root" else lost].unlink()
+    with pytest.raises((ValueError, PySparkException)):
+        token_store.read(spark, f"file://{store}").collect()
+
+
+def test_packing_many_tiny_documents_in_linear_time():
+    took = []
+    for n in (25_000, 100_000):
+        lengths, began = np.full(n, 5) + np.arange(n) % 3, time.process_time()
+        out = packing.pack(lengths, np.zeros(n, np.int64))
+        took.append(time.process_time() - began)
+        sizes = [sum(p[2] for p in s) for s in out]
+        assert sum(sizes) == lengths.sum() and max(map(len, out)) <= packing.SEGMENTS
+        assert all(x & (x - 1) == 0 for x in sizes)  # full or a power of two: no padding, though segments run out first
+        assert sorted(p for s in out for p in s) == sorted(set(p for s in out for p in s))
+    assert took[1] < 10
+
+
+def test_packing_a_window_of_null_texts_only(spark):
+    docs = spark.createDataFrame([(i, None) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000)) and all(r["length"] == 1 for r in got)
+
+
 def test_top_k_of_large_values(spark):
     r = np.random.default_rng(2)
     x = [r.normal(size=5).tolist() for _ in range(120)]

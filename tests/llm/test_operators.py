@@ -273,7 +273,7 @@ def test_token_store_round_trip(spark, docs, rows, tmp_path):
     assert got == want
     assert token_store.read_ids(spark, store, [0, 301, 500, 505]) == {i: ids[i] for i in (0, 301, 500, 505)}
     assert token_store.verify(spark, store).count() == 0
-    chunks = spark.read.parquet(store).where("kind = 'chunk'")
+    chunks = spark.read.parquet(f"{store}/items").where("kind = 'chunk'")
     assert chunks.count() == chunks.select("name").distinct().count()
 
 
