@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.inference import ALPHA, CRITERIA, EXCHANGE, FLOOR, MDD_FACTOR, TIE, expected_max_of_k, mcnemar_exact, percentile_indices, sign_flip_lattice
+from ..functions.inference import ALPHA, CRITERIA, EXCHANGE, FLOOR, MDD_FACTOR, POINTS, TIE, expected_max_of_k, lattice_points, mcnemar_exact, percentile_indices, reduced
 from .order import ranked_rows
 
 MISS_TURN = 11
@@ -154,11 +157,38 @@ def sign_flip_p(differences: DataFrame, n: int, key: str = "pos") -> DataFrame:
 
 
 def sign_flip_p_of_all(differences: DataFrame, steps: int) -> DataFrame:
-    """Exact p over the sign patterns of all differences (column d), which are multiples of 1 / steps; few of them differ."""
+    """Exact p over the sign patterns of all differences (column d), which are multiples of 1 / steps between -1 and 1.
+
+    However many rows there are, they take 2 steps + 1 values at most, whose counts are one row; the transform's points,
+    as many as the differences have steps in all, are dealt to tasks in ranges of POINTS."""
     whole = F.round(F.col("d") * steps).cast("bigint")
-    odd = F.raise_error(F.concat(F.lit("not a multiple of the step: "), F.col("d").cast("string"))).cast("bigint")
-    rows = differences.select(F.when(F.abs(F.col("d") * steps - whole) > 1e-6, odd).otherwise(whole).alias("v")).groupBy("v").count().collect()
-    return differences.sparkSession.createDataFrame([(sign_flip_lattice({r["v"]: r["count"] for r in rows}),)], "p_value double")
+    odd = F.raise_error(F.concat(F.lit("not a multiple of the step, or beyond 1: "), F.col("d").cast("string"))).cast("bigint")
+    wrong = (F.abs(F.col("d") * steps - whole) > 1e-6) | (F.abs("d") > 1)
+    counts = differences.where("d is not null").select(F.when(wrong, odd).otherwise(whole).alias("v")).groupBy("v").agg(F.count("*").alias("m"))
+    one = counts.agg(F.sort_array(F.collect_list(F.struct("v", "m"))).alias("counts"))
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows in batch["counts"]:
+                sizes, observed = reduced({r["v"]: r["m"] for r in rows})
+                total = sum(v * m for v, m in sizes.items())
+                yield pd.DataFrame({"sizes": [list(sizes)], "times": [list(sizes.values())], "total": total, "observed": observed, "ranges": -(-total // POINTS) if observed else 0})
+
+    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums = [
+                lattice_points(dict(zip(v.tolist(), m.tolist(), strict=True)), o, 1 + k * POINTS, 1 + min(t, (k + 1) * POINTS)) if k >= 0 else 0.0
+                for v, m, o, t, k in zip(b["sizes"], b["times"], b["observed"], b["total"], b["k"], strict=True)
+            ]
+            yield pd.DataFrame({"inside": sums, "total": b["total"], "observed": b["observed"]})
+
+    plan = one.mapInPandas(ranges, "sizes array<long>, times array<long>, total long, observed long, ranges long")
+    dealt = plan.withColumn("k", F.explode(F.when(F.col("ranges") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("ranges") - 1)).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    n = int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = dealt.repartition(n, "k").mapInPandas(points, "inside double, total long, observed long")
+    p = 1 - (2 * F.col("observed") - 1 + F.col("inside")) / (2 * F.col("total") + 1)
+    out = summed.groupBy("total", "observed").agg(F.sum("inside").alias("inside"))
+    return out.select(F.when(F.col("observed") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).alias("p_value"))
 
 
 def holm_adjust(tests: DataFrame, p: str = "p_value", key: str = "name") -> DataFrame:

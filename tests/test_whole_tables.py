@@ -1,13 +1,16 @@
 """Queries of the catalog against brute force over whole small tables."""
 
 import hashlib
+import math
 import re
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight.functions import inference
 from ledgerlight.functions.text import CLASS_WORDS, MATERIAL_WORDS, STOPWORDS
+from ledgerlight.operators import evaluation
 from ledgerlight.plans.catalog_queries import pairs, queries
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +112,19 @@ def test_sign_flip_counts_every_session(spark):
         assert inference.sign_flip_lattice(counts) == pytest.approx(inference.exact_sign_flip(few) if few else 1.0, abs=1e-9)
 
 
+def test_sign_flip_beyond_one_transform(spark):
+    """More steps than 2^26, where only the normal approximation is at hand to compare with."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, (F.col("id") % 2500) / 2520).otherwise(-(F.col("id") % 2483) / 2520).alias("d"))
+    d = [round(r["d"] * 2520) for r in rows.collect()]
+    assert sum(map(abs, d)) > 1 << 26
+    z = (abs(sum(d)) - 0.5) / math.sqrt(sum(x * x for x in d))
+    got = evaluation.sign_flip_p_of_all(rows, 2520).first()["p_value"]
+    assert got == pytest.approx(math.erfc(z / math.sqrt(2)), abs=2e-4)
+    assert evaluation.sign_flip_p_of_all(rows.limit(0), 2520).first()["p_value"] == 1.0
+    with pytest.raises(Exception, match="not a multiple"):
+        evaluation.sign_flip_p_of_all(spark.createDataFrame([(0.3333,), (0.5,)], "d double"), 2).collect()
+
+
 def test_mentions_of_several_words_are_found(spark, tmp_path):
     text = "I want Brand 7, not brand 16: LARGE ring"
     spark.createDataFrame([(1, 0, "user", text), (1, 1, "bot", text), (2, 0, "user", "none of it")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
