@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, bigrams, classify_constraint, content_tokens, let, ordered_tokens, pinned_tokens
 from .order import ranked_rows
+from .state import kept
 
 SCENARIO_MIX = {"boundary": 0.05, "browsing": 0.40, "buying": 0.40, "intent_override": 0.15}
 TOLERANCE = 0.02
@@ -146,25 +147,64 @@ def contradicts(phrase: Column, target: Column, vocabulary: list[str]) -> Column
     return F.exists(known, lambda v: F.contains(phrase, v) & ~F.contains(target, v))
 
 
-def phrase_gate(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """rows (item, pair, control, phrase, target) with the first gate that each phrase fails, or "accepted"."""
+ATTEMPTS = 3
+LONGEST = 180
+
+
+def local_gates(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """rows (control, phrase, target) with the first gate that a phrase fails by itself, else null."""
     rows = divergence(rows)
     phrase = F.col("phrase")
-    w = Window.partitionBy("pair", "phrase").orderBy("item")
-    claimed = Window.partitionBy("phrase").orderBy("item")
     gate = (
-        F.when(phrase.isNull() | (F.trim(phrase) == "") | (F.trim(phrase) != phrase), "empty_or_untrimmed")
-        .when(F.length(phrase) > 180, "too_long")
-        .when(~preserves_bucket(F.col("control"), phrase), "bucket_changed")
-        .when(~F.col("passes"), "too_close")
+        F.when(phrase.isNull(), "no_phrase").when((phrase == "") | (F.trim(phrase) != phrase), "empty_or_untrimmed").when(F.length(phrase) > LONGEST, "too_long")
+        .when(~preserves_bucket(F.col("control"), phrase), "bucket_changed").when(~F.col("passes"), "too_close")
         .when(contradicts(phrase, F.col("target"), vocabulary), "contradicts")
-        .when(F.row_number().over(w) > 1, "repeated_in_pair")
-        .when(F.row_number().over(claimed) > 1, "claimed_elsewhere")
-        .otherwise("accepted")
-    )
+    )
     return rows.withColumn("outcome", gate)
 
 
+def phrase_gate(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """rows (item, pair, control, phrase, target) with the first gate that each phrase fails, or "accepted".
+
+    A phrase that passes alone claims its wording for its pair; the smallest item that does so keeps it."""
+    rows = local_gates(rows, vocabulary).withColumn("_passed", F.col("outcome").isNull())
+    claim = F.row_number().over(Window.partitionBy("pair", "phrase", "_passed").orderBy("item"))
+    return rows.withColumn("outcome", F.when(~F.col("_passed"), F.col("outcome")).when(claim > 1, "claimed").otherwise("accepted")).drop("_passed")
+
+
+def phrase_rounds(attempts: DataFrame, vocabulary: list[str], cap: int = ATTEMPTS) -> DataFrame:
+    """item, pair, attempts, phrase, outcome: what became of each item in at most cap rounds of writing and review.
+
+    attempts: item, pair, control, target, attempt (from 0), phrase, faithful (the review's verdict). In a round every item still
+    open sends its phrase for that attempt. One that an accepted phrase of an earlier round words alike is repeated; of those
+    that pass, the smallest item claims a wording, whether or not its review then accepts it. Only accepted phrases bind later
+    rounds. Items of a round are dealt by pair and wording; a round's outcomes are checkpointed.
+    """
+    gated = kept(local_gates(attempts, vocabulary).select("item", "pair", "attempt", "phrase", "faithful", F.col("outcome").alias("alone")))
+    left = gated.select("item", "pair").distinct()
+    done, won = None, None
+    for n in range(cap):
+        sent = left.join(gated.where(F.col("attempt") == n).drop("pair", "attempt"), "item", "left")
+        sent = sent.withColumn("alone", F.when(F.col("phrase").isNull(), "no_phrase").otherwise(F.col("alone")))
+        if won is None:
+            sent = sent.withColumn("taken", F.lit(False))
+        else:
+            sent = sent.join(won.withColumn("taken", F.lit(True)), ["pair", "phrase"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+        sent = sent.withColumn("open", F.col("alone").isNull() & ~F.col("taken"))
+        claim = F.row_number().over(Window.partitionBy("pair", "phrase", "open").orderBy("item"))
+        outcome = (
+            F.when(F.col("alone").isNotNull(), F.col("alone")).when(F.col("taken"), "repeated").when(claim > 1, "claimed")
+            .when(F.coalesce("faithful", F.lit(False)), "accepted").otherwise("unfaithful")
+        )
+        now = kept(sent.select("item", "pair", F.lit(n + 1).alias("attempts"), "phrase", outcome.alias("outcome")))
+        over = now if n == cap - 1 else now.where("outcome = 'accepted'")
+        done = over if done is None else done.unionByName(over)
+        fresh = now.where("outcome = 'accepted'").select("pair", "phrase")
+        won = fresh if won is None else won.unionByName(fresh)
+        left = now.where("outcome != 'accepted'").select("item", "pair")
+    return done
+
+
 def surviving_positions(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """rows (pair, slot, position, item) without the dropped items, positions numbered anew from 0."""
     kept = rows.join(dropped, "item", "left_anti")

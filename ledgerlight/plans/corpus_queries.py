@@ -282,3 +282,24 @@ def exclusion_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def several_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("corpus"), F.col("l_returnflag").alias("model"))
     return corpus.several_models(records, "corpus").select("corpus", F.array_join("models", ",").alias("models"))
+
+
+# ---- wordings by rounds ----
+
+
+def wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts at wording each part's color anew, with a review by size; parts of a brand are a pair."""
+    part = table(spark, sf_dir, "part")
+    w, size = F.split("p_name", " "), F.col("p_size").cast("string")
+    tries = F.array(
+        F.concat(w[0], F.lit(" tone")), F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("wool ")).otherwise(F.lit("")), w[0], F.lit(" shade "), F.floor(F.col("p_size") / 10).cast("string")),
+        F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("hue "), w[0], F.lit(" no "), size)),
+    )
+    target = F.concat_ws(" ", "p_name", F.lower("p_brand"), F.lower("p_type"), F.concat(F.lit("size "), size))
+    rows = part.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("pair"), w[0].alias("control"), target.alias("target"), "p_size", F.posexplode(tries).alias("attempt", "phrase"))
+    return rows.withColumn("faithful", (F.col("p_size") + F.col("attempt")) % 3 != 0).drop("p_size")
+
+
+@query()
+def phrase_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.phrase_rounds(wordings(spark, sf_dir), ["wool", "tone 7"])

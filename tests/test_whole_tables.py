@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import inference
 from ledgerlight.functions.text import CLASS_WORDS, MATERIAL_WORDS, STOPWORDS
-from ledgerlight.operators import evaluation
+from ledgerlight.operators import corpus, evaluation
+from ledgerlight.plans import corpus_queries
 from ledgerlight.plans.catalog_queries import pairs, queries
 
 SF = "/root/testdata/sf0.001"
@@ -135,3 +136,40 @@ def test_mentions_of_several_words_are_found(spark, tmp_path):
     said = [g for n in range(1, len(t) + 1) for i in range(len(t) - n + 1) if (g := " ".join(t[i : i + n])) in known]
     assert {"brand 7", "brand 16", "large", "ring"} <= set(said)
     assert [tuple(r) for r in queries()["ngram_gazetteer_match"](spark, str(tmp_path)).collect()] == [(1, 0, len(said), len(set(said)))]
+
+
+def test_phrases_are_accepted_by_rounds_as_one_by_one(spark):
+    rows = corpus_queries.wordings(spark, SF).collect()
+    by = {(r["item"], r["attempt"]): r for r in rows}
+    gates = {(r["item"], r["attempt"]): r["outcome"] for r in corpus.local_gates(corpus_queries.wordings(spark, SF), ["wool", "tone 7"]).collect()}
+    pair = {r["item"]: r["pair"] for r in rows}
+    left, accepted, want = sorted(pair), set(), {}
+    for n in range(3):
+        claimed, passed, now = {}, [], {}
+        for i in left:
+            r = by.get((i, n))
+            p = r and r["phrase"]
+            if p is None or gates[i, n]:
+                now[i] = "no_phrase" if p is None else gates[i, n]
+            elif (pair[i], p) in accepted:
+                now[i] = "repeated"
+            elif (pair[i], p) in claimed:
+                now[i] = "claimed"
+            else:
+                claimed[pair[i], p] = i
+                passed.append(i)
+        for i in passed:
+            now[i] = "accepted" if by[i, n]["faithful"] else "unfaithful"
+            if now[i] == "accepted":
+                accepted.add((pair[i], by[i, n]["phrase"]))
+        want |= {i: (n + 1, now[i]) for i in left}
+        left = [i for i in left if now[i] != "accepted"]
+    got = {r["item"]: (r["attempts"], r["outcome"]) for r in queries()["phrase_gates"](spark, SF).collect()}
+    assert got == want
+    assert {o for _, o in want.values()} >= {"accepted", "no_phrase"} and {a for a, _ in want.values()} == {1, 2, 3}
+
+
+def test_only_phrases_that_pass_claim_their_wording(spark):
+    rows = [(1, 1, "red wool", "red wool", "a red wool coat"), (2, 1, "wool", "red wool", "x"), (3, 1, "wool", "red wool", "y"), (4, 2, "wool", "red wool", "z"), (5, 1, "red", None, "x")]
+    got = {r["item"]: r["outcome"] for r in corpus.phrase_gate(spark.createDataFrame(rows, "item int, pair int, control string, phrase string, target string"), []).collect()}
+    assert got == {1: "too_close", 2: "accepted", 3: "claimed", 4: "accepted", 5: "no_phrase"}
