@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    """rows, computed once and read from the shared folder from then on."""
-    context = rows.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(rows.sparkSession))
-    return rows.checkpoint(eager=True)
+    """rows, computed once and read from a table in the shared folder from then on.
+
+    A table rather than a checkpoint: a checkpoint hands on the estimated sizes of what it was made from, which joins of
+    several rounds multiply to numbers that planning cannot handle, while a table's sizes are those of its files."""
+    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -359,13 +359,9 @@ def ngram_gazetteer_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every session's ledger after each user message; the gazetteer is the catalog's bounded vocabulary."""
-    resolved = phrase_resolution(spark, sf_dir).limit(conversation.PHRASES + 1).collect()
-    if len(resolved) > conversation.PHRASES:
-        raise ValueError("the catalog has more phrases than tasks can hold")
-    known = {r["phrase"]: (r["value"], r["attribute"]) for r in resolved}
-    said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", "text", F.lit(None).cast("string").alias("asked"))
-    return conversation.replay(said, known)
+    """Every session's ledger after each user message."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("session"), "turn", "text", F.lit(None).cast("string").alias("asked"))
+    return conversation.replay(conversation.with_hits(said, phrase_resolution(spark, sf_dir), "session", "turn"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(lower(text), '(\\$|<=|under)\\s*[0-9]|budget') THEN 'budget'
