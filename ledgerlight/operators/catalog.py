@@ -70,6 +70,24 @@ def weighted_postings(products: DataFrame, fields: dict[str, float], key: str =
     return rows.select(key, F.col("p.term").alias("term"), F.col("p.w").alias("weighted_frequency"))
 
 
+def term_frequencies(products: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """term, weighted_df (the truncated sum of weights over products and fields), df (products). Sums go by term alone; a task adds
+    up its products' terms before they are shuffled."""
+    held = [search_terms(F.coalesce(F.col(c), F.lit(""))) for c in fields]
+    rows = products.select(*[h.alias(f"_{i}") for i, h in enumerate(held)])
+    entry = lambda w, one: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"), F.lit(one).alias("one"))
+    # in a product's first field a term counts for it, in others only where no field before has it
+    parts = []
+    for i, w in enumerate(fields.values()):
+        before = F.array_distinct(F.concat(*[F.col(f"_{j}") for j in range(i)])) if i else None
+        new = F.col("_0") if before is None else F.array_except(F.col(f"_{i}"), before)
+        parts.append(F.transform(new, entry(w, 1)))
+        if i:
+            parts.append(F.transform(F.array_intersect(F.col(f"_{i}"), before), entry(w, 0)))
+    said = rows.select(F.explode(F.concat(*parts)).alias("e")).select("e.term", "e.w", "e.one")
+    return said.groupBy("term").agg(F.floor(F.sum("w")).cast("bigint").alias("weighted_df"), F.sum("one").cast("bigint").alias("df"))
+
+
 def document_frequency(postings: DataFrame, mode: str = "weighted") -> DataFrame:
     """term, document_frequency: the truncated sum of weights, or with mode "count" the number of products."""
     value = F.count("*") if mode == "count" else F.floor(F.sum("weighted_frequency"))

@@ -6,6 +6,7 @@ Texts are documents, sessions are the events of a user, phrases are benchmark pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,8 @@ from ..functions.inference import RESAMPLES
 from ..operators import catalog, conversation, corpus, evaluation, questions, ranking, search
 from ..operators.order import ranked_rows
 from ..operators.search import Constraint
+from ..operators.state import shared_folder
+from ..sources import lexical_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -157,8 +160,25 @@ def weighted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT term, CAST(floor(sum(weighted_frequency)) AS BIGINT) AS weighted_df, CAST(count(*) AS BIGINT) AS df FROM ({POSTINGS}) GROUP BY 1")
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings(spark, sf_dir)
-    return rows.groupBy("term").agg(F.floor(F.sum("weighted_frequency")).cast("bigint").alias("weighted_df"), F.count("*").alias("df"))
+    return catalog.term_frequencies(table(spark, sf_dir, "documents"), DOC_FIELDS)
+
+
+_INDEXES: dict[tuple[str, str], lexical_index.LexicalIndex] = {}
+
+
+def stored_index(texts: DataFrame, fields: dict[str, float], name: str) -> lexical_index.LexicalIndex:
+    """The index of texts in the cluster's shared folder, built once in an application for what the texts' files are now."""
+    spark, files = texts.sparkSession, texts.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    now = files.distinct().agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()[0]  # no column of the texts is read
+    key = spark.sparkContext.applicationId, f"{name}-{now}"
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _INDEXES[key] = lexical_index.build_index(texts, fields, path)
+    return _INDEXES[key]
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
+    return stored_index(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), DOC_FIELDS, "documents-index")
 
 
 TERMS = ["the", "thing", "ation", "src3"]
@@ -169,9 +189,7 @@ d AS (SELECT term, floor(sum(weighted_frequency)) AS df FROM p GROUP BY 1), n AS
 SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
 SELECT id, round(sum(weighted_frequency * (ln((n + 1) / (df + 1)) + 1)), 9) AS score FROM p JOIN d USING (term), n GROUP BY 1) ORDER BY rank LIMIT 20""")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.weighted_postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), DOC_FIELDS, terms=TERMS)
-    total = table(spark, sf_dir, "documents").count()
-    hits = search.tfidf(rows, catalog.document_frequency(rows), total, TERMS).withColumn("score", F.round("score", 9))
+    hits = lexical_index.tfidf_scores(text_index(spark, sf_dir), TERMS).withColumn("score", F.round("score", 9))
     return search.ranked(hits, 20).select("id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -187,11 +205,42 @@ s AS (SELECT id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 EL
 
 @query(BM25 + """ SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM s ORDER BY rank LIMIT 20""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
-    hits = search.bm25(docs, DOC_FIELDS, TERMS).withColumn("score", F.round("score", 9))
+    hits = lexical_index.bm25_candidates(text_index(spark, sf_dir), TERMS, 20).withColumn("score", F.round("score", 9))
     return search.ranked(hits, 20).select("id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("""WITH d AS (SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])(the|thing)([^a-z0-9]|$)'))
+SELECT query, reason, CAST(total AS BIGINT) AS total, relation FROM d, (VALUES ('nothing', 'empty_query', 0, 'exact'), ('words', 'completed', 21, 'lower_bound'), ('absent', 'completed', 0, 'exact'),
+  ('weights', 'fallback_completed', NULL, 'exact')) v(query, reason, t, relation), (SELECT 1) o, LATERAL (SELECT coalesce(t, n) AS total) x""")
+def lexical_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What searches of each kind report."""
+    index, out = text_index(spark, sf_dir), None
+    for name, words, mode in (("nothing", [], "auto"), ("words", TERMS, "auto"), ("absent", ["xyzzyx"], "full_text"), ("weights", ["the", "thing"], "fallback")):
+        one = lexical_index.lexical_search(index, words, 20, mode, work_limit=1 << 40)[1].select(F.lit(name).alias("query"), "reason", "total", "relation")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH q AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+u AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM q), f AS (SELECT item_id, term, min(at) AS at FROM u GROUP BY 1, 2),
+t AS (SELECT item_id, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY at) AS nth FROM f) WHERE nth <= 40),
+p AS ({POSTINGS}), d AS (SELECT term, floor(sum(weighted_frequency)) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT item_id, id, round(sum(weighted_frequency * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM t JOIN p USING (term) JOIN d USING (term), n GROUP BY 1, 2),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 200),
+b AS (SELECT r.item_id, count(*) AS candidates, min(rank) FILTER (contains(documents.text, q.text)) AS best_rank FROM r JOIN documents ON id = doc_id JOIN q ON q.item_id = r.item_id GROUP BY 1)
+SELECT item_id, CAST(coalesce(candidates, 0) AS BIGINT) AS candidates, CAST(best_rank AS INTEGER) AS best_rank, best_rank IS NOT NULL AS solvable FROM q LEFT JOIN b USING (item_id)""")
+def solvability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each passage's own words bring a document that holds it among the best 200, all passages searched at once."""
+    items = table(spark, sf_dir, "benchmark").where("item_id is not null").select("item_id", F.col("text").alias("sought"))
+    words = items.select(F.col("item_id").alias("query"), F.explode(F.slice(T.search_terms(F.col("sought")), 1, search.TOKEN_CAP)).alias("term"))
+    scores = lexical_index.batch_scores(text_index(spark, sf_dir), words).withColumn("score", F.round("score", 6))
+    best = search.ranked(scores, 200, route=["query"]).select("query", "id", "rank")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = best.join(docs, "id").join(items, F.col("query") == F.col("item_id"))
+    found = found.groupBy("item_id").agg(F.count("*").alias("candidates"), F.min(F.when(F.contains("text", "sought"), F.col("rank"))).alias("best_rank"))
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("candidates", F.lit(0)).cast("bigint").alias("candidates"), "best_rank", F.col("best_rank").isNotNull().alias("solvable"))
+
+
 # ---- fusion, gate, posterior ----
 
 ROUTES = """r AS (SELECT id, route, rank FROM (
