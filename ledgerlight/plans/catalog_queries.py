@@ -222,8 +222,8 @@ def lexical_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH q AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-u AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM q), f AS (SELECT item_id, term, min(at) AS at FROM u GROUP BY 1, 2),
-t AS (SELECT item_id, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY at) AS nth FROM f) WHERE nth <= 40),
+u AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM q), f AS (SELECT item_id, term, min(pos) AS pos FROM u GROUP BY 1, 2),
+t AS (SELECT item_id, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS nth FROM f) WHERE nth <= 40),
 p AS ({POSTINGS}), d AS (SELECT term, floor(sum(weighted_frequency)) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 s AS (SELECT item_id, id, round(sum(weighted_frequency * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM t JOIN p USING (term) JOIN d USING (term), n GROUP BY 1, 2),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 200),
