@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,53 +83,40 @@ def divergence(pairs: DataFrame, phrase: str = "phrase", target: str = "target")
 
 
 def divergence_of_all(phrases: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every phrase (item_id, phrase) measured against every target (doc_id, target), as divergence does; word pairs as a count.
+    """Every phrase (item_id, phrase) measured against every target (doc_id, target), as divergence does: a row for each pair that
+    shares something, and for each phrase a row without doc_id that counts the targets (documents) it shares nothing with.
 
-    The phrases are a bounded table: an index from each of their words and word pairs to the phrases goes to every task.
+    Words and word pairs of phrases and targets meet in one join, counts are added up before they are shuffled; nothing is
+    gathered, and Spark sends the phrases' side to every task only where it is small.
     """
-    tokens_of = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     phrase = F.coalesce("phrase", F.lit(""))
-    chosen = phrases.where("item_id is not null").select("item_id", tokens_of(ordered_tokens(phrase)).alias("p"), tokens_of(let(pinned_tokens(phrase), lambda pins: content_tokens(ordered_tokens(phrase), pins))).alias("c"))
-    index = [(r["item_id"], r["p"], r["c"]) for r in chosen.collect()]
-    stop, words, doubles = frozenset(STOPWORDS), {}, {}
-    for at, (_, tokens, kept) in enumerate(index):
-        for w in kept:
-            words.setdefault(w, []).append(at)
-        for a, b in set(zip(tokens, tokens[1:], strict=False)):
-            if a not in stop or b not in stop:
-                doubles.setdefault((a, b), []).append(at)
-    ids = np.array([i for i, _, _ in index], np.int64)
-    content = np.array([len(c) for _, _, c in index], np.int32)
-    sent = phrases.sparkSession.sparkContext.broadcast(({w: np.array(v) for w, v in words.items()}, {b: np.array(v) for b, v in doubles.items()}))
-    n, per = len(ids), np.maximum(content, 1)
-
-    def counted(found: list[np.ndarray]) -> np.ndarray:
-        return np.bincount(np.concatenate(found), minlength=n) if found else np.zeros(n, np.int64)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, doubles = sent.value
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                ratio, shared = [], []
-                for text in part["target"]:
-                    tokens = re.findall("[a-z0-9]+", text)
-                    ratio.append(counted([words[w] for w in words.keys() & set(tokens)]) / per)
-                    shared.append(counted([doubles[b] for b in doubles.keys() & set(zip(tokens, tokens[1:], strict=False))]))
-                ratio, shared = np.concatenate(ratio), np.concatenate(shared).astype(np.int32)
-                yield pd.DataFrame({
-                    "item_id": np.tile(ids, len(part)), "doc_id": np.repeat(part["doc_id"].to_numpy(), n), "content_tokens": np.tile(content, len(part)),
-                    "overlap_ratio": ratio, "shared_bigrams": shared, "passes": (ratio == 0) & (shared == 0),
-                })
-
-    rows = targets.where("doc_id is not null").select("doc_id", F.coalesce(F.lower("target"), F.lit("")).alias("target"))
-    return rows.mapInPandas(each, "item_id long, doc_id long, content_tokens int, overlap_ratio double, shared_bigrams int, passes boolean")
-
-
-def bucket_summary(reports: DataFrame, bucket: str = "bucket") -> DataFrame:
+    chosen = phrases.where("item_id is not null").select("item_id", ordered_tokens(phrase).alias("p"), let(pinned_tokens(phrase), lambda pins: content_tokens(ordered_tokens(phrase), pins)).alias("c"))
+    size = F.size("c").alias("content_tokens")
+    worded = chosen.select("item_id", size, F.explode("c").alias("feature")).groupBy("item_id", "content_tokens", "feature").agg(F.count("*").alias("overlap")).withColumn("shared", F.lit(0))
+    doubles = F.filter(bigrams(F.col("p")), lambda b: F.exists(F.split(b, " "), lambda x: ~x.isin(STOPWORDS)))
+    index = worded.unionByName(chosen.select("item_id", size, F.explode(doubles).alias("feature"), F.lit(0).cast("bigint").alias("overlap"), F.lit(1).alias("shared")))
+    words = targets.where("doc_id is not null").select("doc_id", ordered_tokens(F.coalesce("target", F.lit(""))).alias("t"))
+    features = words.select("doc_id", F.explode(F.concat(F.array_distinct("t"), bigrams(F.col("t")))).alias("feature"))
+    met = features.join(index, "feature").groupBy("item_id", "doc_id", "content_tokens").agg(F.sum("overlap").alias("overlap"), F.sum("shared").cast("int").alias("shared_bigrams"))
+    some = met.select(
+        "item_id", "doc_id", "content_tokens", (F.col("overlap") / F.greatest("content_tokens", F.lit(1))).alias("overlap_ratio"), "shared_bigrams",
+        F.lit(False).alias("passes"), F.lit(1).cast("bigint").alias("documents"),
+    )
+    total = targets.where("doc_id is not null").agg(F.count("*")).scalar()
+    none = chosen.select("item_id", size).join(some.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
+    none = none.select(
+        "item_id", F.lit(None).cast("bigint").alias("doc_id"), "content_tokens", F.lit(0.0).alias("overlap_ratio"), F.lit(0).alias("shared_bigrams"), F.lit(True).alias("passes"),
+        (total - F.coalesce("n", F.lit(0))).alias("documents"),
+    )
+    return some.unionByName(none.where("documents > 0"))
+
+
+def bucket_summary(reports: DataFrame, bucket: str = "bucket", times: str = "documents") -> DataFrame:
+    """Of each bucket's reports, which count several times: number, mean, median and least overlap, and how many pass."""
+    n = F.sum(times)
     return reports.groupBy(bucket).agg(
-        F.count("*").alias("n"), F.avg("overlap_ratio").alias("mean"), F.percentile("overlap_ratio", F.lit(0.5)).alias("median"), F.min("overlap_ratio").alias("least"),
-        F.sum(F.col("passes").cast("bigint")).alias("passed"),
+        n.alias("n"), (F.sum(F.col("overlap_ratio") * F.col(times)) / n).alias("mean"), F.percentile("overlap_ratio", F.lit(0.5), F.col(times)).alias("median"),
+        F.min("overlap_ratio").alias("least"), F.coalesce(F.sum(F.when(F.col("passes"), F.col(times))), F.lit(0)).alias("passed"),
     )
 
 
