@@ -45,6 +45,13 @@ def normalize_ascii(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value), r"(?U)\s+", " "))
 
 
+def flatten_json(text: Column) -> Column:
+    """The keys and scalar values of a JSON text of any depth, in their order, joined by spaces; nulls are left out."""
+    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[^\s\[\]{},:"]+'), F.lit(0))
+    plain = F.transform(F.filter(tokens, lambda t: t != "null"), lambda t: F.when(F.startswith(t, F.lit('"')), F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]).otherwise(t))
+    return F.array_join(plain, " ")
+
+
 def match_key(value: Column) -> Column:
     """Spaces around colon, comma and slash do not tell values apart."""
     return F.regexp_replace(value, r"(?U)\s*([:,/])\s*", "$1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.inference import RESAMPLES
 from ..operators import catalog, conversation, corpus, evaluation, questions, ranking, search
 from ..operators.search import Constraint
+from ..sources import fingerprint
 from .catalog_queries import EAV, OUTCOMES, PAIRS, PARTS, SCORE, SUMMARY, _score, outcomes, pairs, part_attributes, products, query, scenario_of, table
 
 # ---- catalog ----
@@ -303,3 +304,22 @@ def wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def phrase_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.phrase_rounds(wordings(spark, sf_dir), ["wool", "tone 7"])
+
+
+# ---- fingerprints ----
+
+_FINGERPRINTED = {"nation": "n_name n_nationkey n_regionkey", "part": "p_brand p_name p_partkey p_size p_type", "conversations": "conv_id role text turn"}
+
+
+def _root_sql(name: str, columns: str) -> str:
+    row = "to_json({" + ", ".join(f"'{c}': {c}" for c in columns.split()) + "})"
+    quarters = ", ".join(f"sum(('0x' || substr(d, {16 * i + 1}, 16))::UBIGINT::HUGEINT)" for i in range(4))
+    return f"""SELECT '{name}' AS name, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (
+SELECT count(*) AS n, concat_ws(':', substr(d, 1, 2), count(*), {quarters}) AS line FROM (SELECT sha256({row}::VARCHAR) AS d FROM {name}) GROUP BY substr(d, 1, 2))"""
+
+
+@query(" UNION ALL ".join(_root_sql(n, c) for n, c in _FINGERPRINTED.items()))
+def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and digest of three tables' columns."""
+    every = [fingerprint.root(fingerprint.buckets(table(spark, sf_dir, n).select(*c.split()))).select(F.lit(n).alias("name"), "rows", "digest") for n, c in _FINGERPRINTED.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2])

@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text
-from ..operators.catalog import attributes, document_frequency, non_negative_int, optional_float, wilson_prior
+from ..functions.text import flatten_json, normalize_text
+from ..operators.catalog import attributes, document_frequency, folded_details, material_vocabulary, non_negative_int, optional_float, recovered_keyed_values, wilson_prior
+from .fingerprint import files, fingerprint
 from .schemas import CORPUS, OUTCOME, PRODUCT, SCHEMA_VERSION, TRACE
 
 FIELDS = ("title", "categories", "features", "details", "store", "description")
@@ -26,28 +27,28 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = read_jsonl(spark, path, PRODUCT)
     items = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    # one Python pass over joined text keeps the arrays: U+E000 parts items, and normalization leaves it alone
-    sep = "\ue000"
+    # one Python pass over joined text keeps the arrays: U+E000 parts items, U+E001 a key from its value, and normalization leaves them alone
+    sep, mid = "\ue000", "\ue001"
 
-    def normal(c):
-        joined = normalize_text(F.array_join(F.transform(items(c), lambda x: F.translate(x, sep, " ")), f" {sep} "))
+    def normal(values):
+        joined = normalize_text(F.array_join(F.transform(values, lambda x: F.translate(x, sep, " ")), f" {sep} "))
         return F.filter(F.transform(F.split(joined, sep), lambda x: F.trim(x)), lambda x: x != "")
 
+    entries = F.filter(F.coalesce(F.map_entries("details"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["value"].isNotNull() & (e["value"] != ""))
+    pairs = F.transform(normal(F.transform(entries, lambda e: F.concat(F.translate(e["key"], mid, " "), F.lit(f" {mid} "), F.translate(e["value"], mid, " ")))), lambda x: F.split(x, mid))
+    said = normal(F.transform(entries, lambda e: F.concat_ws(" ", e["key"], F.when(e["value"].rlike(r"^\s*[\[{]"), flatten_json(e["value"])).otherwise(e["value"]))))
+    name = F.regexp_replace(F.coalesce("parent_asin", F.lit("")), r"(?U)^\s+|\s+$", "")
     rows = raw.select(
-        F.when(F.coalesce("parent_asin", F.lit("")) == "", F.raise_error(F.lit("a product has no id")).cast("string")).otherwise(F.col("parent_asin")).alias("id"),
+        F.when(name == "", F.raise_error(F.lit("a product has no id")).cast("string")).otherwise(name).alias("id"),
         normalize_text(F.coalesce("title", F.lit(""))).alias("title"),
-        normal("categories").alias("categories"), normal("features").alias("features"),
-        F.array_join(normal("description"), " ").alias("description"),
-        F.filter(
-            F.transform(F.coalesce(F.map_entries("details"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), F.lower(F.trim(e["value"])).alias("value"))),
-            lambda e: e["value"].isNotNull() & (e["value"] != ""),
-        ).alias("details"),
+        normal(items("categories")).alias("categories"), normal(items("features")).alias("features"),
+        F.array_join(normal(items("description")), " ").alias("description"),
+        F.transform(pairs, lambda p: F.struct(F.trim(p[0]).alias("key"), F.trim(p[1]).alias("value"))).alias("details"), F.array_join(said, " ").alias("details_text"),
         normalize_text(F.coalesce("store", F.lit(""))).alias("store"),
         optional_float(F.col("price")).alias("price"), optional_float(F.col("average_rating")).alias("average_rating"), non_negative_int(F.col("rating_number"), "rating_number").alias("rating_number"),
     )
-    details = F.array_join(F.transform("details", lambda d: F.concat_ws(" ", d["key"], d["value"])), " ")
-    text = F.concat_ws(" ", *[F.when(x != "", x) for x in (F.col("title"), F.array_join("categories", " "), F.array_join("features", " "), details, F.col("store"), F.col("description"))])
-    return rows.withColumn("searchable_text", text).withColumn("quality_prior", wilson_prior(F.col("average_rating"), F.col("rating_number")))
+    text = F.concat_ws(" ", *[F.when(x != "", x) for x in (F.col("title"), F.array_join("categories", " "), F.array_join("features", " "), F.col("details_text"), F.col("store"), F.col("description"))])
+    return rows.withColumn("searchable_text", text).drop("details_text").withColumn("quality_prior", wilson_prior(F.col("average_rating"), F.col("rating_number")))
 
 
 def repeated_ids(products: DataFrame) -> DataFrame:
@@ -95,8 +96,12 @@ def build_artifacts(spark: SparkSession, catalog: str, target: str, df_mode: str
     staging = f"{target.rstrip('/')}.staging"
     _delete(spark, staging)
     try:
-        products = read_catalog(spark, catalog)
-        products.write.parquet(f"{staging}/products")
+        read = read_catalog(spark, catalog)
+        read.write.parquet(f"{staging}/read")
+        read = spark.read.parquet(f"{staging}/read")
+        known = read.select("id", F.explode("details").alias("d")).select("id", F.col("d.key").alias("attribute"), F.col("d.value").alias("value"))
+        keyed = recovered_keyed_values(read).select("attribute", "value").distinct()
+        folded_details(read, material_vocabulary(known), keyed).select(*read.columns).write.parquet(f"{staging}/products")
         products = spark.read.parquet(f"{staging}/products")
         if (twice := repeated_ids(products).limit(1).collect()):
             raise ValueError(f"repeated product id {twice[0]['id']}")
@@ -112,8 +117,10 @@ def build_artifacts(spark: SparkSession, catalog: str, target: str, df_mode: str
         document_frequency(postings, df_mode).write.parquet(f"{staging}/terms")
         manifest = {
             "schema_version": SCHEMA_VERSION, "products": products.count(), "terms": spark.read.parquet(f"{staging}/terms").count(), "df_mode": df_mode,
-            "field_weights": FIELD_WEIGHTS,
+            "field_weights": FIELD_WEIGHTS, "source": _named(spark.read.text(catalog)),
+            "relations": {n: _named(spark.read.parquet(f"{staging}/{n}")) | {"bytes": files(spark, f"{staging}/{n}")} for n in RELATIONS},
         }
+        _delete(spark, f"{staging}/read")
         spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
         open_artifacts(spark, staging)
     except Exception:
@@ -123,12 +130,28 @@ def build_artifacts(spark: SparkSession, catalog: str, target: str, df_mode: str
     return manifest
 
 
-def open_artifacts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The relations by name; an error where the manifest does not describe them."""
+RELATIONS = ("products", "attributes", "postings", "terms")
+
+
+def _named(rows: DataFrame) -> dict:
+    return {k: v for k, v in fingerprint(rows).items() if k != "buckets"}
+
+
+def open_artifacts(spark: SparkSession, path: str, catalog: str | None = None, deep: bool = False) -> dict[str, DataFrame]:
+    """The relations by name; an error where the manifest does not describe them: their files by name and size, with a catalog
+    the lines they were built from, and with deep every row."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
     if manifest["schema_version"] != SCHEMA_VERSION:
         raise ValueError(f"schema version {manifest['schema_version']}")
-    found = {name: spark.read.parquet(f"{path}/{name}") for name in ("products", "attributes", "postings", "terms")}
+    for name in RELATIONS:
+        if files(spark, f"{path}/{name}") != manifest["relations"][name]["bytes"]:
+            raise ValueError(f"the files of {name} are not those of the manifest")
+    if catalog is not None and _named(spark.read.text(catalog)) != manifest["source"]:
+        raise ValueError("the catalog has changed since the artifacts were built")
+    found = {name: spark.read.parquet(f"{path}/{name}") for name in RELATIONS}
+    for name in RELATIONS if deep else ():
+        if _named(found[name]) != {k: manifest["relations"][name][k] for k in ("rows", "digest")}:
+            raise ValueError(f"the rows of {name} are not those of the manifest")
     if found["products"].count() != manifest["products"]:
         raise ValueError("the manifest counts other products")
     return found

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import text as T
 from ledgerlight.operators import catalog, questions, ranking, search
 from ledgerlight.operators.search import Constraint
-from ledgerlight.sources import files
+from ledgerlight.sources import files, fingerprint
 
 
 def one(spark, column):
@@ -139,13 +139,61 @@ def test_catalog_artifacts(spark, tmp_path):
     assert first["title"] == "winter boot" and first["features"] == ["100% leather", "color: black"] and first["price"] is None
     assert first["searchable_text"] == "winter boot shoes 100% leather color: black material leather acme warm dry"
     eav = {(r["attribute"], r["value"]) for r in found["attributes"].where("id = 'B1'").collect()}
-    assert eav == {("category", "shoes"), ("feature", "100% leather"), ("feature", "color: black"), ("brand", "acme"), ("budget", "20.0"), ("material", "leather")}
+    assert eav == {("category", "shoes"), ("feature", "100% leather"), ("feature", "color: black"), ("brand", "acme"), ("budget", "20.0"), ("material", "leather"), ("color", "black")}
     weights = {r["term"]: r["weighted_frequency"] for r in found["postings"].where("id = 'B1'").collect()}
     assert weights["boot"] == 6.0 and weights["leather"] == 5.0 and weights["acme"] == 1.5
     assert found["terms"].where("term = 'boot'").first()["document_frequency"] == 18
     with pytest.raises(FileExistsError):
         files.build_artifacts(spark, f"file://{path}", target)
+    files.open_artifacts(spark, target, f"file://{path}", deep=True)
+    path.write_text(path.read_text().replace("Acme", "Acne"))
+    with pytest.raises(ValueError, match="catalog has changed"):
+        files.open_artifacts(spark, target, f"file://{path}")
     path.write_text("\n".join(map(json.dumps, [boots[0], boots[0]])))
     with pytest.raises(ValueError, match="repeated"):
         files.build_artifacts(spark, f"file://{path}", f"file://{tmp_path}/other")
     assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["artifacts"]
+
+
+def test_artifacts_of_other_rows_or_files_are_refused(spark, tmp_path):
+    path, target = tmp_path / "catalog.jsonl", tmp_path / "artifacts"
+    path.write_text("\n".join(json.dumps({"parent_asin": f"B{i}", "title": f"boot {i}", "store": "Acme"}) for i in range(20)))
+    files.build_artifacts(spark, f"file://{path}", f"file://{target}")
+    found = files.open_artifacts(spark, f"file://{target}")
+    other = found["terms"].withColumn("document_frequency", F.col("document_frequency") + (F.col("term") == "acme").cast("int")).collect()
+    schema = found["terms"].schema
+    before = {p: p.read_bytes() for p in (target / "terms").glob("part*")}
+    lost = sorted(before)[0]
+    lost.unlink()
+    with pytest.raises(ValueError, match="files of terms"):
+        files.open_artifacts(spark, f"file://{target}")
+    spark.createDataFrame(other, schema).coalesce(1).write.mode("overwrite").parquet(f"file://{target}/terms")
+    (text,) = (target / "manifest").glob("part*")
+    manifest = json.loads(text.read_text())
+    manifest["relations"]["terms"]["bytes"] = fingerprint.files(spark, f"file://{target}/terms")  # as if a changed byte left the sizes alone
+    for p in (target / "manifest").glob(".*.crc"):
+        p.unlink()
+    text.write_text(json.dumps(manifest))
+    files.open_artifacts(spark, f"file://{target}")
+    with pytest.raises(ValueError, match="rows of terms"):
+        files.open_artifacts(spark, f"file://{target}", deep=True)
+
+
+def test_details_of_any_depth(spark, tmp_path):
+    deep = {"A  Key": {"inner": ["Ｏne", {"x": None, "y": 'two "q" words'}, 3]}, "Plain": " Stra\u00dfe ", "Empty": "", "None": None}
+    path = tmp_path / "c.jsonl"
+    path.write_text(json.dumps({"parent_asin": "  B1\t", "title": "x", "details": deep}))
+    row = files.read_catalog(spark, f"file://{path}").first()
+    assert row["id"] == "B1" and ("plain", "strasse") in [tuple(d) for d in row["details"]] and len(row["details"]) == 2
+    assert row["searchable_text"] == 'x a key inner one x y two "q" words 3 plain strasse'
+
+
+def test_fingerprints_do_not_depend_on_partitions_or_order(spark):
+    rows = spark.range(500).select("id", F.array(F.struct(F.lit(1).alias("b"), F.col("id").alias("a"))).alias("x"), F.when(F.col("id") % 3 > 0, "t").alias("t"), F.create_map(F.lit("k"), F.col("id"), F.lit("a"), F.lit(1)).alias("m"))
+    one, other = fingerprint.fingerprint(rows.coalesce(1)), fingerprint.fingerprint(rows.select("m", "t", "x", "id").repartition(7).orderBy(F.col("id").desc()))
+    assert one == other and one["rows"] == 500 and fingerprint.drift(rows, one) == []
+    changed = rows.withColumn("t", F.when(F.col("id") == 77, "u").otherwise(F.col("t")))
+    assert fingerprint.fingerprint(changed)["digest"] != one["digest"] and 1 <= len(fingerprint.drift(changed, one)) <= 2
+    assert fingerprint.fingerprint(rows.union(rows.where("id = 5")))["digest"] != one["digest"]
+    assert fingerprint.fingerprint(rows.limit(0))["rows"] == 0
+    assert fingerprint.request_digest({"b": 1, "a": "é"}) == fingerprint.request_digest({"a": "é", "b": 1})
