@@ -31,7 +31,7 @@ HIDDEN = 24
 BATCH = 128  # pages labelled together
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math|iframe)\b[^>]*/>|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<textarea\b[^>]*>.*?</textarea\s*>|<select\b[^>]*>.*?</select\s*>|<button\b[^>]*>.*?</button\s*>|<(?:svg|math|iframe)\b[^>]*/>|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(noscript|template|svg|title|iframe|math)\b[^>]*>.*?</\2\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)/?>|<[!?][^>]*>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
@@ -315,7 +315,7 @@ def made_page(r: random.Random, shape: str | None = None) -> tuple[str, list[tup
         if kind == "footer":
             return wrap(kind, ("footer", "footer", "div"), lambda: f"&copy; {text(r.randint(2, 25), False)}" if r.random() < 0.6 else f"<p>{text(r.randint(2, 25), False)}</p>" + links(3))
         if kind == "form":
-            return wrap(kind, ("form", "form", "div"), lambda: f"<label>{text(2, False)}</label><input><button>{text(1, False)}</button>")
+            return wrap(kind, ("form", "form", "div"), lambda: f"<label>{text(2, False)}</label><input><div>{text(1, False)}</div>")
         if kind == "comments":
             return wrap(kind, ("div", "section", "ol"), lambda: "".join(f"<{t}>{text(r.randint(2, 60), False)}</{t}>" for t in r.choices(["div", "p", "li"], k=r.randint(1, 6))))
         if kind == "social":

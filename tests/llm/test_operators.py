@@ -523,6 +523,15 @@ def test_html_of_few_tags(spark):
     assert len(got) == len(pages) and all(w in got for w in want), [w[:40] for w in want if w not in got]
 
 
+def test_html_leaves_out_what_forms_hold(spark):
+    form = "<form><label>Your name</label><textarea rows=3>typed text</textarea><select><option>first choice</option><option>second</option></select><button type=submit><b>Send it</b></button></form>"
+    pages = [f"<article><p>Body text here for all.</p>{form}</article>", f"<article><p>Body text here for all.</p>{form}<p>And more text after the form.</p></article>", "<article><p>one whole line of text<button>never closed<p>two lines of text</article>"]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_main.extract(df).collect()}
+    assert not any(w in t for t in got.values() for w in ("typed", "choice", "second", "Send"))
+    assert got[0].startswith("Body text here for all.") and "And more text after the form." in got[1] and "two lines of text" in got[2]
+
+
 def test_html_pages(spark):
     nav = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
     page = f"<html><head><title>t</title><script>var x='<p>no</p>'</script></head><body>{nav}<div class=\"ad\">Buy now cheap.</div><article><h1>Big &amp; small</h1><p>One <b>two</b>\n three&nbsp;four, and on it goes.<p>Second part of the text, which is longer.</article><footer>&copy; us</footer></body></html>"
