@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.inference import RESAMPLES
-from ..operators import catalog, conversation, corpus, evaluation, questions, ranking, search
+from ..operators import catalog, conversation, corpus, evaluation, profiles, questions, ranking, search
 from ..operators.search import Constraint
 from ..sources import fingerprint
 from .catalog_queries import EAV, OUTCOMES, PAIRS, PARTS, SCORE, SUMMARY, _score, outcomes, pairs, part_attributes, products, query, scenario_of, table
@@ -323,3 +323,63 @@ def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and digest of three tables' columns."""
     every = [fingerprint.root(fingerprint.buckets(table(spark, sf_dir, n).select(*c.split()))).select(F.lit(n).alias("name"), "rows", "digest") for n, c in _FINGERPRINTED.items()]
     return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+# ---- profiles and rules ----
+
+
+def _u(name: str) -> str:
+    return f"((('0x' || substr(sha256(seed || chr(0) || '{name}'), 1, 13))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+def _choice(name: str, shares) -> str:
+    total, upto, out = sum(w for _, w in shares), 0, "CASE"
+    for value, w in shares:
+        upto += w
+        out += f" WHEN {_u(name)} * {total} < {upto} THEN {value}"
+    return out + " END"
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS target, sha256(p_partkey || chr(0) || 'probe_v1_' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') || chr(0) || '{profiles.PROFILE_LABEL}') AS seed FROM part),
+d AS (SELECT *, {_choice("#rating", [(f"'{s}'", w) for s, _, w in profiles.RATINGS])} AS rating_style, {_choice("#rating", [(f"{r}::DOUBLE", w) for _, r, w in profiles.RATINGS])} AS rating,
+  {_choice("#tags", profiles.TAG_COUNTS)} AS n, list_sort([{", ".join(f"{{'at': -ln({_u(t)}) / {float(w)}::DOUBLE, 'name': '{t}'}}" for t, w in profiles.TAGS)}]) AS tags FROM s)
+SELECT target, rating_style, rating, array_to_string(list_transform(tags[1:n], lambda x: x.name), ', ') AS tags,
+  'Prior purchases emphasize ' || array_to_string(list_transform(tags[1:n], lambda x: x.name), ', ') || '; ratings are ' || rating_style || '.' AS summary FROM d""")
+def profile_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"), profiles.pair_id(profiles.corpus_stem(F.lit("probe.v1")), F.col("p_partkey") % 10000).alias("pair_id"))
+    p = profiles.profile_draws(pairs)
+    return p.select("target", "user_profile.rating_style", F.col("user_profile.average_prior_rating").alias("rating"), F.array_join("user_profile.preference_tags", ", ").alias("tags"), "user_profile.summary")
+
+
+def corpus_rows(spark: SparkSession, sf_dir: str, spoiled: bool = True) -> DataFrame:
+    """A corpus of parts, two arms a part; if spoiled, a part's size says which rules its rows break."""
+    part = table(spark, sf_dir, "part").withColumn("pair_id", profiles.pair_id(F.lit("parts_v1"), F.col("p_partkey") % 10000)).withColumn("target", F.col("p_partkey").cast("string"))
+    n = F.pmod(F.xxhash64("p_partkey"), F.lit(64)) if spoiled else F.lit(63)
+    rows = profiles.profile_draws(part).withColumn("n", n).withColumn("arm", F.explode(F.array(F.lit("control"), F.when(F.col("n") == 0, "other").otherwise("probe_haiku"))))
+    w = F.split("p_name", " ")
+    kind = F.element_at(F.array(*[F.lit(s) for s in profiles.SCENARIOS]), F.pmod(F.xxhash64("pair_id"), F.lit(4)).cast("int") + 1)
+    long, at = F.repeat(F.lit("x"), 181), lambda k, a, b: F.when(F.col("n") == k, a).otherwise(b)
+    rows = rows.withColumn("kind", at(1, F.lit("unheard"), kind)).withColumn("hard", F.array(w[0], F.lower("p_brand"))).withColumn("soft", F.array(w[1], F.concat(F.lit("size "), "p_size")))
+    hard = F.when(F.col("n") == 2, F.array().cast("array<string>")).when(F.col("n") == 3, F.array(F.lit(" "))).when(F.col("n") == 4, F.array(F.lit(" x"))).when(F.col("n") == 5, F.array(long)).otherwise(F.col("hard"))
+    soft = F.when(F.col("n") == 6, F.lit(None)).when(F.col("n") == 7, F.array(F.lit(""))).when(F.col("n") == 8, F.array(F.lit("x "))).when(F.col("n") == 9, F.array(long)).when(F.col("n") == 10, F.col("hard")).otherwise(F.col("soft"))
+    override = F.struct(
+        at(11, F.lit(1), F.lit(3)).alias("turn"), F.col("soft")[1].alias("old_value"), at(12, F.lit("elsewhere"), F.col("hard")[0]).alias("new_value"), at(13, F.lit(" "), F.lit("Actually")).alias("message"),
+    )
+    moved = at(14, F.lit("buying"), F.col("kind"))
+    profile = F.col("user_profile")
+    profile = profile.withField("average_prior_rating", at(15, F.lit(5.5), profile["average_prior_rating"])).withField("summary", at(16, F.lit(" "), profile["summary"]))
+    profile = profile.withField("preference_tags", F.when(F.col("n") == 17, F.lit(None)).when(F.col("n") == 18, F.array(F.lit(" "))).otherwise(profile["preference_tags"]))
+    return rows.select(
+        at(19, F.concat(F.lit("z"), F.concat_ws("_", "pair_id", "arm")), at(20, F.lit(""), F.concat_ws("_", "pair_id", "arm"))).alias("sample_id"), F.col("kind").alias("scenario_type"),
+        at(21, F.lit(""), F.lit("clothing")).alias("category_bucket"),
+        at(22, F.lit("odd"), F.create_map(*[F.lit(x) for p in profiles.DIFFICULTY.items() for x in p])[F.col("kind")]).alias("difficulty_bucket"),
+        F.struct(at(23, F.lit(None), F.col("target")).alias("parent_asin")).alias("ground_truth"), profile.alias("user_profile"),
+        F.struct(F.when(F.col("n") == 24, F.lit("")).when(F.col("n") == 25, long).otherwise(w[1]).alias("target_category"), hard.alias("hard_constraints"), soft.alias("soft_preferences")).alias("intent_card"),
+        F.struct(moved.alias("scenario_type"), F.when((moved == "intent_override") & ~F.col("n").isin(26, 29, 30, 31, 32, 33) | F.col("n").isin(11, 12, 13, 27), override).alias("override")).alias("behavior"),
+        at(28, F.lit("parts_7"), F.col("pair_id")).alias("pair_id"), "arm",
+    )
+
+
+@query()
+def corpus_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.corpus_violations(corpus_rows(spark, sf_dir))
