@@ -81,7 +81,7 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
         raise FileExistsError(target)
 
 
-def _delete(spark: SparkSession, target: str) -> None:
+def delete_folder(spark: SparkSession, target: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(target), True)
 
@@ -94,7 +94,7 @@ def build_artifacts(spark: SparkSession, catalog: str, target: str, df_mode: str
     from ..operators.catalog import FIELD_WEIGHTS, weighted_postings
 
     staging = f"{target.rstrip('/')}.staging"
-    _delete(spark, staging)
+    delete_folder(spark, staging)
     try:
         read = read_catalog(spark, catalog)
         read.write.parquet(f"{staging}/read")
@@ -120,11 +120,11 @@ def build_artifacts(spark: SparkSession, catalog: str, target: str, df_mode: str
             "field_weights": FIELD_WEIGHTS, "source": _named(spark.read.text(catalog)),
             "relations": {n: _named(spark.read.parquet(f"{staging}/{n}")) | {"bytes": files(spark, f"{staging}/{n}")} for n in RELATIONS},
         }
-        _delete(spark, f"{staging}/read")
+        delete_folder(spark, f"{staging}/read")
         spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
         open_artifacts(spark, staging)
     except Exception:
-        _delete(spark, staging)
+        delete_folder(spark, staging)
         raise
     _rename(spark, staging, target)
     return manifest

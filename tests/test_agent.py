@@ -1,5 +1,6 @@
 """The turn loop over all sessions against a plain loop over one session after another."""
 
+import json
 import math
 import random
 import re
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators import agent, evaluation
 from ledgerlight.operators import conversation as C
+from ledgerlight.streaming.agent import answer_stream
 
 WORDS = {"red": ("red", "color"), "blue": ("blue", "color"), "green": ("green", "color"), "boots": ("boots", "category"), "hat": ("hat", "category"), "wool": ("wool", "material"), "soft wool": ("soft wool", "material"), "zip": ("zip", "style")}
 ANSWERABILITY = {"color": 0.95, "material": 0.90, "size": 0.85, "style": 0.75, "brand": 0.65, "feature": 0.50}
@@ -154,21 +156,41 @@ class Loop:
 
 
 @pytest.mark.parametrize("exploration", [False, True])
-def test_turns_of_all_sessions_equal_a_plain_loop(spark, shop, exploration):
+def test_turns_of_all_sessions_equal_a_plain_loop(spark, shop, tmp_path, exploration):
     loop = Loop(shop, exploration)
     items = spark.createDataFrame(shop, "id long, price double, quality_prior double, text string, attrs map<string,array<string>>")
     rows = items.select("id", F.explode("attrs").alias("attribute", "v")).select("id", "attribute", F.explode("v").alias("value"))
     postings = spark.createDataFrame([(i, t, w) for i, p in loop.post.items() for t, w in p.items()], "id long, term string, weighted_frequency double")
     every = agent.Catalog(items, rows, postings, postings.groupBy("term").agg(F.count("*").alias("document_frequency")), items.agg(F.count("*").alias("total")))
+    turns = 4 if exploration else 2
     said = spark.createDataFrame([(s, t, x) for s, texts in SAID.items() for t, x in enumerate(texts, 1)], "session string, turn int, text string")
     words = spark.createDataFrame([(p, *v) for p, v in WORDS.items()], "phrase string, value string, attribute string")
-    answers = agent.agent_turns(said, words, every, k=K, turns=4, exploration=exploration).collect()
+    out, events = agent.traced_turns(said, words, every, k=K, turns=turns, exploration=exploration)
+    answers = out.collect()
     got = {(r["session"], r["turn"]): (r["n_updates"], r["before_version"], r["version"], r["active_ids"], r["question"], r["strict_ids"], r["exploratory_ids"], sorted(r["relaxed_ids"])) for r in answers}
-    want = {(s, x[0]): (*x[1:-1], sorted(x[-1])) for s, texts in SAID.items() for x in loop.session(texts)}
+    want = {(s, x[0]): (*x[1:-1], sorted(x[-1])) for s, texts in SAID.items() for x in loop.session(texts[:turns])}
     assert got.keys() == want.keys()
     for key in sorted(want):
         assert got[key] == want[key], key
     assert any(w[6] for w in want.values()) and any(w[4] for w in want.values())
+    events = events.collect()
+    for (session, turn), w in want.items():
+        own = {e["event_type"]: json.loads(e["body"]) for e in events if (e["session"], e["turn"]) == (session, turn)}
+        assert own.keys() >= {"interpretation", "retrieval", "constraint", "belief", "question", "slate"}
+        assert own["interpretation"]["active_constraint_ids"] == w[3] and own["question"]["selected_attribute"] == w[4]
+        assert own["slate"]["strict_product_ids"] == w[5] and [str(c["id"]) for c in own["belief"]["candidates"]] == w[5]
+        gate = own["constraint"]
+        assert len(gate["rejected_product_ids"]) == min(50, gate["strict_candidate_count"] - gate["eligible_count"])
+    if exploration:
+        # the same messages as a stream, a session's turns now in one batch, now in several
+        for n, turns in enumerate(([1], [2, 3], [4])):
+            said.where(F.col("turn").isin(turns)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        answer_stream(stream, words, every, f"file://{tmp_path}/out", k=K, exploration=True).trigger(availableNow=True).start().awaitTermination(400)
+        streamed = spark.read.option("basePath", f"{tmp_path}/out/answers").parquet(*[str(p) for p in (tmp_path / "out/answers").glob("batch=*/of=*")])
+        assert {(r["session"], r["turn"]): (r["question"], r["strict_ids"], r["exploratory_ids"]) for r in streamed.collect()} == {k: v[4:7] for k, v in got.items()}
+        told = spark.read.json([str(p) for p in (tmp_path / "out/trace").glob("batch=*/of=*")])
+        assert sorted((r["session"], r["turn"], r["seq"], r["body"]) for r in told.collect()) == sorted((e["session"], e["turn"], e["seq"], e["body"]) for e in events)
     if not exploration:
         targets = spark.createDataFrame([("a", int(want["a", 2][5][1])), ("e", 10_000), ("zz", 1)], "session string, target long")
         told = spark.createDataFrame([(r["session"], r["turn"], r["strict_ids"], r["exploratory_ids"]) for r in answers], "session string, turn int, strict_ids array<string>, exploratory_ids array<string>")
