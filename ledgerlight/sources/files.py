@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import flatten_json, normalize_text
 from ..operators.catalog import attributes, document_frequency, folded_details, material_vocabulary, non_negative_int, optional_float, recovered_keyed_values, wilson_prior
 from .fingerprint import files, fingerprint
+from .lines import checked
 from .schemas import CORPUS, OUTCOME, PRODUCT, SCHEMA_VERSION, TRACE
 
 FIELDS = ("title", "categories", "features", "details", "store", "description")
@@ -56,7 +57,8 @@ def repeated_ids(products: DataFrame) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, OUTCOME)
+    """Outcomes of sessions; a bad or repeated one is an error that names its file and line."""
+    return checked(spark, path, OUTCOME, "sample_id")
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +66,7 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, CORPUS)
+    return checked(spark, path, CORPUS, "sample_id")
 
 
 def write_jsonl(rows: DataFrame, path: str, *order: str) -> None:

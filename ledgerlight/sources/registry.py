@@ -15,8 +15,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.profiles import corpus_violations
-from .files import read_corpus
+from .files import read_corpus, read_jsonl
 from .fingerprint import drift, fingerprint
+from .schemas import CORPUS
 
 
 class Conflict(RuntimeError):
@@ -68,7 +69,7 @@ def publish(rows: DataFrame, registry: str, name: str, refreeze: bool = False) -
     spark, version = rows.sparkSession, entries(rows.sparkSession, registry)[0]
     path = f"{registry}/data/{name}-{uuid.uuid4().hex}"
     rows.write.json(path)
-    staged = read_corpus(spark, path)
+    staged = read_jsonl(spark, path, CORPUS)
     if wrong := corpus_violations(staged).limit(3).collect():
         raise ValueError(f"{name} breaks rules: " + ", ".join(f"{r['sample_id']}: {r['violation']}" for r in wrong))
     entry = {"name": name, "path": path, **fingerprint(staged)}

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import re
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from ledgerlight.operators import profiles as P
 from ledgerlight.plans import corpus_queries
 from ledgerlight.plans.catalog_queries import queries
-from ledgerlight.sources import registry
+from ledgerlight.sources import files, registry
+from ledgerlight.sources import lines as lines_module
+from ledgerlight.sources.schemas import OUTCOME
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +124,23 @@ def test_registry(spark, tmp_path):
         p.unlink()
     with pytest.raises(ValueError, match="has changed"):
         registry.resolve(spark, home, "parts.v1")
+
+
+def test_bad_lines_are_named_by_file_and_number(spark, tmp_path):
+    good = [json.dumps({"sample_id": f"s{i}", "hit": False, "reciprocal_rank": 0.0}) for i in range(3000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("\n".join(good[:1500]) + "\n\n")
+    spoiled = {7: "[1]", 400: "{broken", 900: json.dumps({"hit": True}), 1100: json.dumps({"sample_id": "s3"}), 1499: json.dumps({"sample_id": "x", "hit": "perhaps"})}
+    lines = [spoiled.get(i, x) for i, x in enumerate(good[1500:], 1)]
+    lines.insert(3, "   ")  # blank lines count as lines
+    (tmp_path / "in/b.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several parts to a file
+    try:
+        got = {(r["file"].rsplit("/", 1)[1], r["line"]): r["wrong"] for r in lines_module.bad_lines(spark, f"file://{tmp_path}/in", OUTCOME, "sample_id").collect()}
+        assert got == {("b.jsonl", 8): "not an object", ("b.jsonl", 401): "malformed", ("b.jsonl", 901): "no sample_id", ("b.jsonl", 1101): "repeated sample_id", ("b.jsonl", 1500): "malformed"}
+        with pytest.raises(Exception, match=r"b.jsonl, line \d+: "):
+            files.read_sessions(spark, f"file://{tmp_path}/in").collect()
+        whole = files.read_sessions(spark, f"file://{tmp_path}/in/a.jsonl")
+        assert whole.count() == 1500 and sorted(r["sample_id"] for r in whole.collect()) == sorted(f"s{i}" for i in range(1500))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
