@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.inference import ALPHA, CRITERIA, EXCHANGE, FLOOR, MDD_FACTOR, POINTS, TIE, expected_max_of_k, lattice_points, mcnemar_exact, percentile_indices, reduced
@@ -80,6 +80,26 @@ def portable_draw(key: Column, n: int | Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % n
 
 
+MIX, WORD = 73_244_475, (1 << 32) - 1
+SALT = 1_000_003
+
+
+def mixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with 32 well mixed bits of a value between 0 and 2^32 - 1, from integer steps that other engines take alike."""
+    rows = rows.withColumn(name, value)
+    for _ in range(2):
+        x = F.col(name)
+        rows = rows.withColumn(name, (F.shiftright(x, 16).bitwiseXOR(x) * MIX).bitwiseAND(F.lit(WORD)))
+    return rows.withColumn(name, F.shiftright(name, 16).bitwiseXOR(F.col(name)))
+
+
+def drawn(resamples: int, n: int, spark: SparkSession, salt: int = 0) -> DataFrame:
+    """rep, i, draw (32 bits): one row for each of n draws of each replicate."""
+    rows = spark.range(resamples * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), F.expr(f"id % {max(n, 1)}").alias("i"))
+    rows = mixed(mixed(rows, "_r", F.col("rep") + salt), "_i", (F.col("i") + (1 << 31)).bitwiseAND(F.lit(WORD)))  # apart from the replicates' numbers
+    return mixed(rows, "draw", F.col("_r").bitwiseXOR(F.col("_i"))).drop("_r", "_i")
+
+
 def score_of(prefix: str) -> Column:
     c = {k: round6(F.avg(f"{prefix}_{k}")) for k in ("hit", "rr", "turn")}
     return technical_score(c["hit"], c["rr"], c["turn"])
@@ -108,18 +128,17 @@ def bootstrap_replicates(pairs: DataFrame, resamples: int, key: str = "sample_id
 
     The pairs are an evaluation's sessions, a few hundred to thousands; resamples times as many draws are spread out.
     """
-    spark = pairs.sparkSession
     numbered, n = _numbered(pairs, key)
-    draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("rep"), portable_draw(F.concat_ws("|", F.floor(F.col("id") / n), F.col("id") % n), n).alias("pos"))
-    return draws.join(numbered, "pos").groupBy("rep").agg((score_of("b") - score_of("a")).alias("delta"))
+    draws = drawn(resamples, n, pairs.sparkSession).select("rep", (F.col("draw") % n).alias("pos"))
+    # every draw is a pair's number: an inner join would test draws for null first, and take them twice
+    return draws.join(numbered, "pos", "left").groupBy("rep").agg((score_of("b") - score_of("a")).alias("delta"))
 
 
 def permutation_replicates(pairs: DataFrame, resamples: int, key: str = "sample_id") -> DataFrame:
     """rep, delta: the arms of each pair swapped by a coin."""
     numbered, n = _numbered(pairs, key)
-    coins = pairs.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("pos"))
-    reps = coins.join(numbered, "pos")
-    swap = portable_draw(F.concat_ws("|", F.lit("p"), "rep", "pos"), 2) == 1
+    coins = drawn(resamples, n, pairs.sparkSession, SALT).select("rep", F.col("i").alias("pos"), (F.col("draw") % 2 == 1).alias("swap"))
+    reps, swap = coins.join(numbered, "pos", "left"), F.col("swap")
     for k in ("hit", "rr", "turn"):
         reps = reps.withColumn(f"x_{k}", F.when(swap, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}"))).withColumn(f"y_{k}", F.when(swap, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")))
     return reps.groupBy("rep").agg((score_of("y") - score_of("x")).alias("delta"))

@@ -520,11 +520,24 @@ def _score(h: str, r: str, t: str) -> str:
     return six(f"0.5::DOUBLE * {six(f'avg({h})')} + 0.3::DOUBLE * {six(f'avg({r})')} + 0.2::DOUBLE * greatest(0, least(1, (11 - {turns}) / 10))")
 
 
+def _mixed(table: str, name: str, value: str) -> str:
+    out = f"(SELECT *, {value} AS {name} FROM {table})"
+    for _ in range(2):
+        out = f"(SELECT * REPLACE ((xor({name} >> 16, {name}) * {evaluation.MIX}) & {evaluation.WORD} AS {name}) FROM {out})"
+    return f"(SELECT * REPLACE (xor({name} >> 16, {name}) AS {name}) FROM {out})"
+
+
+def _draws(salt: int) -> str:
+    """drawn (rep, i, draw), after n (n)."""
+    reps, places = _mixed(f"range({RESAMPLES}) r(rep)", "rr", f"rep + {salt}"), _mixed("(SELECT unnest(range(n)) AS i FROM n)", "ii", "i + 2147483648")
+    return f"drawn AS (SELECT rep, i, draw FROM {_mixed(f'(SELECT rep, i, rr, ii FROM {reps}, {places})', 'draw', 'xor(rr, ii)')})"
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.paired(outcomes(spark, sf_dir), outcomes(spark, sf_dir, "signup"))
 
 
-@query(f"""WITH {PAIRS}, d AS (SELECT rep, CAST(('0x' || substr(md5(rep || '|' || i), 1, 8))::UBIGINT % n AS BIGINT) AS pos FROM range({RESAMPLES}) r(rep), n, (SELECT unnest(range(n)) AS i FROM n)),
+@query(f"""WITH {PAIRS}, {_draws(0)}, d AS (SELECT rep, draw % n AS pos FROM drawn, n),
 x AS (SELECT rep, {_score('bh', 'br', 'bv')} - {_score('ah', 'ar', 'av')} AS delta FROM d JOIN pairs USING (pos) GROUP BY 1)
 SELECT round(max(CASE WHEN k = 249 THEN delta END), 6) AS low, round(max(CASE WHEN k = 9750 THEN delta END), 6) AS high, round(stddev_pop(delta), 6) AS standard_error
 FROM (SELECT delta, row_number() OVER (ORDER BY delta, rep) - 1 AS k FROM x)""")
@@ -533,7 +546,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "standard_error")])
 
 
-@query(f"""WITH {PAIRS}, z AS (SELECT rep, ('0x' || substr(md5('p|' || rep || '|' || pos), 1, 8))::UBIGINT % 2 = 1 AS swap, pairs.* FROM range({RESAMPLES}) r(rep), pairs),
+@query(f"""WITH {PAIRS}, {_draws(evaluation.SALT)}, z AS (SELECT rep, draw % 2 = 1 AS swap, pairs.* FROM drawn JOIN pairs ON i = pos),
 x AS (SELECT rep, {_score('CASE WHEN swap THEN ah ELSE bh END', 'CASE WHEN swap THEN ar ELSE br END', 'CASE WHEN swap THEN av ELSE bv END')}
  - {_score('CASE WHEN swap THEN bh ELSE ah END', 'CASE WHEN swap THEN br ELSE ar END', 'CASE WHEN swap THEN bv ELSE av END')} AS delta FROM z GROUP BY 1),
 ob AS (SELECT {_score('bh', 'br', 'bv')} - {_score('ah', 'ar', 'av')} AS o FROM pairs)

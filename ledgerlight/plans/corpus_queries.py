@@ -9,7 +9,7 @@ from ..functions.inference import RESAMPLES
 from ..operators import catalog, conversation, corpus, evaluation, profiles, questions, ranking, search
 from ..operators.search import Constraint
 from ..sources import fingerprint
-from .catalog_queries import EAV, OUTCOMES, PAIRS, PARTS, SCORE, SUMMARY, _score, outcomes, pairs, part_attributes, products, query, scenario_of, table
+from .catalog_queries import EAV, OUTCOMES, PAIRS, PARTS, SCORE, SUMMARY, _draws, _score, outcomes, pairs, part_attributes, products, query, scenario_of, table
 
 # ---- catalog ----
 
@@ -182,7 +182,7 @@ def contrast_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scenario", "pairs", F.round("hit_rate_delta", 9).alias("hit_rate_delta"), "discordant", F.round("standard_error", 9).alias("standard_error"))
 
 
-@query(f"""WITH {PAIRS}, d AS (SELECT rep, CAST(('0x' || substr(md5(rep || '|' || i), 1, 8))::UBIGINT % n AS BIGINT) AS pos FROM range({RESAMPLES}) r(rep), n, (SELECT unnest(range(n)) AS i FROM n)),
+@query(f"""WITH {PAIRS}, {_draws(0)}, d AS (SELECT rep, draw % n AS pos FROM drawn, n),
 x AS (SELECT rep, {_score('bh', 'br', 'bv')} - {_score('ah', 'ar', 'av')} AS delta FROM d JOIN pairs USING (pos) GROUP BY 1), y AS (SELECT delta, row_number() OVER (ORDER BY delta, rep) - 1 AS k FROM x),
 m AS (SELECT count(*) AS n, count(*) FILTER (ah = 1 AND bh = 0) AS b, count(*) FILTER (ah = 0 AND bh = 1) AS c, {_score('bh', 'br', 'bv')} - {_score('ah', 'ar', 'av')} AS delta FROM pairs),
 t AS (SELECT least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM (SELECT unnest(range(least(b, c) + 1)) AS i))) AS p FROM m)

@@ -1,6 +1,5 @@
 """Queries of the catalog against brute force over whole small tables."""
 
-import hashlib
 import math
 import re
 import statistics
@@ -64,16 +63,25 @@ def test_divergence_measures_every_phrase_against_every_document(spark):
 def test_resampling_draws_all_replicates(spark):
     both = sorted((r.asDict() for r in pairs(spark, SF).collect()), key=lambda r: r["sample_id"])
     n = len(both)
-    draw = lambda key: int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x >> 16 ^ x) * 73_244_475) & 0xFFFFFFFF
+        return x >> 16 ^ x
+
+    draw = lambda rep, i, salt=0: mix(mix(rep + salt) ^ mix(i + (1 << 31)))
 
     def score(rows):
         h, rr, t = (round(sum(x) / n, 6) for x in zip(*rows, strict=True))
         return round(0.5 * h + 0.3 * rr + 0.2 * max(0, min(1, (11 - t) / 10)), 6)
 
+    some = [draw(rep, i) for rep in range(200) for i in range(500)]  # even, and not alike from one replicate or place to the next
+    assert all(abs(sum(x % 10 == k for x in some) / len(some) - 0.1) < 0.005 for k in range(10)) and len(set(some)) > 0.9999 * len(some)
+    assert abs(sum((x ^ y).bit_count() for x, y in zip(some, some[1:])) / len(some) - 16) < 0.1 and abs(sum((x ^ y).bit_count() for x, y in zip(some, some[500:])) / len(some[500:]) - 16) < 0.1
     a, b = ([tuple(r[f"{p}_{k}"] for k in ("hit", "rr", "turn")) for r in both] for p in "ab")
     deltas = []
     for rep in range(10_000):
-        at = [draw(f"{rep}|{i}") % n for i in range(n)]
+        at = [draw(rep, i) % n for i in range(n)]
         deltas.append(score([b[i] for i in at]) - score([a[i] for i in at]))
     deltas.sort()
     got = queries()["paired_bootstrap"](spark, SF).first()
@@ -81,7 +89,7 @@ def test_resampling_draws_all_replicates(spark):
     assert got["standard_error"] == pytest.approx(statistics.pstdev(deltas), abs=2e-6)
     observed, extreme = abs(score(b) - score(a)), 0
     for rep in range(10_000):
-        swap = [draw(f"p|{rep}|{i}") % 2 for i in range(n)]
+        swap = [draw(rep, i, 1_000_003) % 2 for i in range(n)]
         x, y = [(b if s else a)[i] for i, s in enumerate(swap)], [(a if s else b)[i] for i, s in enumerate(swap)]
         extreme += abs(score(y) - score(x)) >= observed - 1e-9
     got = queries()["paired_permutation"](spark, SF).first()["p_value"]
