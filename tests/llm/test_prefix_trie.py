@@ -8,6 +8,7 @@ import zlib
 import pytest
 
 from ledgerlight.llm import prefix_trie
+from ledgerlight.llm._common import cut
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth long, a long, b long, n long, first long, held long, size long, at long, digest string, path string, level long"
 
@@ -84,8 +85,8 @@ def test_conversations_as_they_are(spark, rows):
 
 def test_light_edges_are_few_and_paths_cover_the_tree(spark, rows):
     lined, every = prefix_trie.rebuilt(frame(spark, rows), span=1)
-    lined = prefix_trie.beginnings(lined)
-    tree = prefix_trie.paths(prefix_trie.linked(prefix_trie.nodes(lined, every)), lined).collect()
+    lined = cut(prefix_trie.beginnings(lined))
+    tree = prefix_trie.paths(cut(prefix_trie.linked(cut(prefix_trie.nodes(lined, every)))), lined).collect()
     assert max(r["level"] for r in tree) <= every.count().bit_length()
     by_path = collections.defaultdict(list)
     for r in tree:
