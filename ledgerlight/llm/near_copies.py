@@ -41,7 +41,7 @@ SLICE = 2048  # sets of a group that one task compares with the whole group
 ROWS = 512  # sets sent together
 HELD = 1 << 20  # shingles of prefixes that are sent together
 FAMILY = 1 << 14  # sets that pairs may connect and that are compared in one task
-FEW = 1 << 20  # ids, of 16 bytes at most, up to which they go to every task
+FEW = 1 << 18  # ids, of 16 bytes at most, up to which they go to every task, by way of the driver
 
 
 def shingle_set(text: str | None) -> np.ndarray:

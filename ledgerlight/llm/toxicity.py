@@ -5,8 +5,8 @@ toxic text of any kind. Each category is a logistic regression over the words of
 4, 5 and 6 letters, hashed to 32 bits) and over the probabilities of the categories before it. Those probabilities come, for training,
 from models that have not seen the row (out-of-fold), so that later models learn how far to trust earlier ones.
 
-The models are fitted on a bounded sample of labelled rows, SAMPLE of each class by smallest hash of doc_id; only the
-sample's word hashes reach the driver. Features are chosen by their log odds in the training rows. Every document is
+The models are fitted on a bounded sample of labelled rows, SAMPLE of each class by smallest hash of doc_id, in one task
+that gets the sample's word hashes; only the models reach the driver. Features are chosen by their log odds in the training rows. Every document is
 scored over its whole text.
 
 Null text: no words, the prior. A doc_id labelled more than once counts as toxic if any label says so; null labels and
@@ -16,6 +16,7 @@ repeat are scored each for itself; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -169,13 +170,23 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "toxic": b["toxic"], "f": [text_features(t).tobytes() for t in b["text"]]})
 
-    got = rows.mapInPandas(features, "doc_id long, lang string, toxic int, f binary").toPandas()
-    got = got.assign(size=got["f"].map(len)).sort_values(["doc_id", "size"]).drop_duplicates("doc_id")
-    toxic = got["toxic"].to_numpy(int)
-    if not len(got) or toxic.min() == toxic.max():
-        return []
-    y = np.stack([*(toxic * (got["lang"] == x).to_numpy(int) for x in LANGUAGES), toxic], 1)
-    return fit_chain([np.frombuffer(f, np.uint32) for f in got["f"]], y)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        got = list(batches)
+        if not got:
+            return
+        got = pd.concat(got, ignore_index=True)
+        got = got.assign(size=got["f"].map(len)).sort_values(["doc_id", "size", "f"]).drop_duplicates("doc_id")
+        toxic = got["toxic"].to_numpy(int)
+        if len(got) and toxic.min() < toxic.max():
+            y = np.stack([*(toxic * (got["lang"] == x).to_numpy(int) for x in LANGUAGES), toxic], 1)
+            yield pd.DataFrame({"chain": [pickle.dumps(fit_chain([np.frombuffer(f, np.uint32) for f in got["f"]], y))]})
+        del got
+        release()
+
+    held = rows.mapInPandas(features, "doc_id long, lang string, toxic int, f binary")
+    found = held.repartition(1).mapInPandas(fit, "chain binary").first()  # the sample meets in one task, its model comes back
+    return pickle.loads(found["chain"]) if found else []
 
 
 def score(documents: DataFrame, chain: list[Linear]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, columns of clashing names."""
 
 import hashlib
+import os
 import random
 import time
 import zlib
@@ -244,3 +245,20 @@ def test_stages_keep_columns(spark, docs, empty, folder):
         assert stage(spark, empty, folder).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > len({r[0] for r in docs.collect()}) - 1
     assert corpus_pipeline.STAGES[-1][1](spark, empty, folder).count() == 0
+
+
+def test_toxicity_is_not_fitted_on_the_driver(spark, monkeypatch):
+    driver, fit_chain = os.getpid(), toxicity.fit_chain
+
+    def elsewhere(*sample):
+        assert os.getpid() != driver
+        return fit_chain(*sample)
+
+    docs = spark.createDataFrame([(i, "vile scum words" if i % 2 else "kind and calm words", "en") for i in range(40)], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit_chain", elsewhere)
+    chain = toxicity.train(docs, known)
+    monkeypatch.undo()
+    assert len(chain) == len(toxicity.CATEGORIES)
+    scorer = toxicity.Scorer(chain)
+    assert scorer.score("vile scum words")[-1] > 0.5 > scorer.score("kind and calm words")[-1]
