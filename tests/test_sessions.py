@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import inference as I
 from ledgerlight.operators import conversation as C
 from ledgerlight.operators import corpus, evaluation
+from ledgerlight.operators.order import ranked_rows
 from ledgerlight.streaming.sessions import ledger_stream
 
 WORDS = {"red": ("red", "color"), "blue": ("blue", "color"), "boots": ("boots", "category"), "dark red": ("dark red", "color"), "wool": ("wool", "material")}
@@ -129,3 +130,13 @@ def test_corpus_operators(spark):
     assert got == {1: "too_close", 2: "accepted", 3: "contradicts"}
     pairs = spark.createDataFrame([(1, "control", "x"), (1, "probe", "x"), (2, "probe", "y"), (3, "control", "z"), (3, "probe", "w")], "pair int, arm string, target string")
     assert {(r["pair"], r["violation"]) for r in corpus.pairing_violations(pairs).collect()} == {(2, "no_control"), (2, "single_arm"), (3, "several_targets")}
+
+
+def test_places_are_whole_where_ranges_follow_from_a_sample(spark):
+    rows = spark.range(0, 60_000, 1, 6).select(F.xxhash64("id").alias("key"), "id", F.repeat(F.lit("x"), F.lit(20)).alias("more"))
+    got = ranked_rows(rows, "key", name="k").agg(F.min("k"), F.max("k"), F.count_distinct("k")).first()
+    assert tuple(got) == (0, 59_999, 60_000)
+    right = spark.range(0, 60_000).select(F.xxhash64("id").alias("key")).toPandas()["key"].sort_values().tolist()
+    assert [r["key"] for r in ranked_rows(rows, "key", name="k").orderBy("k").select("key").collect()] == right
+    some = spark.createDataFrame([(None,), (2,), (1,)], "key long")
+    assert {r["key"]: r["k"] for r in ranked_rows(some, "key", name="k", nulls_first=False).collect()} == {1: 0, 2: 1, None: 2}
