@@ -31,14 +31,16 @@ class LexicalIndex:
     totals: DataFrame
 
 
-def term_counts(texts: DataFrame, fields: dict[str, float], key: str = "id") -> DataFrame:
+def term_counts(texts: DataFrame, fields: dict[str, float], key: str = "id", terms: list[str] | None = None) -> DataFrame:
     """id, term, length, tf, weighted_frequency: a text's weighted count of a term, and the sum of the weights of the fields that
-    hold it. A task counts its texts' terms before they are shuffled."""
+    hold it. A task counts its texts' terms before they are shuffled. terms: the only ones counted, if named; lengths are whole."""
     held = [ordered_tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields]
     rows = texts.select(F.col(key).alias("id"), *[t.alias(f"_{i}") for i, t in enumerate(held)])
     length = sum((F.size(f"_{i}") for i in range(1, len(held))), F.size("_0"))
     entry = lambda i: lambda t: F.struct(t.alias("term"), F.lit(i).alias("field"))
     entries = F.concat(*[F.transform(f"_{i}", entry(i)) for i in range(len(held))])
+    if terms is not None:
+        entries = F.filter(entries, lambda e: e["term"].isin(terms))
     said = rows.select("id", length.alias("length"), F.explode(entries).alias("e")).select("id", "length", "e.term", "e.field")
     counts = [F.count_if(F.col("field") == i).alias(f"c{i}") for i in range(len(held))]
     rows = said.groupBy("id", "length", "term").agg(*counts)
@@ -47,12 +49,13 @@ def term_counts(texts: DataFrame, fields: dict[str, float], key: str = "id") ->
     return rows.select("id", "term", "length", tf.alias("tf"), weighted.alias("weighted_frequency"))
 
 
-def build_index(texts: DataFrame, fields: dict[str, float], path: str, key: str = "id", full_text: bool = True) -> LexicalIndex:
+def build_index(texts: DataFrame, fields: dict[str, float], path: str, key: str = "id", full_text: bool = True, words: list[str] | None = None) -> LexicalIndex:
+    """The index of whole texts; words: the only ones that will be sought, if they are known. Lengths and totals count all words."""
     spark = texts.sparkSession
     tokens = sum((F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TOKEN)) for c in fields), F.lit(0))
     texts.select(tokens.alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean")).withColumn("full_text", F.lit(full_text)).write.parquet(f"{path}/totals")
     totals = spark.read.parquet(f"{path}/totals")
-    rows = term_counts(texts, fields, key).crossJoin(F.broadcast(totals))  # one row of totals
+    rows = term_counts(texts, fields, key, words).crossJoin(F.broadcast(totals))  # one row of totals
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     place = F.floor(4 * F.log2(F.col("length") + 1)).cast("int").alias("zone"), F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / PART)).cast("int").alias("part")
     rows = rows.select("term", *place, F.struct("id", (impact if full_text else F.lit(None).cast("double")).alias("impact"), "weighted_frequency").alias("e"))

@@ -81,3 +81,12 @@ def test_outcomes(texts, index, tmp_path):
 def test_empty_texts(spark, tmp_path):
     index = L.build_index(spark.createDataFrame([], "id long, title string, body string"), FIELDS, f"file://{tmp_path}/e")
     assert L.bm25_candidates(index, ["w1"], 3).count() == 0 and L.tfidf_scores(index, ["w1"]).count() == 0
+
+
+def test_an_index_of_some_words_scores_them_alike_and_holds_no_others(spark, texts, index, tmp_path):
+    words = ["w1", "w30", "absent"]
+    some = L.build_index(texts, FIELDS, f"file://{tmp_path}/some", words=words)
+    assert {r["term"] for r in some.blocks.select("term").distinct().collect()} == {"w1", "w30"}
+    assert some.totals.first() == index.totals.first()
+    for scores in (lambda i: L.bm25_candidates(i, words, 1000), lambda i: L.tfidf_scores(i, words)):
+        assert {r["id"]: pytest.approx(r["score"], abs=1e-9) for r in scores(index).collect()} == {r["id"]: r["score"] for r in scores(some).collect()}
