@@ -111,6 +111,19 @@ def divergence_of_all(phrases: DataFrame, targets: DataFrame) -> DataFrame:
     return some.unionByName(none.where("documents > 0"))
 
 
+def divergence_of_pairs(phrases: DataFrame, targets: DataFrame) -> DataFrame:
+    """divergence_of_all with a row for every pair of a phrase and a target, those that share nothing included.
+
+    What pairs share is found by the join of words; the pairs themselves go by the phrases' side, which Spark sends to every task
+    where it is small."""
+    every = divergence_of_all(phrases, targets).where("doc_id is not null")
+    size = F.size(let(pinned_tokens(F.coalesce("phrase", F.lit(""))), lambda pins: content_tokens(ordered_tokens(F.coalesce("phrase", F.lit(""))), pins))).alias("content_tokens")
+    pairs = targets.where("doc_id is not null").select("doc_id").crossJoin(phrases.where("item_id is not null").select("item_id", size))
+    rows = pairs.join(every.drop("content_tokens", "passes", "documents"), ["item_id", "doc_id"], "left")
+    ratio, shared = F.coalesce("overlap_ratio", F.lit(0.0)), F.coalesce("shared_bigrams", F.lit(0))
+    return rows.select("item_id", "doc_id", "content_tokens", ratio.alias("overlap_ratio"), shared.alias("shared_bigrams"), ((ratio == 0) & (shared == 0)).alias("passes"))
+
+
 def bucket_summary(reports: DataFrame, bucket: str = "bucket", times: str = "documents") -> DataFrame:
     """Of each bucket's reports, which count several times: number, mean, median and least overlap, and how many pass."""
     n = F.sum(times)

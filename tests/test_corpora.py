@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlight.operators import corpus
 from ledgerlight.operators import profiles as P
 from ledgerlight.plans import corpus_queries
 from ledgerlight.plans.catalog_queries import queries
@@ -144,3 +145,11 @@ def test_bad_lines_are_named_by_file_and_number(spark, tmp_path):
         assert whole.count() == 1500 and sorted(r["sample_id"] for r in whole.collect()) == sorted(f"s{i}" for i in range(1500))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_every_pair_is_measured_whether_or_not_it_shares_a_word(spark):
+    phrases = spark.createDataFrame([(1, "red boots"), (2, "quiet lamp"), (3, None), (None, "red")], "item_id long, phrase string")
+    targets = spark.createDataFrame([(10, "red boots for snow"), (11, "a lamp"), (12, None), (None, "lamp")], "doc_id long, target string")
+    got = {(r["item_id"], r["doc_id"]): (r["overlap_ratio"], r["shared_bigrams"], r["passes"]) for r in corpus.divergence_of_pairs(phrases, targets).collect()}
+    want = {(i, d): (0.0, 0, True) for i in (1, 2, 3) for d in (10, 11, 12)}
+    assert got == want | {(1, 10): (1.0, 1, False), (2, 11): (0.5, 0, False)}
