@@ -29,7 +29,7 @@ SELECT id, CAST(generate_subscripts(d, 1) - 1 AS INTEGER) AS position, unnest(d)
 def folded_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = featured(spark, sf_dir)
     vocabulary = catalog.material_vocabulary(items.select("id", F.lit("material").alias("attribute"), F.split("p_name", " ")[1].alias("value")))
-    out = catalog.folded_details(items, vocabulary, catalog.recovered_keyed_values(items).select("attribute", "value").distinct())
+    out = catalog.folded_details(items, vocabulary, catalog.known_keyed_values(catalog.keyed_pairs(items)))
     return out.select("id", F.posexplode("details").alias("position", "d")).select("id", "position", "d.key", "d.value")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten_json, normalize_text
-from ..operators.catalog import attributes, document_frequency, folded_details, material_vocabulary, non_negative_int, optional_float, recovered_keyed_values, wilson_prior
+from ..operators.catalog import attributes, document_frequency, folded_details, keyed_pairs, known_keyed_values, material_vocabulary, non_negative_int, optional_float, wilson_prior
 from .fingerprint import files, fingerprint
 from .lines import checked
 from .schemas import CORPUS, OUTCOME, PRODUCT, SCHEMA_VERSION, TRACE
@@ -102,7 +102,7 @@ def build_artifacts(spark: SparkSession, catalog: str, target: str, df_mode: str
         read.write.parquet(f"{staging}/read")
         read = spark.read.parquet(f"{staging}/read")
         known = read.select("id", F.explode("details").alias("d")).select("id", F.col("d.key").alias("attribute"), F.col("d.value").alias("value"))
-        keyed = recovered_keyed_values(read).select("attribute", "value").distinct()
+        keyed = known_keyed_values(keyed_pairs(read))
         folded_details(read, material_vocabulary(known), keyed).select(*read.columns).write.parquet(f"{staging}/products")
         products = spark.read.parquet(f"{staging}/products")
         if (twice := repeated_ids(products).limit(1).collect()):
