@@ -105,7 +105,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     lower = F.bit_count(apart) <= bits
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     on = (F.col("cell_a") == F.col("cell_b")) & (F.col("at_a") == F.col("at_b")) & (F.col("a") < F.col("b")) & lower & exact & first
-    return a.join(b, on).select("a", "b")
+    # Spark sizes the copies like the fingerprints that they come from, so it would broadcast a side 70 times as large as it takes it for
+    return a.join(b.hint("merge"), on).select("a", "b")
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

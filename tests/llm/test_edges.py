@@ -262,3 +262,12 @@ def test_toxicity_is_not_fitted_on_the_driver(spark, monkeypatch):
     assert len(chain) == len(toxicity.CATEGORIES)
     scorer = toxicity.Scorer(chain)
     assert scorer.score("vile scum words")[-1] > 0.5 > scorer.score("kind and calm words")[-1]
+
+
+def test_links_broadcast_no_copies(spark):
+    """A fingerprint's copies are many times the size that Spark takes them for, so neither side of their join is broadcast."""
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp")).union(spark.createDataFrame([(0,), (15,), (31,)], "fp long"))
+    found = simhash.links(fps.groupBy("fp").agg(F.count("*").alias("n")))
+    assert {(r["a"], r["b"]) for r in found.collect()} >= {(0, 15), (15, 31)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
